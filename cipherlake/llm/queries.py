@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import read_table
 
@@ -60,8 +62,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(read_table(spark, sf_dir, "documents"))
 
 
+#: Where the public tokenizers' vocabulary files lie on the driver; only their bytes are shipped.
+TOKENIZERS = os.environ.get("CIPHERLAKE_TOKENIZERS", "/opt/tokenizers")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.secrets import scan_secrets, span_digest
+
+    return span_digest(scan_secrets(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.toxicity import score_toxicity, train
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs, train(docs, labels))
+    return scored.select(
+        "doc_id",
+        (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "n_words",
+        F.round("toxic_words", 6).alias("toxic_words"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("toxic_spans"),
+    )
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.media import feature_digest, media_columns
+
+    return feature_digest(media_columns(read_table(spark, sf_dir, "documents"), with_media=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op7_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,6 +62,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 #: Where the public tokenizers' vocabulary files lie on the driver; only their bytes are shipped.
 TOKENIZERS = os.environ.get("CIPHERLAKE_TOKENIZERS", "/opt/tokenizers")
 
@@ -94,9 +100,38 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_digest(media_columns(read_table(spark, sf_dir, "documents"), with_media=False))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.sentencepieces import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm._frames import Workspace
+    from cipherlake.llm.warc import assemble, capture_summary, read_warc, write_warc
+
+    ws = Workspace(spark, "warc")
+    write_warc(read_table(spark, sf_dir, "pages"), ws.path("archives"))
+    return capture_summary(assemble(read_warc(spark, ws.path("archives"))))
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
+d AS (SELECT *, unhex(sha1(html)) AS digest FROM p),
+bits AS (SELECT *, octet_length(encode(html)) AS n FROM d)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(sha1(html) || '0', 1 + (i * 5) // 4, 3))::BIGINT) >> (12 - 5 - (i * 5) % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to,
+  regexp_replace(url, '[\x00-\x20]', '', 'g') AS target_uri, true AS has_request
+FROM bits
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_warc, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op7_mixing": OP7_SQL}

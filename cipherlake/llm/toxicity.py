@@ -18,6 +18,8 @@ BITS = 20
 PREFIX_BYTES = 5
 #: Words of a training segment; scoring uses whole texts.
 SEGMENT = 96
+#: Words of a block in training.
+BLOCK_WORDS = 300_000
 #: Ratios of the two states' messages are kept within this range.
 RATIO = 1e6
 
@@ -26,7 +28,7 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     """Starts, ends, words per row, and an index pair per word: of the word without edge punctuation, and of its first bytes."""
     starts, ends, counts = words(data, offsets)
     if not len(starts):
-        return starts, ends, counts, np.zeros((0, 2), dtype=np.int64)
+        return starts, ends, counts, np.zeros((0, 2), dtype=np.int32)
     # A word's last byte is dropped if it is ASCII punctuation.
     last = data[ends - 1]
     mark = (last < 128) & ~((last >= 48) & (last < 58) | (last >= 65) & (last < 91) | (last >= 97) & (last < 123))
@@ -34,7 +36,7 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     mask = U64((1 << BITS) - 1)
     whole = span_hashes(data, starts, stop) & mask
     first = (span_hashes(data, starts, np.minimum(stop, starts + PREFIX_BYTES)) * U64(0xC2B2AE3D27D4EB4F) >> U64(20)) & mask
-    return starts, ends, counts, np.stack([whole, first], axis=1).astype(np.int64)
+    return starts, ends, counts, np.stack([whole, first], axis=1).astype(np.int32)
 
 
 def chain(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def label_words(index: np.ndarray, counts: np.ndarray, toxic: np.ndarray, least:
     row = np.repeat(np.arange(len(counts)), counts)
     size, flagged = 1 << BITS, np.zeros(len(index), dtype=bool)
     for k in range(index.shape[1]):
-        pair = np.unique(row * size + index[:, k])
+        pair = np.unique(row * size + index[:, k].astype(np.int64))
         doc, feature = pair // size, pair % size
         seen = np.bincount(feature, minlength=size)
         bad = np.bincount(feature, weights=toxic[doc], minlength=size)
@@ -119,28 +121,41 @@ def label_words(index: np.ndarray, counts: np.ndarray, toxic: np.ndarray, least:
 def fit_chain(index: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
     """Maximum likelihood by full-batch Adam; returns weights, bias and transition factors."""
     counts = np.concatenate([[SEGMENT] * (c // SEGMENT) + [c % SEGMENT] * (c % SEGMENT > 0) for c in counts.tolist()] or [[]]).astype(np.int64)
-    y = labels.astype(float)
-    seg = np.repeat(np.arange(len(counts)), counts)
-    inner = np.flatnonzero(seg[1:] == seg[:-1])
+    y = labels.astype(np.float32)
     size = 1 << BITS
-    used, local = np.unique(index, return_inverse=True)
-    local = local.reshape(index.shape)
-    rate = max(y.mean(), 1e-6) if len(y) else 0.5
-    w = np.concatenate([np.zeros(len(used)), [np.log(rate / (1 - rate)) if rate < 1 else 0.0], np.zeros(3)])
+    seen = np.bincount(index[:, 0], minlength=size) + np.bincount(index[:, 1], minlength=size)
+    used = np.flatnonzero(seen)
+    local = np.zeros(size, dtype=np.int32)
+    local[used] = np.arange(len(used))
+    seen = np.sqrt(seen[used])
+    rate = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
+    w = np.concatenate([np.zeros(len(used)), [np.log(rate / (1 - rate))], np.zeros(3)])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    y01 = np.array([((1 - y[inner]) * y[inner + 1]).sum(), (y[inner] * (1 - y[inner + 1])).sum(), (y[inner] * y[inner + 1]).sum()])
-    seen = np.bincount(local.ravel(), minlength=len(used))
+    # Blocks of segments bound the memory of a step.
+    ends = np.cumsum(counts)
+    edges = sorted({0, len(counts), *np.searchsorted(ends, np.arange(BLOCK_WORDS, len(y), BLOCK_WORDS)).tolist()})
+    blocks = [(slice(i, j), slice(int(ends[i] - counts[i]), int(ends[j - 1]))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
     for step in range(1, rounds + 1):
         trans = np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
-        e = w[:-4][local].sum(axis=1) + w[-4]
-        p = chain(e, counts, trans)
-        # Pair marginals from neighbours' marginals, up to the factor that the transition puts on each pair.
-        a, b = p[inner], p[inner + 1]
-        pairs = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b]) * trans.ravel()[:, None]
-        pairs /= np.maximum(pairs.sum(axis=0), 1e-12)
-        miss = p - y
-        grad = np.concatenate([np.bincount(local.ravel(), weights=np.repeat(miss, index.shape[1]), minlength=len(used)) / np.sqrt(np.maximum(seen, 1)), [miss.mean() * 50], (pairs[1:].sum(axis=1) - y01) / max(1.0, y.sum())])
-        grad[:-4] += decay * w[:-4]
+        grad = np.zeros_like(w)
+        for rows, at in blocks:
+            feature, target = local[index[at]], y[at]
+            p = chain(w[:-4][feature].sum(axis=1) + w[-4], counts[rows], trans)
+            miss = p - target
+            for k in range(feature.shape[1]):
+                grad[:-4] += np.bincount(feature[:, k], weights=miss, minlength=len(used))
+            grad[-4] += miss.sum()
+            # Pair marginals from neighbours' marginals, up to the factor that the transition puts on each pair.
+            segment = np.repeat(np.arange(len(counts[rows])), counts[rows])
+            inner = np.flatnonzero(segment[1:] == segment[:-1])
+            a, b = p[inner], p[inner + 1]
+            pairs = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b]) * trans.ravel()[:, None]
+            pairs /= np.maximum(pairs.sum(axis=0), 1e-12)
+            c, d = target[inner], target[inner + 1]
+            grad[-3:] += pairs[1:].sum(axis=1) - np.array([((1 - c) * d).sum(), (c * (1 - d)).sum(), (c * d).sum()])
+        grad[:-4] = grad[:-4] / seen + decay * w[:-4]
+        grad[-4] *= 50 / max(1, len(y))
+        grad[-3:] /= max(1.0, float(y.sum()))
         m, v = 0.8 * m + 0.2 * grad, 0.95 * v + 0.05 * grad**2
         w -= 0.5 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-3)
     weights = np.zeros(size, dtype=np.float32)
@@ -173,8 +188,8 @@ def fit(texts: list[str], toxic: np.ndarray, least: int = 4, purity: float = 0.9
     made = []
     for part in parts:
         data, offsets = utf8_buffers(pa.array([texts[i] for i in part], type=pa.large_string()))
-        _, _, counts, index = word_features(data, offsets)
-        made.append((index, counts, toxic[part]))
+        pieces = [word_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2:] for i, j in spans(offsets, 1 << 19)]
+        made.append((np.concatenate([x for _, x in pieces]), np.concatenate([c for c, _ in pieces]), toxic[part]))
     index, counts, y = made[0]
     weights, bias, trans = fit_chain(index, counts, label_words(index, counts, y, least, purity), rounds, decay)
     model = ToxicityModel(weights, bias, trans, np.zeros(5))
@@ -193,7 +208,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int,
     return [r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, folds: int = 3, held_fold: int = 1, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, folds: int = 3, held_fold: int = 1, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
     """A model from a bounded sample of labelled rows: at most `max_rows`, none from the held-out fold."""
     return fit(*training_rows(docs, labels, max_rows, folds, held_fold, text_col, id_col))
 
@@ -257,7 +272,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, n_words long, toxic_words double, spans array<struct<start:int,end:int,chance:double>>")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 6000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 5000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that score under `threshold`, with all their columns."""
     scored = score_toxicity(docs, train(docs, labels, max_rows, text_col=text_col, id_col=id_col), text_col, id_col, keep=True)
     return scored.where(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

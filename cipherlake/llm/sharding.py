@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,23 +12,22 @@ from pyspark.sql import functions as F
 from cipherlake.llm._frames import Workspace, text_or_empty
 
 
-def sample_keys(keys: DataFrame, n_sample: int) -> list[tuple[int, int, int]]:
-    """At most `n_sample` keys (h1, h2, bytes), drawn without replacement with chances in proportion to `size`.
+def sample_keys(keys: DataFrame, n_sample: int) -> list[tuple[int, int]]:
+    """About `n_sample` keys (h1, h2), each row drawn on its own with a chance in proportion to `size`.
 
-    Each row gets the exponential arrival time -ln(u) / size with u hashed from its key; the smallest times win.
-    The sort keeps only `n_sample` rows per task, and the driver gets no more than that bound.
+    The chances sum to `n_sample` at most, so the driver gets that many keys, give or take a few square roots, however
+    large the table is.
     """
+    total = keys.agg(F.sum("size").alias("total")).first().total or 1
     bits = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "h1", "h2", "tie"), 12).cast("double")
     u = (bits + F.lit(0.5)) / F.lit(float(2**52))
-    timed = keys.select("h1", "h2", "size", (-F.log(u) / F.col("size")).alias("at"))
-    return [(r.h1, r.h2, r.size) for r in timed.orderBy("at", "h1", "h2").limit(n_sample).collect()]
+    drawn = keys.where(u < F.col("size") * F.lit(n_sample / total)).select("h1", "h2")
+    return sorted((r.h1, r.h2) for r in drawn.collect())
 
 
-def quantile_splitters(sample: list[tuple[int, int, int]], n_ranges: int) -> list[tuple[int, int]]:
-    """At most n_ranges - 1 distinct boundaries; the draw was weighted, so sample ranks stand for bytes."""
-    keys = sorted((a, b) for a, b, _ in sample)
-    cuts = {keys[len(keys) * k // n_ranges] for k in range(1, n_ranges)} if keys else set()
-    return sorted(cuts)
+def quantile_splitters(keys: list[tuple[int, int]], n_ranges: int) -> list[tuple[int, int]]:
+    """At most n_ranges - 1 distinct boundaries from sorted keys; the draw was weighted, so sample ranks stand for bytes."""
+    return sorted({keys[len(keys) * k // n_ranges] for k in range(1, n_ranges)}) if keys else []
 
 
 def range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -64,7 +65,7 @@ def shard_bytes(
     Columns: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard, slot, grown_shard (null).
 
     The key is the text's hash, then the id's hash: equal texts stand together in one shard, unless their group
-    crosses a shard's end, where it is cut by id. Splitters are quantiles of at most `n_sample` size-weighted keys;
+    crosses a shard's end, where it is cut by id. Splitters are quantiles of about `n_sample` size-weighted keys;
     every row is range-partitioned by binary search. Ranges above `overfull` times the mean in bytes or rows are
     subdivided at splitters drawn within them, up to `max_rounds` times, so a group of equal texts of any size is
     spread too. Exact byte totals of the ranges (n_ranges rows or few more) turn each row's place in its range into
@@ -100,14 +101,13 @@ def shard_bytes(
         mean = max(1, all_bytes // max(1, all_rows))
         sample = sample_keys(inside.withColumn("size", F.col("size") + F.lit(mean)), n_sample)
         cuts = set(splitters)
-        bounds = [None, *splitters, None]
         by_range: dict[int, list] = {}
         for key in sample:
-            by_range.setdefault(_place(splitters, key[:2]), []).append(key)
+            by_range.setdefault(bisect.bisect_right(splitters, key), []).append(key)
         for r in full:
             pieces = int(np.ceil(max(r.bytes * n_ranges / all_bytes, r.rows * n_ranges / all_rows))) + 1
             cuts.update(quantile_splitters(by_range.get(r.range, []), pieces))
-        if len(cuts) == len(splitters) or len(bounds) > 50 * n_ranges:
+        if len(cuts) == len(splitters):
             break
         splitters = sorted(cuts)
 
@@ -142,9 +142,3 @@ def shard_bytes(
         (F.col("row") - F.col("first_row")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def _place(splitters: list[tuple[int, int]], key: tuple[int, int]) -> int:
-    import bisect
-
-    return bisect.bisect_right(splitters, key)

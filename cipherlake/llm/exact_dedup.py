@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm._frames import text_or_empty
+from cipherlake.llm._frames import Workspace, text_or_empty
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = "[ \\x09-\\x0D]"
@@ -56,6 +56,8 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
             .alias("group_size"),
         )
     )
+    # Written first: the join then has two plain shuffles, of which adaptive execution can split a hot digest's part.
+    groups = Workspace(df.sparkSession, "exact-dedup").save(groups, "groups")
     return (
         rows.select("doc_id", "rid", "digest")
         .join(groups, F.col("digest") == F.col("group_digest"))

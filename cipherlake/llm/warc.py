@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm._frames import text_or_empty
+from cipherlake.llm._frames import Workspace, text_or_empty
 from cipherlake.llm._text import column
 
 # Fixed values of the format.
@@ -49,7 +49,9 @@ def decide_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """
     keyed = pages.withColumn("content", F.unhex(F.sha2("payload", 256)))
     first = keyed.groupBy("content").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    joined = keyed.join(first.where("copies > 1"), "content", "left")
+    # Written first: the join then has two plain shuffles, of which adaptive execution can split a hot payload's part.
+    first = Workspace(pages.sparkSession, "warc-copies").save(first.where("copies > 1"), "first")
+    joined = keyed.join(first, "content", "left")
     revisit = (F.octet_length("payload") >= min_bytes) & (F.col("first_id") < F.col("page_id"))
     revisit = F.coalesce(revisit | (F.col("first_id").isNotNull() & F.col("page_id").isNull()), F.lit(False))
     return joined.select(

@@ -62,6 +62,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(read_table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cipherlake.llm.near_dedup import near_duplicates
 
@@ -130,7 +137,7 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_warc, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_warc, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,8 +20,8 @@ MARK = "▁"
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words that a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+#: Threads of the library in each task, unless RAYON_NUM_THREADS is set: tasks run side by side already.
+THREADS = "2"
 
 
 def protobuf_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,11 +99,7 @@ class SentencePieceModel:
 
 
 class Codec:
-    """Encodes and decodes with a model file's pieces, through the tokenizers library.
-
-    Words (the marker's run and what follows it) are encoded once each and remembered: no piece spans two words in a
-    model whose pieces hold the marker in front only, which is checked; other models get whole texts.
-    """
+    """Encodes and decodes with a model file's pieces, through the tokenizers library, whole texts at a time."""
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer, models, normalizers
@@ -113,7 +109,7 @@ class Codec:
             core = models.Unigram(list(zip(m.pieces, m.scores, strict=True)), m.unknown, m.byte_fallback)
         elif m.model_type == BPE:
             vocab = {p: i for i, p in enumerate(m.pieces)}
-            core = models.BPE(vocab, m.merges(), unk_token=m.pieces[m.unknown], fuse_unk=True, byte_fallback=m.byte_fallback)
+            core = models.BPE(vocab, m.merges(), cache_capacity=0, unk_token=m.pieces[m.unknown], fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
             raise ValueError("only unigram and BPE models are read")
         self.tokenizer = Tokenizer(core)
@@ -121,8 +117,6 @@ class Codec:
         if m.drop_extra_spaces:
             steps += [normalizers.Replace(self._regex(" {2,}"), " "), normalizers.Strip()]
         self.normaliser = normalizers.Sequence(steps) if steps else None
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in m.pieces)
-        self.cache: dict[str, bytes] = {}
         self.raw = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, t in zip(m.pieces, m.types, strict=True)
@@ -145,19 +139,9 @@ class Codec:
         return text.replace(" ", MARK) if self.model.escape_spaces else text
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """int32 ids of each text; distinct words go to the library's threads in one call."""
-        split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if self.by_word else lambda t: [t] if t else []
-        lists = [split(self.normalise(t)) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for words in lists for w in words if w not in self.cache})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(got.ids, dtype=np.int32).tobytes()
-        known = self.cache.__getitem__
-        out = [np.frombuffer(b"".join(map(known, words)), dtype=np.int32) for words in lists]
-        if not self.by_word:
-            self.cache.clear()
-        return out
+        """int32 ids of each text; the library's threads share the batch."""
+        got = self.tokenizer.encode_batch_fast([self.normalise(t) for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, dtype=np.int32) for x in got]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; runs of byte pieces form characters, bad ones become U+FFFD; the dummy prefix goes."""
@@ -166,7 +150,7 @@ class Codec:
 
 
 def encode_documents(
-    df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False, chunk_bytes: int = 2 << 20
+    df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False, chunk_bytes: int = 1 << 20
 ) -> DataFrame:
     """One row per input row: doc_id, ids (array<int>), n_tokens, n_bytes, round_trip; with `with_text` also `decoded`.
 
@@ -180,6 +164,7 @@ def encode_documents(
         model = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         codec = Codec(model)
         for batch in batches:
             texts = column(batch, "text")

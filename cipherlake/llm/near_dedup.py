@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import Workspace, text_or_empty
@@ -26,6 +26,10 @@ N_HASH = 64
 #: Children of a node that branches; at 2 a pair of similarity s survives any depth with a chance near 1 - (1 - s) ** 2 / s ** 2.
 BRANCH = 2
 CHUNK_BYTES = 1 << 20
+#: Pivots of a crowd, on average; tokens of a left and of a right block; columns of a matrix.
+PIVOTS = 32
+LEFT_TOKENS, RIGHT_TOKENS = 1 << 17, 1 << 18
+COLUMNS = 1 << 14
 
 _draw = np.random.default_rng(20240607)
 _FACTORS = _draw.integers(1, 2**32, N_HASH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -142,8 +146,30 @@ def leaf_pairs(leaves: DataFrame, least: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def agreement(x: Column, y: Column) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Index pairs whose sorted token arrays have that Jaccard similarity: 0/1 matrices over the left side's tokens,
+    multiplied a stretch of columns at a time."""
+    if not left or not right:
+        return []
+    n_left, n_right = (np.array([len(s) for s in side]) for side in (left, right))
+    tokens, column_of = np.unique(np.concatenate(left), return_inverse=True)
+    row_of = np.repeat(np.arange(len(left)), n_left)
+    flat, other_row = np.concatenate(right), np.repeat(np.arange(len(right)), n_right)
+    at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+    known = tokens[at] == flat
+    at, other_row = at[known], other_row[known]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, len(tokens), COLUMNS):
+        width = min(COLUMNS, len(tokens) - first)
+        a, b = np.zeros((len(left), width), dtype=np.float32), np.zeros((len(right), width), dtype=np.float32)
+        here = (column_of >= first) & (column_of < first + width)
+        a[row_of[here], column_of[here] - first] = 1
+        here = (at >= first) & (at < first + width)
+        b[other_row[here], at[here] - first] = 1
+        common += a @ b.T
+    # Sums of ones are exact in float32 up to 2 ** 24 tokens.
+    common = common.astype(np.int64)
+    return list(zip(*(x.tolist() for x in np.nonzero(100 * common >= percent * (n_left[:, None] + n_right[None] - common))), strict=True))
 
 
 class Join:
@@ -183,19 +209,58 @@ class Join:
             entries = self.save(large.join(self.sets.select("set_key", "sig"), "set_key").select("set_key", F.explode(children).alias("node")))
         return (reduce(DataFrame.unionAll, leaves) if leaves else None), None
 
-    def pivots(self, dense: DataFrame) -> DataFrame:
-        """a, b, sure: each member of large nodes with the pivot, one per node, that it agrees with most."""
-        pivot = dense.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "set_key"), "set_key"))["set_key"].alias("pivot"))
-        own = self.sets.select("set_key", "sig")
-        pivot = self.save(pivot.join(own.select(F.col("set_key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot"))
-        met = dense.join(pivot, "node").where("set_key != pivot").join(own, "set_key").select("set_key", "pivot", agreement(F.col("sig"), F.col("pivot_sig")).alias("same"))
-        best = met.where(F.col("same") >= self.least).groupBy("set_key").agg(F.max(F.struct("same", "pivot"))["pivot"].alias("pivot"))
-        return best.select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), F.lit(True).alias("sure")).distinct()
+    def crowds(self, dense: DataFrame) -> DataFrame:
+        """set_key, crowd, n_shingles: the sets of large nodes; nodes with a set in common are one crowd."""
+        first = self.save(dense.groupBy("node").agg(F.min("set_key").alias("b")))
+        star = dense.join(first, "node").where("set_key != b").select(F.col("set_key").alias("a"), "b").distinct()
+        labels = self.merge(star, None)
+        members = self.labelled(dense.select("set_key").distinct(), "set_key", labels, "crowd")
+        return self.save(members.join(self.sets.select("set_key", "n_shingles"), "set_key"))
 
-    def add_shingles(self, keys: DataFrame, have: DataFrame | None) -> DataFrame:
+    def block_links(self, left: DataFrame, right: DataFrame, shingles: DataFrame) -> DataFrame:
+        """Links (a, b) between the left and the right sets (set_key, crowd, n_shingles) of each crowd, on full sets.
+
+        Both sides are cut into blocks of bounded size by hash, each left block meets each right block in a cell of
+        its own, and a cell gives out nothing but links.
+        """
+        percent = self.percent
+
+        def blocks(df: DataFrame, tokens: int, out: str) -> DataFrame:
+            return self.save(df.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / tokens).cast("int").alias(out)))
+
+        n_left, n_right = blocks(left, LEFT_TOKENS, "n_left"), blocks(right, RIGHT_TOKENS, "n_right")
+        counts = self.save(n_left.join(n_right, "crowd"))
+        own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "set_key"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        sides = []
+        for is_left, df in ((True, left), (False, right)):
+            met = df.select("set_key", "crowd").join(counts, "crowd")
+            met = met.withColumn("i", own("n_left", 1) if is_left else every("n_left")).withColumn("j", every("n_right") if is_left else own("n_right", 2))
+            sides.append(met.select(F.xxhash64("crowd", "i", "j").alias("cell"), F.lit(is_left).alias("is_left"), "set_key"))
+        cells = sides[0].unionAll(sides[1]).join(shingles, "set_key").repartition("cell").sortWithinPartitions("cell")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, "cell"):
+                table = table.combine_chunks()
+                cell = table.column("cell").to_numpy()
+                is_left = table.column("is_left").to_numpy(zero_copy_only=False)
+                keys = table.column("set_key").to_pylist()
+                data, offsets = utf8_buffers(table.column("shingles").combine_chunks())
+                sets = [np.frombuffer(data[a:b].tobytes(), np.uint64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+                found = set()
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    x, y = [k for k in range(s, e) if is_left[k]], [k for k in range(s, e) if not is_left[k]]
+                    for p, q in similar([sets[k] for k in x], [sets[k] for k in y], percent):
+                        a, b = keys[x[p]], keys[y[q]]
+                        if a != b:
+                            found.add((min(a, b), max(a, b)))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        return self.save(cells.select("cell", "is_left", "set_key", "shingles").mapInArrow(run, "a binary, b binary"))
+
+    def shingles(self, keys: DataFrame) -> DataFrame:
         """set_key and shingles (8-byte hashes, packed) of the given sets, recomputed from whole texts."""
-        if have is not None:
-            keys = keys.join(have.select("set_key"), "set_key", "left_anti")
         wanted = keys.join(self.sets.select("set_key", "rep_doc"), "set_key").select(F.col("set_key").alias("wanted"), "rep_doc")
         wanted = self.save(wanted)
         found = self.docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep_doc")).select("wanted", "text")
@@ -216,8 +281,7 @@ class Join:
                             keep.append((k, s))
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], type=pa.binary()), pa.array([s for _, s in keep], type=pa.binary())], names=["set_key", "shingles"])
 
-        new = self.save(found.mapInArrow(run, "set_key binary, shingles binary"))
-        return new if have is None else have.unionAll(new)
+        return self.save(found.mapInArrow(run, "set_key binary, shingles binary"))
 
     def confirm(self, pairs: DataFrame, shingles: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the similarity."""
@@ -269,22 +333,13 @@ class Join:
             turn += 1
         return labels
 
-    def strays(self, dense: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        """Pairs left to confirm in large nodes: every set outside its node's largest component, against all others."""
-        own = self.sets.select("set_key", "sig", "n_shingles")
-        members = self.save(self.labelled(dense, "set_key", labels, "label"))
-        counts = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = self.save(counts.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
-        odd = self.save(members.join(main, "node").where("label != main").join(own, "set_key"))
-        if odd.isEmpty():
-            return None
-        left = odd.select("node", F.col("set_key").alias("p"), F.col("label").alias("p_label"), F.col("sig").alias("p_sig"), F.col("n_shingles").alias("p_n"))
-        right = members.join(odd.select("node").distinct(), "node", "left_semi").join(own, "set_key").select("node", F.col("set_key").alias("q"), F.col("label").alias("q_label"), F.col("sig").alias("q_sig"), F.col("n_shingles").alias("q_n"))
-        right = self.save(right)
-        s = F.lit(self.similarity)
-        near = (F.col("p_label") != F.col("q_label")) & (F.least("p_n", "q_n") >= s * F.greatest("p_n", "q_n") - 1e-9) & (agreement(F.col("p_sig"), F.col("q_sig")) >= self.least)
-        met = left.join(right, (left["node"] == right["node"]) & near)
-        return self.save(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    def strays(self, members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The sets outside their crowd's largest component, and all sets of the crowds that have such."""
+        named = self.save(self.labelled(members, "set_key", labels, "label"))
+        counts = named.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = self.save(counts.groupBy("crowd").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
+        odd = self.save(named.join(main, "crowd").where("label != main").select("set_key", "crowd", "n_shingles"))
+        return odd, members.join(odd.select("crowd").distinct(), "crowd", "left_semi")
 
     def run(self) -> DataFrame:
         rows = self.save(sketch(self.docs, self.width))
@@ -292,20 +347,25 @@ class Join:
         leaves, dense = self.paths()
         labels = None
         if leaves is not None:
-            pairs = leaf_pairs(leaves.join(self.sets.select("set_key", "n_shingles", "sig"), "set_key"), self.least, self.similarity)
-            if dense is not None:
-                pairs = pairs.unionAll(self.pivots(dense)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-            pairs = self.save(pairs)
-            keys = lambda p: p.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-            shingles = self.add_shingles(keys(pairs), None)
-            labels = self.merge(self.confirm(pairs.where("sure"), shingles), None)
-            rest = self.labelled(self.labelled(pairs.where("NOT sure"), "a", labels, "x"), "b", labels, "y").where("x != y")
-            labels = self.merge(self.confirm(rest, shingles), labels)
+            pairs = self.save(leaf_pairs(leaves.join(self.sets.select("set_key", "n_shingles", "sig"), "set_key"), self.least, self.similarity))
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
+            members = None
             if dense is not None:
-                odd = self.strays(dense, labels)
-                if odd is not None:
-                    shingles = self.add_shingles(keys(odd), shingles)
-                    labels = self.merge(self.confirm(odd, shingles), labels)
+                members = self.crowds(dense)
+                needed = needed.unionAll(members.select("set_key"))
+            shingles = self.shingles(needed.distinct())
+            if members is not None:
+                size = self.save(members.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")))
+                u = F.shiftrightunsigned(F.xxhash64(F.lit("pivot"), "set_key"), 12) / F.lit(float(2**52))
+                pivots = members.join(size, "crowd").where(u * F.col("n") < PIVOTS).select("set_key", "crowd", "n_shingles")
+                labels = self.merge(self.block_links(pivots, members, shingles), labels)
+            for which in ("sure", "NOT sure"):
+                apart = self.labelled(self.labelled(pairs.where(which), "a", labels, "x"), "b", labels, "y").where("x != y")
+                labels = self.merge(self.confirm(apart, shingles), labels)
+            if members is not None:
+                odd, crowd = self.strays(members, labels)
+                if not odd.isEmpty():
+                    labels = self.merge(self.block_links(odd, crowd, shingles), labels)
         named = self.labelled(self.sets.select("set_key", "rep_doc"), "set_key", labels, "label")
         least = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"))
         groups = self.save(named.select("set_key", "label").join(least, "label").select("set_key", "component_id"))
@@ -315,7 +375,7 @@ class Join:
 
 
 def near_duplicates(
-    df: DataFrame, width: int = 5, percent: int = 80, recall: float = 1 - 1e-6, leaf: int = 64, depth: int = 4, text_col: str = "text", id_col: str = "doc_id"
+    df: DataFrame, width: int = 5, percent: int = 80, recall: float = 1 - 1e-6, leaf: int = 64, depth: int = 2, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
@@ -325,10 +385,10 @@ def near_duplicates(
     equal minwise tokens still make a candidate.
 
     Hot groups: equal sets are one from the start. Nodes of at most `leaf` sets are compared exhaustively; larger ones
-    branch, up to `depth` times. What is still large then (texts alike in almost every token) is linked to pivots,
-    one per node, and every set that its node's largest component has not taken in is compared with all others of
-    the node, by a join on nodes that adaptive execution can split. No group is gathered in one task, no list of
-    pairs is made within a group of copies, and nothing is capped.
+    branch, up to `depth` times. What is still large then (sets alike in almost every token) forms crowds. There,
+    about 32 pivots meet every member, and each set that its crowd's largest component has not taken in meets every
+    member: always a block against a block, on full sets, in a task of bounded size that gives out links only. No
+    group is gathered in one task, no list of all pairs is made within a group, and nothing is capped.
 
     A row without words (or null text) has an empty set, is linked with nothing and is its own component. Fewer than
     `width` words form one shingle. Null ids take the component of rows with an equal or linked set, if one has an id,

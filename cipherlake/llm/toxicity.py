@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cipherlake.llm._frames import text_or_empty
 from cipherlake.llm._text import U64, column, span_hashes, spans, utf8_buffers, words
@@ -265,7 +266,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
                 )
 
     if keep:
-        schema = df.schema.add("_score", "double")
+        schema = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())])
         return df.mapInArrow(kept, schema)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
     place = 1

@@ -47,25 +47,28 @@ def clean_response(raw: Column) -> Column:
     return strip(F.regexp_replace(bare, r"(?m)^```(?:json)?\s*|\s*```$", ""))
 
 
-def parse_response(raw: Column) -> Column:
-    """The response's object as a map of strings, or null: the cleaned text, else its widest {...} part.
-
-    Values that are not strings are left out, so a check of required keys rejects them.
-    """
+def response_object(raw: Column) -> Column:
+    """The JSON object of a response as text, or null: the cleaned text if it is JSON at all, else its widest {...} part."""
     cleaned = clean_response(raw)
     braces = F.regexp_extract(cleaned, r"(\{[\s\S]*\})", 1)
+    text = F.when(F.try_parse_json(cleaned).isNotNull(), cleaned).otherwise(braces)
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+
+
+def response_fields(text: Column) -> Column:
+    """The required fields of a JSON object as a struct of strings; null where one is missing or no string."""
+    whole = F.try_parse_json(text)
 
-    def strings(text: Column) -> Column:
-        whole = F.try_parse_json(text)
-        fields = [F.when(F.schema_of_variant(F.try_variant_get(whole, f"$.{k}", "variant")) == "STRING", F.try_variant_get(whole, f"$.{k}", "string")) for k in RESPONSE_KEYS]
-        return F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.struct(*[f.alias(k) for f, k in zip(fields, RESPONSE_KEYS, strict=True)]))
+    def field(key: str) -> Column:
+        value = F.try_variant_get(whole, f"$.{key}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(whole, f"$.{key}", "string")).alias(key)
 
-    return F.coalesce(strings(cleaned), strings(braces))
+    return F.struct(*[field(k) for k in RESPONSE_KEYS])
 
 
 def valid_response(parsed: Column) -> Column:
-    """All keys present, strings and not blank; a known complexity in any case."""
-    ok = parsed.isNotNull()
+    """All fields there and not blank; a known complexity in any case."""
+    ok = F.lit(True)
     for key in RESPONSE_KEYS:
         ok = ok & F.coalesce(strip(parsed[key]) != "", F.lit(False))
     return ok & F.coalesce(F.upper(strip(parsed["migration_complexity"])).isin(*COMPLEXITIES), F.lit(False))

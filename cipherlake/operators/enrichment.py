@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.functions.enrichment import nist_reference, parse_response, should_recommend_hybrid, static_context, user_prompt, valid_response
+from cipherlake.functions.enrichment import nist_reference, response_fields, response_object, should_recommend_hybrid, static_context, user_prompt, valid_response
 from cipherlake.functions.redaction import sanitize_text
 from cipherlake.functions.text import strip
 from cipherlake.operators.findings import RECOMMENDATION, complete
@@ -20,9 +20,12 @@ def prompts(findings: DataFrame) -> DataFrame:
 
 def first_valid(responses: DataFrame, key: str) -> DataFrame:
     """(key, tier, usage_context, pqc_replacement, migration_complexity, reasoning) of the first tier with a valid response."""
-    parsed = responses.withColumn("parsed", parse_response(F.col("raw")))
-    good = parsed.where(valid_response(F.col("parsed")))
-    best = good.groupBy(key).agg(F.min_by(F.struct("tier", "parsed"), F.col("tier")).alias("best"))
+    # Invalid responses are passed over by their null order, not by a filter: a filter would be pushed below the
+    # parsed columns and parse twice.
+    text = responses.withColumn("text", response_object(F.col("raw"))).select(key, "tier", "text")
+    parsed = text.select(key, "tier", response_fields(F.col("text")).alias("parsed"))
+    best = parsed.groupBy(key).agg(F.min_by(F.struct("tier", "parsed"), F.when(valid_response(F.col("parsed")), F.col("tier"))).alias("best"))
+    best = best.where("best IS NOT NULL")
     fields = [F.col(f"best.parsed.{k}").alias(k) for k in ("usage_context", "pqc_replacement", "reasoning")]
     return best.select(key, F.col("best.tier").alias("tier"), *fields, F.upper(strip(F.col("best.parsed.migration_complexity"))).alias("migration_complexity"))
 

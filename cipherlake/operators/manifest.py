@@ -14,8 +14,8 @@ COMMENT = r"^(#|//|<!--|\*|;)"
 
 
 def manifest_rule(text: Column) -> Column:
-    """The first signature that occurs in the text, by number."""
-    return first_match(MANIFEST_RULES, lambda rule: text.rlike(f"(?i){rule.key}"))
+    """The first signature that occurs in the text, by number; word boundaries know all letters, on any Java version."""
+    return first_match(MANIFEST_RULES, lambda rule: text.rlike(f"(?iU){rule.key}"))
 
 
 def manifest_lines(files: DataFrame, text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=U64)
+        steps = np.full(max(n, 1 << 17), base, dtype=U64)
         steps[0] = 1
         _powers[name] = have = np.multiply.accumulate(steps)
     return have[:n]

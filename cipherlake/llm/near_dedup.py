@@ -25,7 +25,7 @@ from cipherlake.llm._text import column, shingle_sets, spans, utf8_buffers
 N_HASH = 64
 #: Children of a node that branches; at 2 a pair of similarity s survives any depth with a chance near 1 - (1 - s) ** 2 / s ** 2.
 BRANCH = 2
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Pivots of a crowd, on average; tokens of a left and of a right block; columns of a matrix.
 PIVOTS = 32
 LEFT_TOKENS, RIGHT_TOKENS = 1 << 17, 1 << 18

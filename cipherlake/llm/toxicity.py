@@ -40,6 +40,15 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, counts, np.stack([whole, first], axis=1).astype(np.int32)
 
 
+def in_pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 18) -> tuple[np.ndarray, ...]:
+    """`word_features` of many rows, a few rows at a time: the hashes' working memory stays small."""
+    made = []
+    for i, j in spans(offsets, limit):
+        starts, ends, counts, index = word_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        made.append((starts + offsets[i], ends + offsets[i], counts, index))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
 def chain(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The marginal chance of the toxic state at each word, by forward and backward passes over all rows at once.
 
@@ -189,8 +198,8 @@ def fit(texts: list[str], toxic: np.ndarray, least: int = 4, purity: float = 0.9
     made = []
     for part in parts:
         data, offsets = utf8_buffers(pa.array([texts[i] for i in part], type=pa.large_string()))
-        pieces = [word_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2:] for i, j in spans(offsets, 1 << 19)]
-        made.append((np.concatenate([x for _, x in pieces]), np.concatenate([c for c, _ in pieces]), toxic[part]))
+        _, _, counts, index = in_pieces(data, offsets)
+        made.append((index, counts, toxic[part]))
     index, counts, y = made[0]
     weights, bias, trans = fit_chain(index, counts, label_words(index, counts, y, least, purity), rounds, decay)
     model = ToxicityModel(weights, bias, trans, np.zeros(5))
@@ -233,7 +242,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
         data, offsets = utf8_buffers(values)
         for i, j in spans(offsets, chunk_bytes):
             piece, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, counts, index = word_features(piece, own)
+            starts, ends, counts, index = in_pieces(piece, own)
             p = sent.value.marginals(index, counts)
             yield i, j, sent.value.scores(p, counts), p, counts, (piece, own, starts, ends)
 

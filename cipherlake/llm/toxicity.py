@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cipherlake.llm._frames import text_or_empty
-from cipherlake.llm._text import U64, column, span_hashes, spans, utf8_buffers, words
+from cipherlake.llm._text import U64, column, combine, span_hashes, spans, utf8_buffers, words
 
-#: Weights are held by hash; both feature kinds share the table.
+#: Slots of the scoring table, as a power of two.
 BITS = 20
 PREFIX_BYTES = 5
 #: Words of a training segment; scoring uses whole texts.
@@ -26,18 +26,18 @@ RATIO = 1e6
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, words per row, and an index pair per word: of the word without edge punctuation, and of its first bytes."""
+    """Starts, ends, words per row, and two 64-bit hashes per word: of the word without edge punctuation, and of its first bytes."""
     starts, ends, counts = words(data, offsets)
     if not len(starts):
-        return starts, ends, counts, np.zeros((0, 2), dtype=np.int32)
+        return starts, ends, counts, np.zeros((0, 2), dtype=U64)
     # A word's last byte is dropped if it is ASCII punctuation.
     last = data[ends - 1]
     mark = (last < 128) & ~((last >= 48) & (last < 58) | (last >= 65) & (last < 91) | (last >= 97) & (last < 123))
     stop = np.where(mark & (ends - starts > 1), ends - 1, ends)
-    mask = U64((1 << BITS) - 1)
-    whole = span_hashes(data, starts, stop) & mask
-    first = (span_hashes(data, starts, np.minimum(stop, starts + PREFIX_BYTES)) * U64(0xC2B2AE3D27D4EB4F) >> U64(20)) & mask
-    return starts, ends, counts, np.stack([whole, first], axis=1).astype(np.int32)
+    whole = span_hashes(data, starts, stop)
+    # The factor keeps a short word apart from itself as a prefix.
+    first = span_hashes(data, starts, np.minimum(stop, starts + PREFIX_BYTES)) * U64(0xC2B2AE3D27D4EB4F)
+    return starts, ends, counts, np.stack([whole, first], axis=1)
 
 
 def in_pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 18) -> tuple[np.ndarray, ...]:
@@ -87,19 +87,33 @@ def chain(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.nda
 
 @dataclass
 class ToxicityModel:
-    """weights: the toxic state's log-odds by feature hash; trans: transition factors; head: of the document score."""
+    """owner, weights: the toxic state's log-odds of features, by slot; a slot is its owner's alone, so other words
+    that fall into it weigh nothing. trans: transition factors; head: of the document score."""
 
+    owner: np.ndarray
     weights: np.ndarray
     bias: float
     trans: np.ndarray
     head: np.ndarray
 
-    def marginals(self, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return chain(self.weights[index].sum(axis=1, dtype=np.float64) + self.bias, counts, self.trans)
+    @classmethod
+    def of(cls, features: np.ndarray, weights: np.ndarray, bias: float, trans: np.ndarray) -> ToxicityModel:
+        """Each slot goes to its feature of the largest weight."""
+        owner, table = np.zeros(1 << BITS, dtype=U64), np.zeros(1 << BITS, dtype=np.float32)
+        order = np.argsort(np.abs(weights), kind="stable")
+        slot = (features[order] & U64((1 << BITS) - 1)).astype(np.int64)
+        owner[slot], table[slot] = features[order], weights[order]
+        return cls(owner, table, bias, trans, np.zeros(5))
+
+    def marginals(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        slot = (hashes & U64((1 << BITS) - 1)).astype(np.int64)
+        weight = np.where(self.owner[slot] == hashes, self.weights[slot], 0)
+        return chain(weight.sum(axis=1, dtype=np.float64) + self.bias, counts, self.trans)
 
     def document_features(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        # Only words that are rather toxic than not are summed: a long text of unknown words has no score for its length.
         ends = np.cumsum(counts)
-        sums = np.concatenate([[0.0], np.cumsum(p)])
+        sums = np.concatenate([[0.0], np.cumsum(np.where(p >= 0.5, p, 0.0))])
         sure = np.concatenate([[0.0], np.cumsum(p >= 0.5)])
         total = sums[ends] - sums[ends - counts]
         most = np.zeros(len(counts))
@@ -113,33 +127,39 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.document_features(p, counts) @ self.head, -30, 30)))
 
 
-def label_words(index: np.ndarray, counts: np.ndarray, toxic: np.ndarray, least: int, purity: float) -> np.ndarray:
-    """Word labels from document labels: in toxic documents, words whose hash or prefix hash occurs in at least `least`
-    documents, toxic ones among these by at least `purity`."""
+def families(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A number per document that near copies tend to share: its smallest hash of three words in a row."""
+    n = len(hashes) - 2
+    grams = combine([hashes[k : k + n, 0] for k in range(3)]) if n > 0 else hashes[:0, 0]
+    ends = np.cumsum(counts)
+    least = np.array([grams[e - c : e - 2].min() if c >= 3 else U64(k) for k, (c, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True))], dtype=U64)
+    return np.unique(least, return_inverse=True)[1]
+
+
+def label_words(ids: np.ndarray, n_ids: int, counts: np.ndarray, toxic: np.ndarray, family: np.ndarray, least: int, purity: float) -> np.ndarray:
+    """Word labels from document labels: in toxic documents, words one of whose features occurs in at least `least`
+    families of toxic documents, or in a fiftieth of these if that is more, and these are at least `purity` of all
+    families that have it.
+
+    Families, not documents, are counted: else any rare word of a toxic text with copies would be toxic.
+    """
     row = np.repeat(np.arange(len(counts)), counts)
-    size, flagged = 1 << BITS, np.zeros(len(index), dtype=bool)
-    for k in range(index.shape[1]):
-        pair = np.unique(row * size + index[:, k].astype(np.int64))
-        doc, feature = pair // size, pair % size
-        seen = np.bincount(feature, minlength=size)
-        bad = np.bincount(feature, weights=toxic[doc], minlength=size)
-        marked = (bad >= least) & (bad >= purity * seen)
-        flagged |= marked[index[:, k]]
+    flagged = np.zeros(len(ids), dtype=bool)
+    least = max(least, len(np.unique(family[toxic == 1])) // 50)
+    for k in range(ids.shape[1]):
+        pair = family[row] * np.int64(n_ids) + ids[:, k]
+        bad, good = (np.bincount(np.unique(pair[toxic[row] == label]) % n_ids, minlength=n_ids) for label in (1, 0))
+        flagged |= ((bad >= least) & (bad >= purity * (bad + good)))[ids[:, k]]
     return flagged & (toxic[row] == 1)
 
 
-def fit_chain(index: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood by full-batch Adam; returns weights, bias and transition factors."""
+def fit_chain(ids: np.ndarray, n_ids: int, counts: np.ndarray, labels: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum likelihood by full-batch Adam; returns the features' weights, bias and transition factors."""
     counts = np.concatenate([[SEGMENT] * (c // SEGMENT) + [c % SEGMENT] * (c % SEGMENT > 0) for c in counts.tolist()] or [[]]).astype(np.int64)
     y = labels.astype(np.float32)
-    size = 1 << BITS
-    seen = np.bincount(index[:, 0], minlength=size) + np.bincount(index[:, 1], minlength=size)
-    used = np.flatnonzero(seen)
-    local = np.zeros(size, dtype=np.int32)
-    local[used] = np.arange(len(used))
-    seen = np.sqrt(seen[used])
+    seen = np.sqrt(np.maximum(1, sum(np.bincount(ids[:, k], minlength=n_ids) for k in range(ids.shape[1]))))
     rate = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-    w = np.concatenate([np.zeros(len(used)), [np.log(rate / (1 - rate))], np.zeros(3)])
+    w = np.concatenate([np.zeros(n_ids), [np.log(rate / (1 - rate))], np.zeros(3)])
     m, v = np.zeros_like(w), np.zeros_like(w)
     # Blocks of segments bound the memory of a step.
     ends = np.cumsum(counts)
@@ -149,11 +169,11 @@ def fit_chain(index: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds:
         trans = np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
         grad = np.zeros_like(w)
         for rows, at in blocks:
-            feature, target = local[index[at]], y[at]
+            feature, target = ids[at], y[at]
             p = chain(w[:-4][feature].sum(axis=1) + w[-4], counts[rows], trans)
             miss = p - target
             for k in range(feature.shape[1]):
-                grad[:-4] += np.bincount(feature[:, k], weights=miss, minlength=len(used))
+                grad[:-4] += np.bincount(feature[:, k], weights=miss, minlength=n_ids)
             grad[-4] += miss.sum()
             # Pair marginals from neighbours' marginals, up to the factor that the transition puts on each pair.
             segment = np.repeat(np.arange(len(counts[rows])), counts[rows])
@@ -168,9 +188,7 @@ def fit_chain(index: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds:
         grad[-3:] /= max(1.0, float(y.sum()))
         m, v = 0.8 * m + 0.2 * grad, 0.95 * v + 0.05 * grad**2
         w -= 0.5 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-3)
-    weights = np.zeros(size, dtype=np.float32)
-    weights[used] = w[:-4]
-    return weights, float(w[-4]), np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
+    return w[:-4], float(w[-4]), np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
 
 
 def fit_head(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -189,7 +207,7 @@ def fit(texts: list[str], toxic: np.ndarray, least: int = 4, purity: float = 0.9
     Without texts of both labels the model gives every document the labels' mean.
     """
     toxic = np.asarray(toxic, dtype=np.int64)
-    flat = ToxicityModel(np.zeros(1 << BITS, np.float32), -12.0, np.ones((2, 2)), np.zeros(5))
+    flat = ToxicityModel.of(np.zeros(0, U64), np.zeros(0), -12.0, np.ones((2, 2)))
     if len(texts) < 3 or len(set(toxic.tolist())) < 2:
         mean = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6))
         flat.head[0] = np.log(mean / (1 - mean))
@@ -200,11 +218,13 @@ def fit(texts: list[str], toxic: np.ndarray, least: int = 4, purity: float = 0.9
         data, offsets = utf8_buffers(pa.array([texts[i] for i in part], type=pa.large_string()))
         _, _, counts, index = in_pieces(data, offsets)
         made.append((index, counts, toxic[part]))
-    index, counts, y = made[0]
-    weights, bias, trans = fit_chain(index, counts, label_words(index, counts, y, least, purity), rounds, decay)
-    model = ToxicityModel(weights, bias, trans, np.zeros(5))
-    index, counts, y = made[1]
-    model.head = fit_head(model.document_features(model.marginals(index, counts), counts), y)
+    hashes, counts, y = made[0]
+    features, ids = np.unique(hashes, return_inverse=True)
+    ids = ids.reshape(hashes.shape).astype(np.int32)
+    weights, bias, trans = fit_chain(ids, len(features), counts, label_words(ids, len(features), counts, y, families(hashes, counts), least, purity), rounds, decay)
+    model = ToxicityModel.of(features, weights, bias, trans)
+    hashes, counts, y = made[1]
+    model.head = fit_head(model.document_features(model.marginals(hashes, counts), counts), y)
     return model
 
 
@@ -229,12 +249,12 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
 
     With `keep`, the input's own columns are returned with `_score` added instead.
 
-    The score is a logistic function of the largest and the summed marginals and of their share of the words.
+    The score is a logistic function of the largest marginal, and of the number, sum and share of words at 0.5 or more.
     Only the text is an input of a score. Texts are whole; memory is bounded by one Arrow batch and a chunk of
     `chunk_bytes` (or one text). Null text is empty and scores as no words. Null ids are carried, repeated rows score
     alike. An empty table gives an empty result.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 4 MB of weights, whatever the corpus
+    sent = df.sparkSession.sparkContext.broadcast(model)  # 12 MB of owners and weights, whatever the corpus
     names = df.columns
     place = names.index(text_col)
 

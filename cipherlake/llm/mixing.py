@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.llm._frames import Workspace
+
 #: 52 bits of a hash fill a double's mantissa.
 HASH_DIGITS = 13
 
@@ -78,7 +80,7 @@ def mix_sources(
     shuffle's partitions and sorted within them, so a hot source or a hot text spreads evenly.
 
     The rates are broadcast only if there are at most `broadcast_rows` sources, which is counted first; else they
-    are joined by a shuffle, where adaptive execution splits a hot source.
+    are written and joined by a shuffle, where adaptive execution splits a hot source.
 
     A null source is the source with an empty name. Null ids hash as an empty string and share one count. Repeated
     rows (same id) share count and order. Sources with weight 0 give no rows. Columns of `docs` named mix_copy or
@@ -87,6 +89,8 @@ def mix_sources(
     rates = source_rates(docs, source_col, weights, temperature, budget)
     few = len(rates.limit(broadcast_rows + 1).select("source").take(broadcast_rows + 1)) <= broadcast_rows
     table = rates.select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf"))
+    if not few:
+        table = Workspace(docs.sparkSession, "mixing").save(table, "rates")
     key = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
     base = docs.select(*[F.col(f"`{c}`") for c in names])

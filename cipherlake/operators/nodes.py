@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cipherlake.shipping import ship_package
+
 ANCESTOR = "struct<type:string,text:string,child_idents:array<string>>"
 NODE_SCHEMA = (
     "file_path string, language string, seq int, node_type string, text string, line_number int, column_start int, column_end int, "
@@ -333,4 +335,5 @@ def extract_nodes(files: DataFrame) -> DataFrame:
                 rows += [{"file_path": path, "language": language, "seq": k, **n} for k, n in enumerate(nodes)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    ship_package(files.sparkSession)
     return files.select("file_path", "language", "text").mapInArrow(run, NODE_SCHEMA)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cipherlake.functions.text import decode_manifest, decode_source, extension
 from cipherlake.functions.urls import basename
 from cipherlake.rules.tables import LANGUAGE_EXTENSIONS, MANIFEST_EXTENSIONS, MANIFEST_NAMES, MANIFEST_SKIP_DIRS, SOURCE_SKIP_DIRS
+from cipherlake.shipping import ship_package
 
 
 def directories() -> Column:
@@ -72,6 +73,7 @@ def read_files(paths: DataFrame) -> DataFrame:
                     content.append(b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, type=pa.binary())], names=["file_path", "rel_path", "content"])
 
+    ship_package(paths.sparkSession)
     return paths.select("file_path", "rel_path").mapInArrow(run, "file_path string, rel_path string, content binary")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import text_or_empty
 from cipherlake.llm._text import column
+from cipherlake.shipping import ship_package
 
 PAD_BYTE, PAD_TO = 255, 576
 RATE_IN, RATE_OUT = 16_000, 8_000
@@ -192,6 +193,7 @@ def media_columns(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         "n_bytes": "long", "media": "binary", "media_bytes": "long", "media_sha256": "string", "payload_bytes": "long",
         "payload_sha256": "string", "tail_crc32": "long", "tensor": "array<float>", "spans": "array<struct<start:double,end:double>>",
     }
+    ship_package(df.sparkSession)
     names = [k for k in kinds if k != "media" or with_media]
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     schema = ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}", *(f"{k} {kinds[k]}" for k in names)])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import Workspace, text_or_empty
 from cipherlake.llm._text import column, shingle_sets, spans, utf8_buffers
+from cipherlake.shipping import ship_package
 
 #: Length of the vector of minwise tokens.
 N_HASH = 64
@@ -176,6 +177,7 @@ class Join:
     """One run: sets, trees, candidates, confirmation and components, each step written to the shared folder."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int, recall: float, leaf: int, depth: int):
+        ship_package(docs.sparkSession)
         self.ws = Workspace(docs.sparkSession, "near-dedup")
         self.docs, self.width, self.percent, self.leaf, self.depth = docs, width, percent, leaf, depth
         self.similarity = percent / 100

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import text_or_empty
 from cipherlake.llm._text import column
+from cipherlake.shipping import ship_package
 
 # The contract's patterns and lengths, in the order in which kinds are listed.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -89,6 +90,7 @@ def scan_secrets(
     memory is bounded by one Arrow batch. Null text is empty and gives no spans. Repeated rows give equal results;
     null ids are carried. Other columns are not read. An empty table gives an empty result.
     """
+    ship_package(df.sparkSession)
     with open(ranks_path, "rb") as f:
         ranks = f.read()
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import text_or_empty
 from cipherlake.llm._text import column, spans, utf8_buffers
+from cipherlake.shipping import ship_package
 
 #: The metaspace marker that stands for a space.
 MARK = "▁"
@@ -160,6 +161,7 @@ def encode_documents(
     counts as a space, as in the model's own library. Null ids are carried; repeated rows give equal results; other
     columns are not read. An empty table gives an empty result.
     """
+    ship_package(df.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 
@@ -197,6 +199,7 @@ def encode_documents(
 
 def decode_documents(df: DataFrame, model_path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """doc_id and text of each row's ids (null ids: empty text)."""
+    ship_package(df.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import Workspace, text_or_empty
+from cipherlake.shipping import ship_package
 
 
 def sample_keys(keys: DataFrame, n_sample: int) -> list[tuple[int, int]]:
@@ -76,6 +77,7 @@ def shard_bytes(
     that depends on the input's order. Other columns are not read. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    ship_package(spark)
     ws = Workspace(spark, "sharding")
     text = text_or_empty(text_col)
     keys = df.select(

@@ -20,6 +20,7 @@ from cipherlake.llm._frames import Workspace, text_or_empty
 from cipherlake.llm._text import U64, _BASE, _BASE_INVERSE, _BYTE_VALUE, _power, column, mix64, utf8_buffers
 from cipherlake.llm.near_dedup import whole_groups
 from cipherlake.llm.suffix_arrays import repeated_starts
+from cipherlake.shipping import ship_package
 
 #: Bytes of a gram, at most; a window must hold several.
 GRAM = 32
@@ -94,6 +95,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Dedup:
     def __init__(self, df: DataFrame, length: int, hot: int, text_col: str, id_col: str):
+        ship_package(df.sparkSession)
         self.ws = Workspace(df.sparkSession, "substring-dedup")
         self.length, self.hot = length, hot
         text = text_or_empty(text_col)

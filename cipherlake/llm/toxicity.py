@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from cipherlake.llm._frames import text_or_empty
 from cipherlake.llm._text import U64, column, combine, span_hashes, spans, utf8_buffers, words
+from cipherlake.shipping import ship_package
 
 #: Slots of the scoring table, as a power of two.
 BITS = 20
@@ -254,6 +255,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     `chunk_bytes` (or one text). Null text is empty and scores as no words. Null ids are carried, repeated rows score
     alike. An empty table gives an empty result.
     """
+    ship_package(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # 12 MB of owners and weights, whatever the corpus
     names = df.columns
     place = names.index(text_col)

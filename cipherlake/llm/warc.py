@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import Workspace, text_or_empty
 from cipherlake.llm._text import column
+from cipherlake.shipping import ship_package
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -178,6 +179,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.string()] * len(fields) + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    ship_package(spark)
     lines = spark.read.option("lineSep", GAP).text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
     return rows.mapInArrow(run, ", ".join(f"{n} string" for n in names[:-1]) + ", block binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -241,7 +243,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int,
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, folds: int = 3, held_fold: int = 1, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
     """A model from a bounded sample of labelled rows: at most `max_rows`, none from the held-out fold."""
-    return fit(*training_rows(docs, labels, max_rows, folds, held_fold, text_col, id_col))
+    model = fit(*training_rows(docs, labels, max_rows, folds, held_fold, text_col, id_col))
+    give_back_memory()
+    return model
+
+
+def give_back_memory() -> None:
+    """Returns the training's freed memory to the system, where the C library can; the driver lives on for long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id", keep: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:

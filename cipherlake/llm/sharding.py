@@ -42,10 +42,13 @@ def range_of(splitters: list[tuple[int, int]]) -> Column:
     def search(h1: pd.Series, h2: pd.Series) -> pd.Series:
         x, y = h1.to_numpy(), h2.to_numpy()
         out = np.searchsorted(a, x, side="left").astype(np.int32)
+        # Rows whose text hash is a splitter's: the id decides, once per such hash.
         at = np.searchsorted(firsts, x)
-        for i in np.flatnonzero((at < len(firsts)) & (firsts[np.minimum(at, max(len(firsts) - 1, 0))] == x)) if len(a) else []:
-            lo, hi = starts[at[i]], ends[at[i]]
-            out[i] = lo + np.searchsorted(b[lo:hi], y[i], side="right")
+        tied = np.flatnonzero(firsts[np.minimum(at, len(firsts) - 1)] == x) if len(a) else at[:0]
+        for k in np.unique(at[tied]):
+            rows = tied[at[tied] == k]
+            lo, hi = starts[k], ends[k]
+            out[rows] = lo + np.searchsorted(b[lo:hi], y[rows], side="right")
         return pd.Series(out)
 
     return search("h1", "h2")

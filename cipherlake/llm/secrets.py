@@ -21,6 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
+#: Characters of a random string at least, and of its longest part if it is made of several.
+MIN_RANDOM, MIN_LONGEST = 20, 8
 
 #: Runs that may be a random string.
 RUN = r"[A-Za-z0-9+/_=-]+"
@@ -32,7 +34,8 @@ _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _access = re.compile(ACCESS)
 _hex = re.compile(f"[0-9a-f]{{{MIN_HEX},}}")
-_run = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_run = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
+_part = re.compile(r"[A-Za-z0-9]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -47,13 +50,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_digest(run: str) -> bool:
+    return len(run) in _DIGEST_LENGTHS and all(c in "0123456789abcdefABCDEF" for c in run)
+
+
 def is_known_identifier(run: str) -> bool:
     """Digests (hex of a usual length), UUIDs, and runs without both letters and digits: not random secrets."""
     if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
         return True
-    if len(run) in _DIGEST_LENGTHS and all(c in "0123456789abcdefABCDEF" for c in run):
-        return True
-    return _UUID.fullmatch(run) is not None
+    return is_digest(run) or _UUID.fullmatch(run) is not None
 
 
 def encoder(ranks: bytes):
@@ -63,16 +68,54 @@ def encoder(ranks: bytes):
     return tiktoken.Encoding("scan", pat_str=PRE_TOKENS, mergeable_ranks=table, special_tokens={})
 
 
+def low_stretches(parts: list[tuple[int, int]], gains: list[float]) -> Iterator[tuple[int, int]]:
+    """Stretches of whole parts that gain the most: from a part that gains, up to the highest sum before it is used up."""
+    k = 0
+    while k < len(parts):
+        best, end, total, j = 0.0, k, 0.0, k
+        while j < len(parts) and total >= 0:
+            total += gains[j]
+            j += 1
+            if total >= 0 and gains[j - 1] >= 0 and total >= best:
+                best, end = total, j
+        if end > k:
+            yield parts[k][0], parts[end - 1][1]
+        k = max(end, k + 1)
+
+
+def random_spans(run: str, encoding, max_ratio: float) -> Iterator[tuple[int, int]]:
+    """Spans of a run that hold a random string: all of it, or else stretches of its parts between + / _ = -, so that
+    words beside a key do not hide it."""
+
+    def is_random(text: str) -> bool:
+        return not is_known_identifier(text) and len(text) <= max_ratio * len(encoding.encode_ordinary(text))
+
+    if is_random(run):
+        yield 0, len(run)
+        return
+    # Identifiers are no part of a stretch.
+    known = [m.span() for m in _UUID.finditer(run)]
+    blocks: list[list[tuple[int, int]]] = [[]]
+    for m in _part.finditer(run):
+        if any(a < m.end() and m.start() < b for a, b in known) or is_digest(m.group()):
+            blocks.append([])
+        else:
+            blocks[-1].append(m.span())
+    for parts in blocks:
+        # What a part has in tokens beyond the ratio; separators do not count.
+        gains = [max_ratio * len(encoding.encode_ordinary(run[a:b])) - (b - a) for a, b in parts]
+        for a, b in low_stretches(parts, gains):
+            longest = max(y - x for x, y in parts if a <= x and y <= b)
+            if b - a >= MIN_RANDOM and longest >= MIN_LONGEST and is_random(run[a:b]):
+                yield a, b
+
+
 def scan(texts: list[str], encoding, max_ratio: float) -> Iterator[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind, end), sorted; kind indexes KINDS."""
     for text in texts:
         found = base_spans(text)
         for m in _run.finditer(text):
-            run = m.group()
-            if is_known_identifier(run):
-                continue
-            if len(run) / len(encoding.encode_ordinary(run)) <= max_ratio:
-                found.append((m.start(), 3, m.end()))
+            found += [(m.start() + a, 3, m.start() + b) for a, b in random_spans(m.group(), encoding, max_ratio)]
         yield sorted(found)
 
 
@@ -84,7 +127,10 @@ def scan_secrets(
     Kinds assign, access and hex are the base patterns. Kind random is the token-efficiency test: a run of 20 or
     more characters of [A-Za-z0-9+/_=-] that holds letters and digits, is no digest or UUID, and has at most
     `max_ratio` characters a token under the vocabulary at `ranks_path` (words have three or more, random strings
-    under two). Every run of every whole text is tested.
+    under two). Every run of every whole text is tested; where the whole run fails, its parts between + / _ = - are
+    too, and stretches of neighbouring parts with many tokens (20 or more characters, one part of 8 or more), so a key
+    in a path or behind an underscore is found and its span is the stretch. Words joined to a key without any
+    separator still dilute it. A stretch takes in neighbours as short of words as the key, such as `v2/`.
 
     The vocabulary (under 1 MB) is read on the driver and shipped with the task. Rows are handled one by one, so
     memory is bounded by one Arrow batch. Null text is empty and gives no spans. Repeated rows give equal results;

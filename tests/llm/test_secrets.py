@@ -1,3 +1,6 @@
+import random
+import string
+
 from cipherlake.llm.queries import TOKENIZERS
 from cipherlake.llm.secrets import KINDS, base_spans, brute_force, scan_secrets, span_digest
 
@@ -36,3 +39,24 @@ def test_nasty_rows(nasty, nothing):
     assert len(rows) == nasty.count() and all(x.kind in KINDS for r in rows for x in r.found)
     assert [r for r in rows if r.doc_id == 12][0].found[0].kind == "assign"
     assert scan_secrets(nothing, RANKS).count() == 0
+
+
+def test_keys_embedded_in_paths_and_names(spark):
+    """Random strings are found beside words; parts that are words, digests or UUIDs are not."""
+    rng, letters = random.Random(7), string.ascii_letters + string.digits
+    around = ["https://example.com/documentation/articles/download/{}", "hooks/services/incoming/{}/callback", "production_database_connection_{}", "customer-account-configuration={}", "{}/documentation/of/everything"]
+    keys, texts = [], []
+    for k in range(500):
+        key = "".join(rng.choice(letters) for _ in range((20, 24, 32, 44)[k % 4]))
+        if k % 2:
+            key = key[:12] + rng.choice("-_/+") + key[12:]
+        keys.append(key)
+        texts.append(around[k % len(around)].format(key))
+    calm = ["documentation/administration/responsibilities/international/" * 2 + "0a" * 20, "documentation/administration/responsibilities/international/123e4567-e89b-12d3-a456-426614174000", "documentation/of/the/production_database/2024/01/02/part-00017", "https://example.com/documentation/articles/download/internationalization"]
+    df = spark.createDataFrame(list(enumerate(texts + calm)), "doc_id long, text string")
+    found = {r.doc_id: [x.value for x in r.found if x.kind == "random"] for r in scan_secrets(df, RANKS).collect()}
+    whole = sum(any(key in v for v in found[k]) for k, key in enumerate(keys))
+    assert whole >= 450 and sum(bool(found[k]) for k in range(500)) >= 480
+    assert not any(found[500 + k] for k in range(len(calm)))
+    # A short key is its own span, without the words; a long one may make the whole run pass.
+    assert sum(found[k] == [keys[k]] for k in range(0, 500, 4)) >= 115

@@ -22,7 +22,10 @@ HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 #: Characters of a random string at least, and of its longest part if it is made of several.
-MIN_RANDOM, MIN_LONGEST = 20, 8
+MIN_RANDOM, MIN_LONGEST = 16, 8
+#: How much stricter the ratio is for letters alone, of both cases within and of one case (or a capital first): words
+#: without spaces and syllables joined at random come near 1.8.
+STRICTER_MIXED, STRICTER_ONE_CASE = 0.2, 0.35
 
 #: Runs that may be a random string.
 RUN = r"[A-Za-z0-9+/_=-]+"
@@ -88,9 +91,14 @@ def random_spans(run: str, encoding, max_ratio: float) -> Iterator[tuple[int, in
     words beside a key do not hide it."""
 
     def is_random(text: str) -> bool:
-        return not is_known_identifier(text) and len(text) <= max_ratio * len(encoding.encode_ordinary(text))
-
-    if is_random(run):
+        ratio = max_ratio
+        if text.isalpha():
+            ratio -= STRICTER_ONE_CASE if text[1:].islower() or text.isupper() else STRICTER_MIXED
+        elif is_known_identifier(text):
+            return False
+        return len(text) <= ratio * len(encoding.encode_ordinary(text))
+
+    if is_random(run) and (len(run) >= 20 or max(map(len, _part.findall(run))) >= MIN_LONGEST):
         yield 0, len(run)
         return
     # Identifiers are no part of a stretch.
@@ -124,11 +132,13 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per input row: doc_id and `found`, an array of (kind, start, end, value), in code points, end exclusive.
 
-    Kinds assign, access and hex are the base patterns. Kind random is the token-efficiency test: a run of 20 or
+    Kinds assign, access and hex are the base patterns. Kind random is the token-efficiency test: a run of 16 or
     more characters of [A-Za-z0-9+/_=-] that holds letters and digits, is no digest or UUID, and has at most
     `max_ratio` characters a token under the vocabulary at `ranks_path` (words have three or more, random strings
-    under two). Every run of every whole text is tested; where the whole run fails, its parts between + / _ = - are
-    too, and stretches of neighbouring parts with many tokens (20 or more characters, one part of 8 or more), so a key
+    under two); under 20 characters it needs a part of 8 or more without + / _ = -. Letters alone (without these
+    too) pass at 0.2 less, or at 0.35 less if they are of one case or only the first is a capital; digits alone never
+    do. Every run of every whole text is tested; where the whole run fails, its parts between + / _ = - are
+    too, and stretches of neighbouring parts with many tokens (16 or more characters, one part of 8 or more), so a key
     in a path or behind an underscore is found and its span is the stretch. Words joined to a key without any
     separator still dilute it. A stretch takes in neighbours as short of words as the key, such as `v2/`.
 

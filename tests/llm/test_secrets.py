@@ -60,3 +60,15 @@ def test_keys_embedded_in_paths_and_names(spark):
     assert not any(found[500 + k] for k in range(len(calm)))
     # A short key is its own span, without the words; a long one may make the whole run pass.
     assert sum(found[k] == [keys[k]] for k in range(0, 500, 4)) >= 115
+
+
+def test_short_and_letters_only_keys(spark):
+    rng = random.Random(11)
+    make = lambda alphabet, n: ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)]
+    short, mixed, lower = make(string.ascii_letters + string.digits, 16), make(string.ascii_letters, 20), make(string.ascii_lowercase, 20)
+    calm = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "getElementsByClassName", "AbstractSingletonProxyFactoryBean", "and/or/is/it/to/be/a/b/c", "x86_64-w64-mingw32", "1234567890123456", "=" * 40]
+    df = spark.createDataFrame(list(enumerate(short + mixed + lower + calm)), "doc_id long, text string")
+    found = {r.doc_id: any(x.kind == "random" for x in r.found) for r in scan_secrets(df, RANKS).collect()}
+    share = [sum(found[k] for k in range(a, a + 200)) / 200 for a in (0, 200, 400)]
+    assert share[0] >= 0.93 and share[1] >= 0.9 and share[2] >= 0.2
+    assert not any(found[600 + k] for k in range(len(calm)))

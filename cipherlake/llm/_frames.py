@@ -34,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: The key of `keyed`.
+ROW = "_row_key"
+
+
 class Workspace:
     """Intermediate tables of one operator run, under one fresh folder of the shared directory.
 
@@ -52,6 +56,10 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keyed(self, df: DataFrame, name: str) -> DataFrame:
+        """The frame, saved with a number of its own for each row (ROW): later reads of it agree on these."""
+        return self.save(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

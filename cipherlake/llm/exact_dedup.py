@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm._frames import Workspace, text_or_empty
+from cipherlake.llm._frames import ROW, Workspace, text_or_empty
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = "[ \\x09-\\x0D]"
@@ -31,14 +31,34 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     each in group_size, and exactly one of them is kept. Input columns other than the two named are not read.
     An empty table gives an empty result.
     """
+    rows = digests(df, text_col, id_col, F.monotonically_increasing_id(), salts)
+    groups = decisions(rows)
+    return (
+        rows.select("doc_id", "rid", "digest")
+        .join(groups, F.col("digest") == F.col("group_digest"))
+        .select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            (F.col("rid") == F.col("keep_rid")).alias("kept"),
+            F.col("digest").alias("text_sha256"),
+        )
+    )
+
+
+def digests(df: DataFrame, text_col: str, id_col: str, rid: Column, salts: int) -> DataFrame:
+    """doc_id, n_chars, rid (the row's own number), salt, norm, digest."""
     rows = df.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         text_or_empty(text_col).alias("raw"),
-        F.monotonically_increasing_id().alias("rid"),
+        rid.alias("rid"),
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
     ).select("doc_id", F.char_length("raw").alias("n_chars"), "rid", "salt", normalised(F.col("raw")).alias("norm"))
-    rows = rows.withColumn("digest", F.sha2("norm", 256))
+    return rows.withColumn("digest", F.sha2("norm", 256))
 
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """One row per group, written: group_digest, keep_id, keep_rid, group_size."""
     best = F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("rid")).alias("neg_rid"))
     salted = rows.groupBy("digest", "norm", "salt").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n"))
     groups = salted.groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
@@ -57,24 +77,14 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
         )
     )
     # Written first: the join then has two plain shuffles, of which adaptive execution can split a hot digest's part.
-    groups = Workspace(df.sparkSession, "exact-dedup").save(groups, "groups")
-    return (
-        rows.select("doc_id", "rid", "digest")
-        .join(groups, F.col("digest") == F.col("group_digest"))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("rid") == F.col("keep_rid")).alias("kept"),
-            F.col("digest").alias("text_sha256"),
-        )
-    )
+    return Workspace(rows.sparkSession, "exact-dedup").save(groups, "groups")
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", salts: int = 32) -> DataFrame:
-    """The rows of `docs` that `exact_dedup` keeps, with all their columns.
+    """The rows of `docs` that `exact_dedup` keeps, with all their columns: one of each group, whatever its id.
 
-    Ids are taken to be unique here; rows that repeat an id and its text all stay or all go.
+    The rows are written with keys first, as ids may be null or repeated.
     """
-    kept = exact_dedup(docs, text_col, id_col, salts).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    docs = Workspace(docs.sparkSession, "exact-dedup").keyed(docs, "rows")
+    kept = decisions(digests(docs, text_col, id_col, F.col(ROW), salts)).select(F.col("keep_rid"))
+    return docs.join(kept, F.col(ROW) == F.col("keep_rid"), "left_semi").drop(ROW)

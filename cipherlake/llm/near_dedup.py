@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm._frames import Workspace, text_or_empty
+from cipherlake.llm._frames import ROW, Workspace, text_or_empty
 from cipherlake.llm._text import column, shingle_sets, spans, utf8_buffers
 from cipherlake.shipping import ship_package
 
@@ -402,9 +402,18 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, with all their columns: one document of each group stays."""
-    kept = near_duplicates(docs, width, percent, text_col=text_col, id_col=id_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each group that `near_duplicates` finds, with all its columns: that of the smallest id; a null id comes
+    after every other, and of rows with the same id any one stays. Rows without words all stay.
+
+    The rows are written with keys first, as ids may be null or repeated; groups are of keys.
+    """
+    ws = Workspace(docs.sparkSession, "near-dedup")
+    docs = ws.keyed(docs, "rows")
+    groups = near_duplicates(docs, width, percent, text_col=text_col, id_col=ROW).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    ids = docs.select(ROW, F.col(f"`{id_col}`").alias("_id")).join(groups, F.col(ROW) == F.col("_key"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", ROW))[ROW]
+    kept = ws.save(ids.groupBy("_group").agg(first.alias("_kept")).select("_kept"), "kept")
+    return docs.join(kept, F.col(ROW) == F.col("_kept"), "left_semi").drop(ROW)
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -38,3 +38,20 @@ def test_nasty_rows(spark, nasty, nothing, sf_dir):
     for name, stage in P.STAGES:
         assert stage(spark, nothing, sf_dir).count() == 0, name
         stage(spark, nasty, sf_dir).collect()
+
+
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    """Repeated ids and null ids: the dedup stages keep rows, not ids."""
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty {0} again a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(7, words.format("x")), (7, words.format("x")), (None, words.format("x")), (None, other), (None, other), (None, other + " more"), (8, "alone here"), (8, "quite another text"), (None, "without an id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs_schema())
+    exact = P.exact_dedup(spark, docs, sf_dir).select(*P.COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=str)
+    assert got == sorted([(7, words.format("x")), (None, other), (None, other + " more"), (8, "alone here"), (8, "quite another text"), (None, "without an id")], key=str)
+    for frame in (docs, exact):
+        near = P.near_dedup(spark, frame, sf_dir)
+        assert near.columns == P.COLUMNS
+        got = [(r.doc_id, r.text) for r in near.collect()]
+        assert len(got) == 5 and sum(t.startswith("other") for _, t in got) == 1
+        assert [i for i, t in got if t.startswith("one")] == [7] and sorted(t for i, t in got if i == 8) == ["alone here", "quite another text"]

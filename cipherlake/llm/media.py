@@ -106,17 +106,21 @@ _window = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, N_MEL) log energies in dB and each frame's level, in blocks, so memory doesn't grow with the text."""
+    """(frames, N_MEL) log energies in dB and each frame's level, in blocks, so memory doesn't grow with the text.
+
+    The sound is followed by silence up to the end of the last frame, so that every sample lies in a frame.
+    """
     x = np.frombuffer(samples, dtype=np.uint8)
     mels, levels = [], []
     step = BLOCK - BLOCK % (2 * HOP)
+    n_frames = 1 + max(0, -(-(-(-len(x) * RATE_OUT // RATE_IN) - FRAME) // HOP))
     for a in range(0, len(x), step):
         piece = (x[a : a + step + 2 * (FRAME - HOP)].astype(np.float32) - 127.5) / 127.5
         y = resample(piece, 1, RATE_IN // RATE_OUT, _phases)
-        if len(y) < FRAME:
-            if a:
-                break
-            y = np.pad(y, (0, FRAME - len(y)))
+        n = min(step // (2 * HOP), n_frames - a // (2 * HOP))
+        if n <= 0:
+            break
+        y = np.pad(y, (0, max(0, (n - 1) * HOP + FRAME - len(y))))[: (n - 1) * HOP + FRAME]
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
         spectrum = np.fft.rfft(frames * _window)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)

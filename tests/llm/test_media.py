@@ -85,3 +85,14 @@ def test_tensors_are_fixed_shape(docs):
     assert isinstance(column, pa.FixedShapeTensorArray) and column.type.shape == [M.N_SLOT, M.N_MEL]
     rows = M.media_columns(docs.limit(20), with_media=False).collect()
     assert all(len(r.tensor) == M.N_SLOT * M.N_MEL and all(0 <= s.start < s.end for s in r.spans) for r in rows)
+
+
+def test_every_sample_lies_in_a_frame(monkeypatch):
+    """A sound at the very end is heard, whatever the length, and in blocks too."""
+    for block in (M.BLOCK, 2048):
+        monkeypatch.setattr(M, "BLOCK", block)
+        for k in range(1, 13):
+            n = k * M.PAD_TO
+            mel, level = M.log_mel(bytes([127]) * (n - 64) + bytes(([0] * 8 + [255] * 8) * 4))
+            assert len(mel) == len(level) == 1 + max(0, -(-(n // 2 - M.FRAME) // M.HOP))
+            assert level[-1] > -12

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,18 +165,45 @@ def media_columns(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     padded block of 576 bytes). Null ids are carried. Other columns are not read. An empty table gives an empty
     result.
     """
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
+    rows = rows.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), "data")
+    return described(rows, lambda text: wav_encode(payload_of(text)), with_media)
+
+
+def media_files(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The media column alone, to be stored: doc_id, n_bytes, media."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = column(part, "text").cast(pa.large_binary()).to_pylist()
+                media = pa.array([wav_encode(payload_of(t)) for t in texts], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([len(t) for t in texts], type=pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+
+    ship_package(df.sparkSession)
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, media binary")
+
+
+def media_features(files: DataFrame) -> DataFrame:
+    """`media_columns` without the media, from a stored media column (doc_id, n_bytes, media) such as `media_files` makes."""
+    return described(files.select("doc_id", "n_bytes", F.col("media").alias("data")), bytes, False)
+
+
+def described(rows: DataFrame, store: Callable[[bytes], bytes], with_media: bool) -> DataFrame:
+    """The columns of `media_columns` for rows (doc_id, n_bytes, data), where `store` makes the WAV file of `data`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: dict[str, list] = {k: [] for k in ("n_bytes", "media", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "tensor", "spans")}
-                for text in column(part, "text").cast(pa.large_binary()).to_pylist():
-                    stored = wav_encode(payload_of(text))
+                out: dict[str, list] = {k: [] for k in ("media", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "tensor", "spans")}
+                for data in column(part, "data").cast(pa.large_binary()).to_pylist():
+                    stored = store(data)
                     _, payload = wav_decode(stored)
                     tensor, spans = features(payload)
-                    out["n_bytes"].append(len(text))
                     out["media"].append(stored if with_media else None)
                     out["media_bytes"].append(len(stored))
                     out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
@@ -188,6 +215,7 @@ def media_columns(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 tensors = tensor_column(out.pop("tensor"))
                 kinds = {"media": pa.binary(), "media_sha256": pa.string(), "payload_sha256": pa.string(), "spans": pa.list_(span)}
                 arrays = {k: pa.array(v, type=kinds.get(k, pa.int64())) for k, v in out.items()}
+                arrays["n_bytes"] = column(part, "n_bytes")
                 arrays["tensor"] = tensors.storage.cast(pa.list_(pa.float32()))
                 if not with_media:
                     del arrays["media"]
@@ -197,9 +225,8 @@ def media_columns(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         "n_bytes": "long", "media": "binary", "media_bytes": "long", "media_sha256": "string", "payload_bytes": "long",
         "payload_sha256": "string", "tail_crc32": "long", "tensor": "array<float>", "spans": "array<struct<start:double,end:double>>",
     }
-    ship_package(df.sparkSession)
+    ship_package(rows.sparkSession)
     names = [k for k in kinds if k != "media" or with_media]
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     schema = ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}", *(f"{k} {kinds[k]}" for k in names)])
     return rows.mapInArrow(run, schema)
 

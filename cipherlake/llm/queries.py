@@ -102,9 +102,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cipherlake.llm.media import feature_digest, media_columns
+    from cipherlake.llm._frames import Workspace
+    from cipherlake.llm.media import feature_digest, media_features, media_files
 
-    return feature_digest(media_columns(read_table(spark, sf_dir, "documents"), with_media=False))
+    files = Workspace(spark, "media").save(media_files(read_table(spark, sf_dir, "documents")), "files")
+    return feature_digest(media_features(files))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,16 @@ def test_every_sample_lies_in_a_frame(monkeypatch):
             mel, level = M.log_mel(bytes([127]) * (n - 64) + bytes(([0] * 8 + [255] * 8) * 4))
             assert len(mel) == len(level) == 1 + max(0, -(-(n // 2 - M.FRAME) // M.HOP))
             assert level[-1] > -12
+
+
+def test_query_reads_stored_media(spark, docs, sf_dir, tmp_path, monkeypatch):
+    from cipherlake.llm import _frames, queries
+
+    monkeypatch.setattr(_frames, "shared_dir", lambda spark: str(tmp_path))
+    got = queries.op9_media(spark, sf_dir)
+    (stored,) = tmp_path.glob("media-*/files")
+    files = {r.doc_id: r for r in spark.read.parquet(str(stored)).collect()}
+    rows = got.collect()
+    assert len(rows) == len(files) == docs.count()
+    assert all(hashlib.sha256(files[r.doc_id].media).hexdigest() == r.media_sha256 for r in rows)
+    assert sorted(rows) == sorted(M.feature_digest(M.media_columns(docs)).collect())

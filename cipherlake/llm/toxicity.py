@@ -157,7 +157,11 @@ def label_words(ids: np.ndarray, n_ids: int, counts: np.ndarray, toxic: np.ndarr
 
 
 def fit_chain(ids: np.ndarray, n_ids: int, counts: np.ndarray, labels: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood by full-batch Adam; returns the features' weights, bias and transition factors."""
+    """Full-batch Adam; returns the features' weights, bias and transition factors.
+
+    The gradient of maximum likelihood is exact for weights and bias. For transitions it is approximate: pair marginals
+    come from the words' marginals times the transition factor, which these already hold.
+    """
     counts = np.concatenate([[SEGMENT] * (c // SEGMENT) + [c % SEGMENT] * (c % SEGMENT > 0) for c in counts.tolist()] or [[]]).astype(np.int64)
     y = labels.astype(np.float32)
     seen = np.sqrt(np.maximum(1, sum(np.bincount(ids[:, k], minlength=n_ids) for k in range(ids.shape[1]))))

@@ -51,3 +51,21 @@ def test_filter_keeps_columns(docs, nasty):
 def test_plan_has_no_python(docs):
     plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_every_group_keeps_one_row_however_the_input_is_made(spark, tmp_path):
+    rows = [(i % 900, f"text {i % 500}", f"pad {i}") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, pad string").write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    side = d.select("doc_id").distinct()
+    for made in (d, d.repartition(7), d.orderBy("pad"), d.join(side, "doc_id"), d.where("doc_id >= 0").coalesce(1), d.repartition(5, "text")):
+        got = exact_dedup(made)
+        assert got.count() == 4000 and got.where("kept").count() == 500
+        assert exact_dedup(made).where("kept").coalesce(3).count() == 500
+        assert drop_exact_copies(made).count() == 500
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "x y"), ("a", "x  y"), ("c", "xy"), (None, "x  y"), ("a", "z")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.keep_id, r.kept) for r in got) == [("", "a", False), ("a", "a", True), ("a", "a", True), ("b", "a", False), ("c", "a", False)]

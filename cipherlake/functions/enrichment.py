@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cipherlake.functions.text import strip
+from cipherlake.functions.urls import usable_context
 from cipherlake.rules.tables import COMPLEXITIES, DEFAULT_CONTEXT, NIST_DOCUMENTS, RESPONSE_KEYS, STATIC_CONTEXT, SYMMETRIC_PREFIXES
 
 
@@ -32,13 +33,10 @@ def static_context(algorithm: Column) -> Column:
     return chain.otherwise(DEFAULT_CONTEXT)
 
 
-def context_key(algorithm: Column) -> Column:
-    """The key of the static context that an algorithm gets."""
-    lower, chain = F.lower(algorithm), None
-    for key, _ in STATIC_CONTEXT:
-        test = F.contains(lower, F.lit(key))
-        chain = F.when(test, key) if chain is None else chain.when(test, key)
-    return chain.otherwise("default")
+def web_context(algorithm: Column, live: Column | None = None) -> Column:
+    """The context for a prompt: a live page's excerpt if it is usable, else the static text. None stands for no live search."""
+    fixed = static_context(algorithm)
+    return fixed if live is None else F.coalesce(usable_context(live), fixed)
 
 
 def clean_response(raw: Column) -> Column:
@@ -74,16 +72,18 @@ def valid_response(parsed: Column) -> Column:
     return ok & F.coalesce(F.upper(strip(parsed["migration_complexity"])).isin(*COMPLEXITIES), F.lit(False))
 
 
+#: What a model is told first.
+SYSTEM_PROMPT = (
+    "You plan migrations from classical to NIST post-quantum cryptography. For the code you are shown, answer with one JSON object and nothing else, no markup around it. "
+    "Its keys: " + ", ".join(RESPONSE_KEYS) + ". usage_context: one sentence on what the code does with the algorithm. pqc_replacement: the standardised algorithm or library call to move to. "
+    "migration_complexity: " + ", ".join(COMPLEXITIES) + " (LOW for larger keys or another hash, MEDIUM where calls change but the pattern stays, HIGH where the design must change). "
+    "reasoning: one sentence of justification. Rely on the background given; where it names no replacement, refer to the vendor's documentation and answer HIGH."
+)
+
+
 def user_prompt(algorithm: Column, language: Column, path: Column, line: Column, snippet: Column, context: Column) -> Column:
-    """The request text for a model; the snippet should have been sanitized."""
-    with_context = F.concat(
-        F.lit("\n--- LIVE WEB CONTEXT ---\n"), context, F.lit("\n--- END WEB CONTEXT ---\nBase your answer on the context above.\n")
-    )
-    block = F.when(F.coalesce(context, F.lit("")) != "", with_context).otherwise(
-        "No live web context was found. Make a safe, conservative recommendation.\n"
-    )
-    return F.concat(
-        F.lit("Analyze this quantum-vulnerable cryptographic usage:\n\nAlgorithm: "), algorithm,
-        F.lit("\nLanguage: "), language, F.lit("\nFile: "), path, F.lit("\nLine: "), line.cast("string"),
-        F.lit("\nCode:\n"), snippet, F.lit("\n\n"), block,
-    )
+    """The request for a model, one fact a line; the snippet should have been sanitized."""
+    background = F.coalesce(F.nullif(context, F.lit("")), F.lit("none; recommend with care"))
+    place = F.concat(path, F.lit(":"), line.cast("string"))
+    facts = (("Finding", algorithm), ("Written in", language), ("Place", place), ("Background", background), ("Code", snippet))
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit(""))) for name, value in facts])

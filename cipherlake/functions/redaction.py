@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +73,39 @@ def sanitize(df: DataFrame, text_col: str, tag: str = DEFAULT_TAG, skip: tuple[s
     ).drop("_text", "_fired", "_count", "_n")
 
 
-def audit(text: Column) -> Column:
-    """A map of pattern name to the number of its matches in the original text, for those that match."""
-    counts = F.map_from_arrays(
-        F.array(*[F.lit(name) for name, *_ in REDACTIONS]),
-        F.array(*[F.coalesce(F.regexp_count(text, F.lit(_pattern(raw))), F.lit(0)) for _, raw, *_ in REDACTIONS]),
-    )
+#: For patterns without a gate on the text itself: parts of the lower-case text of which one must be there.
+_NEEDS_FOLDED = {
+    "aws_secret_access_key": ("aws_secret",), "github_token": ("gh",), "google_api_key": ("aiza",), "stripe_key": ("_live_", "_test_"), "generic_bearer_token": ("bearer",),
+}
+#: Patterns that begin with a quote or 0x.
+_QUOTED_HEX = re.compile("hex_encoded_key|(md5|sha1|sha256|sha512)_digest")
+
+
+def audit(text: Column, folded: Column | None = None) -> Column:
+    """A map of pattern name to the number of its matches in the original text, for those that match.
+
+    Patterns whose necessary characters are absent cost a substring search; `folded` is the lower-case text, for callers
+    that have it as a column.
+    """
+    low = F.lower(text) if folded is None else folded
+
+    def times(name: str, raw: str) -> Column:
+        gate = _gate(name, text)
+        if name in _NEEDS_FOLDED:
+            gate = reduce(or_, [F.contains(low, F.lit(part)) for part in _NEEDS_FOLDED[name]])
+        elif _QUOTED_HEX.fullmatch(name):
+            gate = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"')) | F.contains(low, F.lit("0x"))
+        return F.coalesce(F.when(gate, F.regexp_count(text, F.lit(_pattern(raw)))), F.lit(0))
+
+    counts = F.map_from_arrays(F.array(*[F.lit(name) for name, *_ in REDACTIONS]), F.array(*[times(name, raw) for name, raw, *_ in REDACTIONS]))
     return F.map_filter(counts, lambda _, n: n > 0)
 
 
+def audited(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds `audit`, the map of `audit`."""
+    return df.withColumn("_low", F.lower(F.col(text_col))).withColumn("audit", audit(F.col(text_col), F.col("_low"))).drop("_low")
+
+
 def is_safe(text: Column) -> Column:
     """False if a high-risk pattern is still there; case matters."""
     risky = F.lit(False)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(text: Column) -> Column:
-    """Without any white space at either end (`trim` would drop spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without ASCII white space at either end (`trim` alone would drop spaces only)."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def lines(text: Column) -> Column:

@@ -33,7 +33,7 @@ def allowed_extension(name: Column) -> Column:
 
 def passes_size_gates(content: Column) -> Column:
     """Not tiny once stripped, and not above the limit."""
-    return (F.length(strip(content)) >= MIN_FILE_CHARS) & (F.length(content) / 1024 <= MAX_FILE_KB)
+    return F.when(F.length(content) / 1024 <= MAX_FILE_KB, F.length(strip(content)) >= MIN_FILE_CHARS).otherwise(False)
 
 
 def company_label(domain: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.functions.urls import allowed_extension, company_label, filename_from_url, is_file_url, passes_size_gates, raw_url
 from cipherlake.rules.expressions import values_relation
-from cipherlake.rules.tables import KNOWN_FILES, KNOWN_HOST, MAX_RESULTS, MAX_SAVED_FILES
+from cipherlake.rules.tables import KNOWN_FILES, KNOWN_HOST, MAX_RESULTS, MAX_SAVED_FILES, SEARCHES
 
 
 def known_files(spark: SparkSession) -> DataFrame:
@@ -16,6 +16,14 @@ def known_files(spark: SparkSession) -> DataFrame:
     return values_relation(spark, rows, ("company", "known_ord", "url"))
 
 
+def search_queries(domains: DataFrame) -> DataFrame:
+    """(domain, query_no, query): the searches for each domain's company, the domain's first label as it is written."""
+    company = F.element_at(F.split("domain", "\\."), 1)
+    texts = F.array(*[F.concat(*[company if part is None else F.lit(part) for part in parts]) for parts in SEARCHES])
+    each = domains.select("domain").distinct().select("domain", F.posexplode(texts).alias("query_no", "query"))
+    return each.select("domain", "query_no", "query")
+
+
 def cap_results(results: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
     """The first `limit` of each query of (domain, query_no, pos, url)."""
     place = Window.partitionBy("domain", "query_no").orderBy("pos", "url")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.functions.enrichment import nist_reference, response_fields, response_object, should_recommend_hybrid, static_context, user_prompt, valid_response
+from cipherlake.functions.enrichment import nist_reference, response_fields, response_object, should_recommend_hybrid, user_prompt, valid_response, web_context
 from cipherlake.functions.redaction import sanitize_text
 from cipherlake.functions.text import strip
-from cipherlake.operators.findings import RECOMMENDATION, complete
+from cipherlake.operators.findings import RECOMMENDATION, complete, is_enriched
 
 
-def prompts(findings: DataFrame) -> DataFrame:
-    """Adds web_context and prompt. Snippets are sanitized before they go into a prompt."""
-    out = findings.withColumn("web_context", static_context(F.col("algorithm_detected")))
+def prompts(findings: DataFrame, live: Column | None = None) -> DataFrame:
+    """Adds web_context and prompt; `live` is a page's excerpt, used if it is long enough. Snippets are sanitized before
+    they go into a prompt."""
+    out = findings.withColumn("web_context", web_context(F.col("algorithm_detected"), live))
     snippet = sanitize_text(F.col("code_snippet"))
     return out.withColumn("prompt", user_prompt(F.col("algorithm_detected"), F.col("language"), F.col("file_path"), F.col("line_number"), snippet, F.col("web_context")))
 
@@ -48,3 +49,10 @@ def apply_responses(findings: DataFrame, responses: DataFrame, key: str) -> Data
         "pqc_recommendation": F.when(hit, recommendation).otherwise(F.col("pqc_recommendation")),
     }
     return joined.withColumns(new).drop("_tier", "_usage_context", "_pqc_replacement", "_migration_complexity", "_reasoning")
+
+
+def enrichment_counts(findings: DataFrame, *keys: str) -> DataFrame:
+    """How an enrichment pass went: attempted, enriched, failed, and success_rate in percent (one decimal; 0 without findings)."""
+    n, good = F.count(F.lit(1)), F.count_if(is_enriched())
+    rate = F.when(n == 0, F.lit(0.0)).otherwise(F.bround(F.lit(100.0) * good / n, 1))
+    return complete(findings).groupBy(*keys).agg(n.alias("attempted"), good.alias("enriched"), (n - good).alias("failed"), rate.alias("success_rate"))

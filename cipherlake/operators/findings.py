@@ -67,10 +67,14 @@ def unenriched(findings: DataFrame) -> DataFrame:
     return findings.where(~is_enriched())
 
 
+def place_order() -> list[Column]:
+    """The order of one parser's findings: file, line, column."""
+    return [F.col("file_path"), F.col("line_number"), F.col("column_start").asc_nulls_first(), F.col("algorithm_detected")]
+
+
 def report_order(findings: DataFrame, documented: bool = False) -> DataFrame:
     """Scanning order (the default), or by severity and file as documented."""
-    place = [F.col("file_path"), F.col("line_number"), F.col("column_start").asc_nulls_first(), F.col("algorithm_detected")]
-    return findings.orderBy(severity_rank() if documented else parser_rank(), *place)
+    return findings.orderBy(severity_rank() if documented else parser_rank(), *place_order())
 
 
 def dedupe(findings: DataFrame) -> DataFrame:

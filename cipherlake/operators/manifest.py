@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +17,27 @@ from cipherlake.rules.tables import DEPENDENCY_SECTIONS, MANIFEST_RULES, MAX_SNI
 COMMENT = r"^(#|//|<!--|\*|;)"
 
 
-def manifest_rule(text: Column) -> Column:
-    """The first signature that occurs in the text, by number; word boundaries know all letters, on any Java version."""
-    return first_match(MANIFEST_RULES, lambda rule: text.rlike(f"(?iU){rule.key}"))
+#: Letters that case folding takes for a plain one, though their lower case is another.
+ODD_LETTERS = ("\u017f", "\u0131", "\u0130")
+
+
+def needles(key: str) -> list[str]:
+    """Of a signature, the texts of which a match holds one."""
+    return re.sub(r"\\b|\\s\*=", "", key).replace("\\.", ".").split("|")
+
+
+def manifest_rule(text: Column, low: Column, odd: Column) -> Column:
+    """The first signature that occurs in the text, by number; word boundaries know all letters, on any Java version.
+
+    `low` is the text in lower case, and `odd` whether it may hold ODD_LETTERS: a signature's pattern is tried only where
+    a substring search finds one of its needles, or where that would not tell.
+    """
+    test = lambda rule: (odd | reduce(or_, [F.contains(low, F.lit(n)) for n in needles(rule.key)])) & text.rlike(f"(?iU){rule.key}")
+    return first_match(MANIFEST_RULES, test)
+
+
+def is_odd(text: Column) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(x)) for x in ODD_LETTERS])
 
 
 def manifest_lines(files: DataFrame, text_col: str = "text") -> DataFrame:
@@ -31,7 +53,8 @@ def _finding(df: DataFrame, snippet: Column) -> DataFrame:
 
 def scan_lines(files: DataFrame, *keep: str) -> DataFrame:
     """At most one finding a line, from (file_path, text); columns in `keep` are carried."""
-    found = with_rule(manifest_lines(files.select("file_path", "text", *keep)), MANIFEST_RULES, manifest_rule(F.col("line")))
+    each = manifest_lines(files.select("file_path", "text", *keep))
+    found = with_rule(each, MANIFEST_RULES, manifest_rule(F.col("line"), F.lower("line"), is_odd(F.col("line"))))
     return _finding(found, F.substring("line", 1, MAX_SNIPPET)).select(*FINDING_COLUMNS, *keep)
 
 
@@ -41,13 +64,6 @@ def json_names(text: Column) -> Column:
     return F.concat(*[F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{s}")), empty) for s in DEPENDENCY_SECTIONS])
 
 
-def json_dependencies(files: DataFrame) -> DataFrame:
-    """(file_path, dependency, line_number) of each name; the line is the first that contains it, else 1."""
-    each = files.select("file_path", lines(F.col("text")).alias("_lines"), F.explode(json_names(F.col("text"))).alias("dependency"))
-    at = F.array_position(F.expr("transform(_lines, l -> instr(l, dependency) > 0)"), True)
-    return each.select("file_path", "dependency", F.greatest(at, F.lit(1)).cast("int").alias("line_number"))
-
-
 def scan_manifests(files: DataFrame) -> DataFrame:
     """Findings of manifests (file_path, text), in one pass over the texts.
 
@@ -56,11 +72,13 @@ def scan_manifests(files: DataFrame) -> DataFrame:
     """
     is_json = F.col("file_path").endswith(".json")
     parsed = is_json & F.try_parse_json("text").isNotNull()
-    files = files.select("file_path", lines(F.col("text")).alias("_lines"), is_json.alias("_json"), parsed.alias("_parsed"), F.when(parsed, json_names(F.col("text"))).alias("_names"))
+    files = files.select("file_path", lines(F.col("text")).alias("_lines"), is_json.alias("_json"), parsed.alias("_parsed"), F.when(parsed, json_names(F.col("text"))).alias("_names"), is_odd(F.col("text")).alias("_odd"))
     by_name = F.expr("transform(_names, d -> named_struct('line_number', greatest(cast(array_position(transform(_lines, l -> instr(l, d) > 0), true) as int), 1), 'line', d))")
     stripped = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line_number"), strip(x).alias("line")))
     by_line = F.filter(stripped, lambda x: (x["line"] != "") & (F.col("_json") | ~x["line"].rlike(COMMENT)))
-    each = files.select("file_path", "_parsed", F.explode(F.when(F.col("_parsed"), by_name).otherwise(by_line)).alias("_c"))
-    each = each.select("file_path", "_parsed", "_c.line_number", "_c.line")
-    found = with_rule(each, MANIFEST_RULES, manifest_rule(F.col("line")))
+    # Lower case is made before the explosion, as a filter would otherwise make it once for every signature.
+    folded = F.transform(F.when(F.col("_parsed"), by_name).otherwise(by_line), lambda x: F.struct(x["line_number"].alias("line_number"), x["line"].alias("line"), F.lower(x["line"]).alias("low")))
+    each = files.select("file_path", "_parsed", "_odd", F.explode(folded).alias("_c"))
+    each = each.select("file_path", "_parsed", "_odd", "_c.line_number", "_c.line", "_c.low")
+    found = with_rule(each, MANIFEST_RULES, manifest_rule(F.col("line"), F.col("low"), F.col("_odd")))
     return _finding(found, F.when(F.col("_parsed"), F.col("line")).otherwise(F.substring("line", 1, MAX_SNIPPET))).select(*FINDING_COLUMNS)

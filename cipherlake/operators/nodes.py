@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -240,6 +240,20 @@ class Brackets:
             self._statement_ancestors(at, add)
         return out[:limit]
 
+    def directive_place(self, i: int) -> bool:
+        """Whether a `using` at token i stands where directives do: in no bracket but bodies of namespaces."""
+        home = self.parent[i]
+        while home != -1:
+            if self.word(home) != "{":
+                return False
+            k = home - 1
+            while self.is_id(k) and self.word(k) != "namespace" and self.word(k - 1) in (".", "namespace"):
+                k -= 2 if self.word(k - 1) == "." else 1
+            if self.word(k) != "namespace":
+                return False
+            home = self.parent[home]
+        return True
+
     def _is_block(self, home: int) -> bool:
         before = self.word(home - 1)
         if self.language != "javascript":
@@ -286,37 +300,52 @@ def bracket_nodes(text: str, language: str) -> Iterator[dict]:
     for opening, c in b.calls.items():
         if c["type"] == call and language != "java" or language == "csharp":
             yield source.node(c["type"], *b.span(c["first"], b.close[opening]))
-    i = 0
-    while i < len(tokens):
-        kind, start, end, word = tokens[i]
+    ends = {";": [k for k, t in enumerate(tokens) if t[3] == ";"], "{": [k for k, t in enumerate(tokens) if t[3] == "{"], "str": [k for k, t in enumerate(tokens) if t[0] == "str"]}
+
+    def next_of(what: str, i: int) -> int | None:
+        """The first such token after token i, however far; None if there is none."""
+        at = bisect.bisect_right(ends[what], i)
+        return ends[what][at] if at < len(ends[what]) else None
+
+    for i, (kind, start, end, word) in enumerate(tokens):
         if kind == "str" and language != "go":
             yield source.node(string, start, end, ancestors=b.ancestors(i))
-        elif kind == "id" and b.parent[i] == -1 and b.word(i - 1) != ".":
-            if word == "import" and language == "javascript" and b.word(i + 1) not in ("(", "."):
-                stop = next((k for k in range(i + 1, min(i + 400, len(tokens))) if tokens[k][0] == "str" or b.word(k) == ";"), None)
-                if stop is not None and tokens[stop][0] == "str":
-                    yield source.node("import_statement", start, tokens[stop + 1][2] if b.word(stop + 1) == ";" else tokens[stop][2])
-            elif word == "import" and language == "java" or word == "using" and language == "csharp" and b.word(i + 1) != "(":
-                stop = next((k for k in range(i + 1, min(i + 60, len(tokens))) if b.word(k) == ";"), None)
-                if stop is not None and "{" not in [b.word(k) for k in range(i, stop)]:
-                    yield source.node("import_declaration" if language == "java" else "using_directive", start, tokens[stop][2])
-            elif word == "import" and language == "go":
-                group = b.word(i + 1) == "("
-                k, stop = (i + 2, b.close.get(i + 1, len(tokens))) if group else (i + 1, min(i + 3, len(tokens)))
-                while k < stop:
-                    if tokens[k][0] in ("str", "raw"):
-                        alias = k - 1 if b.is_id(k - 1) and b.word(k - 1) != "import" or b.word(k - 1) in (".", "_") else k
-                        yield source.node("import_spec", tokens[alias][1], tokens[k][2])
-                        if not group:
-                            break
-                    k += 1
-        i += 1
-
-
-def nodes_of(text: str, language: str) -> list[dict]:
+        elif kind != "id" or b.word(i - 1) == ".":
+            continue
+        elif word == "import" and language == "javascript" and b.parent[i] == -1 and b.word(i + 1) not in ("(", "."):
+            name, semicolon = next_of("str", i), next_of(";", i)
+            if name is not None and (semicolon is None or name < semicolon):
+                yield source.node("import_statement", start, tokens[name + 1][2] if b.word(name + 1) == ";" else tokens[name][2])
+        elif word == "import" and language == "java" and b.parent[i] == -1 or word == "using" and language == "csharp" and b.word(i + 1) != "(" and b.directive_place(i):
+            stop, brace = next_of(";", i), next_of("{", i)
+            if stop is not None and (brace is None or stop < brace):
+                yield source.node("import_declaration" if language == "java" else "using_directive", start, tokens[stop][2])
+        elif word == "import" and language == "go" and b.parent[i] == -1:
+            group = b.word(i + 1) == "("
+            k, stop = (i + 2, b.close.get(i + 1, len(tokens))) if group else (i + 1, min(i + 3, len(tokens)))
+            while k < stop:
+                if tokens[k][0] in ("str", "raw"):
+                    alias = k - 1 if b.is_id(k - 1) and b.word(k - 1) != "import" or b.word(k - 1) in (".", "_") else k
+                    yield source.node("import_spec", tokens[alias][1], tokens[k][2])
+                    if not group:
+                        break
+                k += 1
+
+
+#: Extractors of further languages, by name; `register_extractor` adds to it.
+_REGISTERED: dict[str, Callable[[str], Iterable[dict]]] = {}
+
+
+def register_extractor(language: str, extract: Callable[[str], Iterable[dict]]) -> None:
+    """Adds or replaces the function that gives the nodes of a text in the language."""
+    _REGISTERED[language] = extract
+
+
+def nodes_of(text: str, language: str, registered: Mapping[str, Callable[[str], Iterable[dict]]] | None = None) -> list[dict]:
     """A file's nodes in reading order, outer before inner."""
     family = "javascript" if language == "typescript" else language
-    found = list(python_nodes(text) if family == "python" else bracket_nodes(text, family))
+    own = (_REGISTERED if registered is None else registered).get(language)
+    found = list(own(text) if own else python_nodes(text) if family == "python" else bracket_nodes(text, family))
     found.sort(key=lambda n: n.pop("_at"))
     return found
 
@@ -324,12 +353,14 @@ def nodes_of(text: str, language: str) -> list[dict]:
 def extract_nodes(files: DataFrame) -> DataFrame:
     """Nodes of (file_path, language, text); a file whose lexer fails gives none, as one bad file must not stop a scan."""
 
+    registered = dict(_REGISTERED)  # goes to the executors with the function
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             for path, language, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    nodes = nodes_of(text or "", language)
+                    nodes = nodes_of(text or "", language, registered)
                 except (IndexError, KeyError, ValueError, RecursionError):
                     continue
                 rows += [{"file_path": path, "language": language, "seq": k, **n} for k, n in enumerate(nodes)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,12 @@ def severity_breakdown(findings: DataFrame) -> DataFrame:
 
 
 def languages_scanned() -> Column:
-    """Languages with findings in scanning order, TypeScript as JavaScript; manifests alone give [unknown]."""
+    """Languages with findings in scanning order, TypeScript as JavaScript, then registered ones by name; manifests alone
+    give [unknown]."""
     seen = F.collect_set(F.when(F.col("language") == "typescript", "javascript").otherwise(F.col("language")))
-    known = F.filter(F.array(*[F.lit(x) for x in LANGUAGE_ORDER]), lambda x: F.array_contains(seen, x))
+    order = F.array(*[F.lit(x) for x in LANGUAGE_ORDER])
+    further = F.array_sort(F.filter(seen, lambda x: ~F.array_contains(order, x) & (x != "unknown")))
+    known = F.concat(F.filter(order, lambda x: F.array_contains(seen, x)), further)
     return F.when((F.size(known) == 0) & (F.count(F.lit(1)) > 0), F.array(F.lit("unknown"))).otherwise(known)
 
 
@@ -60,11 +65,11 @@ def metadata(findings: DataFrame) -> DataFrame:
     )
 
 
-def report(findings: DataFrame, project_name: str, scan_root: str | None = None, with_findings: bool = True) -> DataFrame:
+def report(findings: DataFrame, project_name: str, scan_root: str | None = None, with_findings: bool = False) -> DataFrame:
     """The report as one row: name, metadata, status, aggregates and, for reports of bounded size, the findings.
 
-    `with_findings` gathers every finding into the row, as the JSON form needs; at scale leave it out and keep the
-    findings as a table beside the report.
+    `with_findings` gathers every finding into the row, as one project's JSON document needs; at scale the findings stay
+    a table beside the report.
     """
     full = complete(findings)
     aggregates = [*summary_columns(), breakdown_map().alias("severity_breakdown"), languages_scanned().alias("languages_scanned"), F.count_if(F.col("language") != "unknown").alias("files_scanned")]
@@ -75,5 +80,13 @@ def report(findings: DataFrame, project_name: str, scan_root: str | None = None,
     return one.select(F.lit(project_name).alias("project_name"), meta.alias("metadata"), F.lit("COMPLETE").alias("status"), *[c for c in one.columns if c not in ("languages_scanned", "files_scanned")])
 
 
+def timed(report_row: DataFrame) -> DataFrame:
+    """The report, computed now, with scan_duration_seconds in its metadata: the driver's clock around the whole scan."""
+    began = time.monotonic()
+    rows = report_row.collect()  # one row
+    made = report_row.sparkSession.createDataFrame(rows, report_row.schema)
+    return made.withColumn("metadata", F.col("metadata").withField("scan_duration_seconds", F.lit(time.monotonic() - began)))
+
+
 def to_json(report_row: DataFrame) -> DataFrame:
     return report_row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

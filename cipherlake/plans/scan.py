@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cipherlake.operators.enrichment import apply_responses
 from cipherlake.operators.findings import complete, fingerprint, report_order
 from cipherlake.operators.lookups import find_in_nodes
 from cipherlake.operators.manifest import scan_manifests
-from cipherlake.operators.nodes import extract_nodes
-from cipherlake.operators.report import report, to_json
-from cipherlake.sources.corpus import directory, manifests, mock_corpus, sources, uploaded
+from cipherlake.operators.nodes import extract_nodes, register_extractor
+from cipherlake.operators.report import report, timed, to_json
+from cipherlake.sources.corpus import EXTRA_EXTENSIONS, directory, manifests, mock_corpus, sources, uploaded
 
 
 def scan_texts(source_texts: DataFrame, manifest_texts: DataFrame) -> DataFrame:
@@ -30,28 +32,38 @@ def enriched(findings: DataFrame, responses: DataFrame | None) -> DataFrame:
     return apply_responses(findings.withColumn("fingerprint", fingerprint()), responses, "fingerprint")
 
 
-def scan_local(spark: SparkSession, project: str, root: str, responses: DataFrame | None = None) -> DataFrame:
+def scan_local(spark: SparkSession, project: str, root: str, responses: DataFrame | None = None, with_findings: bool = False) -> DataFrame:
     """The report row of a directory."""
-    return report(enriched(scan_texts(*directory(spark, root)), responses), project, root)
+    return report(enriched(scan_texts(*directory(spark, root)), responses), project, root, with_findings)
 
 
-def scan_upload(spark: SparkSession, name: str | None, content: bytes) -> DataFrame:
-    return report(enriched(scan_files(uploaded(spark, name, content)), None), name or "uploaded_file")
+def scan_upload(spark: SparkSession, name: str | None, content: bytes, with_findings: bool = False) -> DataFrame:
+    return report(enriched(scan_files(uploaded(spark, name, content)), None), name or "uploaded_file", with_findings=with_findings)
 
 
-def scan_mock(spark: SparkSession, domain: str) -> DataFrame:
+def scan_mock(spark: SparkSession, domain: str, with_findings: bool = False) -> DataFrame:
     """The report row of the mock corpus, which stands in for a web scan without a network."""
-    return report(enriched(scan_files(mock_corpus(spark)), None), domain)
+    return report(enriched(scan_files(mock_corpus(spark)), None), domain, with_findings=with_findings)
 
 
-def scan(spark: SparkSession, target: str, scan_type: str = "local") -> DataFrame:
-    """One JSON report: `local` scans a directory, `web` the mock corpus; other types are refused."""
+def scan(spark: SparkSession, target: str, scan_type: str = "local", with_findings: bool = True) -> DataFrame:
+    """One project's JSON report, computed now and timed: `local` scans a directory, `web` the mock corpus; other types
+    are refused. The document holds all findings, as a project's report does, unless `with_findings` is false."""
     if scan_type == "local":
-        return to_json(scan_local(spark, target, target))
+        return to_json(timed(scan_local(spark, target, target, with_findings=with_findings)))
     if scan_type == "web":
-        return to_json(scan_mock(spark, target))
+        return to_json(timed(scan_mock(spark, target, with_findings)))
     raise ValueError(f"unknown scan type: {scan_type}")
 
 
+def register_language(name: str, extensions: tuple[str, ...], extract: Callable[[str], Iterable[dict]]) -> None:
+    """Adds a language to all scans: its lower-case suffixes with dots, and the function that gives a text's nodes.
+
+    Nodes are dicts as `Source.node` makes them. Detections for the language are added by `lookups.register`.
+    """
+    EXTRA_EXTENSIONS[name] = tuple(extensions)
+    register_extractor(name, extract)
+
+
 def ordered_findings(files: DataFrame, documented: bool = False) -> DataFrame:
     return report_order(scan_files(files), documented)

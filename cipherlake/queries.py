@@ -20,7 +20,8 @@ from cipherlake.operators import findings as FD
 from cipherlake.operators import lookups as L
 from cipherlake.operators import manifest as M
 from cipherlake.operators import report as RP
-from cipherlake.operators.enrichment import apply_responses, first_valid
+from cipherlake.operators.enrichment import apply_responses, first_valid, prompts
+from cipherlake.operators.enrichment import enrichment_counts as count_enriched
 from cipherlake.operators.nodes import ANCESTOR, extract_nodes
 from cipherlake.plans.scan import scan_files
 from cipherlake.rules import tables as T
@@ -111,7 +112,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def base_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the derived lines, some enriched and some false positives."""
     kept = lines(spark, sf_dir).where((F.col("line") != "") & ~F.col("line").rlike(M.COMMENT))
-    hit = with_rule(kept, T.MANIFEST_RULES, M.manifest_rule(F.col("line")))
+    hit = with_rule(kept, T.MANIFEST_RULES, M.manifest_rule(F.col("line"), F.lower("line"), M.is_odd(F.col("line"))))
     advice = F.when(F.col("usage_context").isNotNull(), F.struct(F.lit("ML-KEM-768").alias("primary_algorithm"), F.lit(True).alias("hybrid_transition_recommended"), F.lit("notes").alias("migration_notes"), F.lit("FIPS 203").alias("nist_reference")))
     return hit.select(
         "project", "file_path", "line_number", F.lit("unknown").alias("language"), *RULE_OUT, F.substring("line", 1, T.MAX_SNIPPET).alias("code_snippet"),
@@ -257,12 +258,46 @@ def cbom_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FD.diff(found.where("project % 3 <> 0"), found.where("project % 3 <> 1")).select("fingerprint", "file_path", "line_number", "change")
 
 
-@query(f"WITH {FINDINGS_SQL} SELECT file_path, line_number, severity, row_number() OVER (PARTITION BY project ORDER BY CASE severity {' '.join(f'WHEN {sql_literal(s)} THEN {k}' for k, s in enumerate(T.SEVERITIES))} END, file_path, line_number, code_snippet, algorithm_detected) AS place FROM findings")
-def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _told_off(ordered: DataFrame) -> DataFrame:
+    """Each project's findings with their place in an ordered frame."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("project").orderBy(FD.severity_rank(), "file_path", "line_number", "code_snippet", "algorithm_detected")
-    return base_findings(spark, sf_dir).select("file_path", "line_number", "severity", F.row_number().over(w).cast("long").alias("place"))
+    seen = ordered.withColumn("_seen", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("project").orderBy("_seen")).cast("long")
+    return seen.select("file_path", "line_number", "severity", place.alias("place"))
+
+
+_severity_rank = f"CASE severity {' '.join(f'WHEN {sql_literal(s)} THEN {k}' for k, s in enumerate(T.SEVERITIES))} END"
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT file_path, line_number, severity, row_number() OVER (PARTITION BY project ORDER BY {_severity_rank}, file_path, line_number, algorithm_detected) AS place FROM findings")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = base_findings(spark, sf_dir).withColumn("column_start", F.lit(None).cast("int"))
+    return _told_off(FD.report_order(found, documented=True))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT file_path, line_number, severity, row_number() OVER (PARTITION BY project ORDER BY file_path, line_number, algorithm_detected) AS place FROM findings")
+def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = base_findings(spark, sf_dir).withColumn("column_start", F.lit(None).cast("int"))
+    return _told_off(FD.report_order(found))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT project, count(*) AS attempted, count(usage_context) AS enriched, count(*) - count(usage_context) AS failed, round_even(100.0::DOUBLE * count(usage_context) / count(*), 1) AS success_rate FROM findings GROUP BY project")
+def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_enriched(base_findings(spark, sf_dir), "project")
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT 'demo' AS project_name, 'COMPLETE' AS status, count(*) AS total_findings, count(*) FILTER (severity = 'CRITICAL') AS critical_findings_count,
+  count(*) FILTER (severity = 'INFO') AS info, '["unknown"]' AS languages_scanned, 0::BIGINT AS files_scanned FROM findings""")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON document, read back by path."""
+    document = RP.to_json(RP.report(base_findings(spark, sf_dir), "demo"))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    return document.select(
+        at("project_name").alias("project_name"), at("status").alias("status"), at("total_findings").cast("long").alias("total_findings"),
+        at("critical_findings_count").cast("long").alias("critical_findings_count"), at("severity_breakdown.INFO").cast("long").alias("info"),
+        at("metadata.languages_scanned").alias("languages_scanned"), at("metadata.files_scanned").cast("long").alias("files_scanned"),
+    )
 
 
 # ── Source lookups over single-line nodes ─────────────────────────────────────────────────────────────────────────
@@ -448,24 +483,49 @@ def cs_invocation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(as_nodes(CS_CALLS.spark(spark, sf_dir), "csharp"), "csharp_invocation")
 
 
+_many = ", ".join(f"n{k}" for k in range(300))
 SOURCES = Derived(
     "customer",
     "c_custkey",
     [
         ("python", "import rsa\nfrom Crypto.Cipher import AES\n"), ("javascript", "const c = require('crypto');\nc.createHash('md5');\n"), ("java", 'import javax.crypto.Cipher;\nclass A { Object f() { return Cipher.getInstance("DES"); } }\n'),
         ("go", 'package a\nimport "crypto/md5"\nfunc f() { md5.New() }\n'), ("csharp", "using System.Security.Cryptography;\nclass A { void f() { var m = MD5.Create(); } }\n"),
+        ("csharp", "namespace A.B {\n  using System.Security.Cryptography;\n  namespace C { using Org.BouncyCastle.Crypto; }\n}\n"), ("typescript", f"// é\nimport {{ {_many} }}\n  from 'node-rsa';\n"), ("python", "é = 1; import rsa\n"),
     ],
     ("language", "text"),
 )
 
+#: Each file's findings, by its number: line, byte columns, algorithm, severity.
+_FOUND = [
+    (0, 1, 0, 10, "RSA", "CRITICAL"), (0, 2, 0, 29, "AES", "HIGH"), (1, 1, 10, 27, "Node-crypto", "HIGH"), (1, 2, 13, 18, "MD5", "CRITICAL"), (2, 1, 0, 27, "JCA/JCE", "HIGH"), (2, 2, 49, 54, "DES", "CRITICAL"),
+    (3, 2, 7, 19, "MD5", "CRITICAL"), (3, 3, 11, 20, "MD5", "CRITICAL"), (4, 1, 0, 35, "DotNet-Crypto", "HIGH"), (4, 2, 29, 41, "MD5", "CRITICAL"), (5, 2, 2, 37, "DotNet-Crypto", "HIGH"), (5, 3, 16, 46, "BouncyCastle.Net", "HIGH"),
+    (6, 2, 0, 18, "RSA", "CRITICAL"), (7, 1, 8, 18, "RSA", "CRITICAL"),
+]
+_found_sql = f"(SELECT c_custkey AS id, e.* FROM customer JOIN (VALUES {', '.join('(' + ', '.join(map(sql_literal, r)) + ')' for r in _FOUND)}) e(i, line_number, column_start, column_end, algorithm_detected, severity) ON c_custkey % {len(SOURCES.rows)} = e.i)"
 
-@query("""WITH e(i, line_number, algorithm_detected, severity) AS (VALUES (0, 1, 'RSA', 'CRITICAL'), (0, 2, 'AES', 'HIGH'), (1, 1, 'Node-crypto', 'HIGH'), (1, 2, 'MD5', 'CRITICAL'), (2, 1, 'JCA/JCE', 'HIGH'),
- (2, 2, 'DES', 'CRITICAL'), (3, 2, 'MD5', 'CRITICAL'), (3, 3, 'MD5', 'CRITICAL'), (4, 1, 'DotNet-Crypto', 'HIGH'), (4, 2, 'MD5', 'CRITICAL'))
-SELECT c_custkey AS id, line_number, algorithm_detected, severity FROM customer JOIN e ON c_custkey % 5 = e.i""")
+
+def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = SOURCES.spark(spark, sf_dir).select(F.col("id").cast("string").alias("file_path"), "language", "text")
+    return L.find_in_nodes(extract_nodes(files))
+
+
+@query(f"SELECT id, line_number, algorithm_detected, severity FROM {_found_sql}")
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node extractors and detections of all five languages end to end; the oracle states each file's findings."""
-    files = SOURCES.spark(spark, sf_dir).select(F.col("id").cast("string").alias("file_path"), "language", "text")
-    return L.find_in_nodes(extract_nodes(files)).select(F.col("file_path").cast("long").alias("id"), "line_number", "algorithm_detected", "severity")
+    return source_findings(spark, sf_dir).select(F.col("file_path").cast("long").alias("id"), "line_number", "algorithm_detected", "severity")
+
+
+@query(f"SELECT id, line_number, column_start, column_end FROM {_found_sql}")
+def source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where nodes begin and end, in bytes of a line."""
+    return source_findings(spark, sf_dir).select(F.col("file_path").cast("long").alias("id"), "line_number", "column_start", "column_end")
+
+
+@query(f"SELECT 'python,javascript,java,go,csharp' AS languages_scanned, count(*) AS files_scanned, count(DISTINCT id) AS source_files FROM {_found_sql}")
+def scan_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("file_path", "language")
+    both = source_findings(spark, sf_dir).select(*columns).unionByName(base_findings(spark, sf_dir).select(*columns))
+    return RP.metadata(both).withColumn("languages_scanned", F.array_join("languages_scanned", ","))
 
 
 @query("""SELECT * FROM (VALUES ('mock_vendor_app.py', 1, 'RSA', 'CRITICAL', 'python'), ('mock_vendor_app.py', 2, 'AES', 'HIGH', 'python'), ('mock_vendor_app.py', 3, 'RSA', 'HIGH', 'python'),
@@ -516,12 +576,6 @@ def _sanitize_sql() -> str:
     return f"SELECT id, t AS sanitized, n AS redaction_count, array_to_string(list_sort(string_split(substr(fired, 2), ',')), ',') AS categories FROM {inner}"
 
 
-@query(_sanitize_sql())
-def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.sanitize(texts(spark, sf_dir), "text", skip=("ipv4_address",))
-    return out.select("id", "sanitized", F.col("redaction_count").cast("long").alias("redaction_count"), F.array_join("categories_redacted", ",").alias("categories"))
-
-
 # For IPv4 every run of digits is put between two marks of the private use area. An address is four whole runs joined by
 # dots, so marks stand for the look-behind and the look-ahead; the two excluded prefixes are spelled out by octet.
 _A, _Z = "\ue000", "\ue001"
@@ -547,19 +601,23 @@ def _redact_sql() -> str:
 
 
 @query(_redact_sql())
-def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 22 rules. `sanitize_documents` stays as its SQL has it, without IPv4 addresses."""
+def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.sanitize(texts(spark, sf_dir), "text")
     return out.select("id", "sanitized", F.col("redaction_count").cast("long").alias("redaction_count"), F.array_join("categories_redacted", ",").alias("categories"))
 
 
+@query(f"SELECT id, sanitized FROM ({_redact_sql()})")
+def sanitize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", R.sanitize_text(F.col("text")).alias("sanitized"))
+
+
 _ip = "len(list_filter(regexp_extract_all(text, '(?:^|[^0-9])(" + T._OCTETS + ")(?:[^0-9]|$)', 1), lambda x: not starts_with(x, '127.0.0.1') and not starts_with(x, '0.0.0.0')))"
 _audit = ", ".join(f"{{'pattern': '{name}', 'n': {_ip if name == 'ipv4_address' else f'len(regexp_extract_all(text, {_re2(raw)}, 0, ' + chr(39) + 'i' + chr(39) + '))'}}}" for name, raw, *_ in T.REDACTIONS)
 
 
 @query(f"WITH a AS (SELECT id, unnest([{_audit}]) AS e FROM {TEXTS_SQL}) SELECT id, e.pattern AS pattern, e.n::INT AS n FROM a WHERE e.n > 0")
 def audit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", F.explode(R.audit(F.col("text"))).alias("pattern", "n"))
+    return R.audited(texts(spark, sf_dir), "text").select("id", F.explode("audit").alias("pattern", "n"))
 
 
 @query("SELECT id, NOT (" + " OR ".join(f"regexp_matches(text, {sql_literal(p)})" for p in T.HIGH_RISK) + f") AS safe FROM {TEXTS_SQL}")
@@ -601,6 +659,30 @@ def static_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ALGORITHMS.spark(spark, sf_dir).select("id", E.static_context(F.col("algorithm")).alias("context"))
 
 
+_live = "CASE WHEN id % 3 = 0 THEN repeat('background ', 12) WHEN id % 3 = 1 THEN repeat(' ', 200) || 'short' END"
+_chosen = f"CASE WHEN length({STRIP.format(_live)}) > 100 THEN {_live} ELSE {_context} END"
+
+
+@query(f"""WITH p AS (SELECT *, {_chosen} AS web_context FROM {ALGORITHMS.sql})
+SELECT id, web_context, concat_ws(chr(10), 'Finding: ' || algorithm, 'Written in: python', 'Place: a.py:' || id, 'Background: ' || web_context,
+  'Code: ' || CASE WHEN id % 2 = 0 THEN {sql_literal(R.token("SECRET", "", ""))} ELSE 'import rsa' END) AS prompt FROM p""")
+def model_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts, live where usable, and prompts with sanitized snippets."""
+    live = F.when(F.col("id") % 3 == 0, F.repeat(F.lit("background "), 12)).when(F.col("id") % 3 == 1, F.concat(F.repeat(F.lit(" "), 200), F.lit("short")))
+    snippet = F.when(F.col("id") % 2 == 0, "password = 'x1'").otherwise("import rsa")
+    found = ALGORITHMS.spark(spark, sf_dir).select("id", F.col("algorithm").alias("algorithm_detected"), F.lit("python").alias("language"), F.lit("a.py").alias("file_path"), F.col("id").alias("line_number"), snippet.alias("code_snippet"))
+    return prompts(found, live).select("id", "web_context", "prompt")
+
+
+_MODELS, _KEYS = ["large", "", "small", "tiny", "last"], ["first-long-key", "short", "third-long-key"]
+
+
+@query(f"""WITH m AS (SELECT unnest(range(1, {len(_MODELS) + 1}))::INT AS tier, unnest([{', '.join(map(sql_literal, _MODELS))}]) AS model)
+SELECT tier, model, api_key FROM (SELECT *, [{', '.join(map(sql_literal, _KEYS))}][(tier - 1) % {len(_KEYS)} + 1] AS api_key FROM m) WHERE length(api_key) > 8 AND model <> ''""")
+def model_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.model_tiers(spark, "https://models", _KEYS, _MODELS)
+
+
 _good = '{"usage_context": "signs", "pqc_replacement": "ML-DSA-65", "migration_complexity": "medium", "reasoning": "why"}'
 RESPONSES = Derived(
     "events",
@@ -706,6 +788,20 @@ joined AS (SELECT domain, 0 AS r, row(ord, 0) AS "at", url FROM known UNION ALL
 candidates AS (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY r, "at", url)::INT AS place, url FROM joined)"""
 
 
+_searches = " UNION ALL ".join(f"SELECT domain, {k} AS query_no, " + " || ".join("string_split(domain, '.')[1]" if part is None else sql_literal(part) for part in parts) + " AS query FROM d" for k, parts in enumerate(T.SEARCHES))
+
+
+@query(f"WITH {RESULTS_SQL}, d AS (SELECT DISTINCT domain FROM results) {_searches}")
+def serp_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.search_queries(results(spark, sf_dir))
+
+
+@query(f"""WITH {RESULTS_SQL}, n AS (SELECT domain, url, string_split(replace(url, chr(92), '/'), '/')[-1] AS name FROM results)
+SELECT domain, url, replace(replace(domain, '.', '_'), '/', '_') AS safe_dir, CASE WHEN name = '' THEN 'uploaded_file' ELSE name END AS base_name FROM n""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("domain", "url", U.safe_dir_name(F.col("domain")).alias("safe_dir"), U.basename(F.col("url")).alias("base_name"))
+
+
 @query(f"WITH {CAPPED_SQL} SELECT * FROM capped")
 def serp_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.cap_results(results(spark, sf_dir))
@@ -784,6 +880,21 @@ def language_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PATHS.spark(spark, sf_dir).select("id", C.source_language().alias("language"))
 
 
+CONTENTS = Derived("part", "p_partkey", [("696d706f7274207273610d0a", "import rsa\n", "import rsa\n"), ("c3a90d78", "é\nx", "é\nx"), ("e90a", "é\n", "\ufffd\n"), ("", "", ""), ("41e9ff", "Aéÿ", "A\ufffd\ufffd")], ("hex", "as_source", "as_manifest"))
+
+
+@query(f"SELECT id, as_source, as_manifest FROM {CONTENTS.sql}")
+def decode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as source text (UTF-8, else Latin-1) and as manifest text (UTF-8, bad bytes replaced)."""
+    content = F.unhex("hex")
+    return CONTENTS.spark(spark, sf_dir).select("id", C.decode_source(content).alias("as_source"), C.decode_manifest(content).alias("as_manifest"))
+
+
+@query("SELECT * FROM (VALUES ('up.py', 1, 'RSA', 'CRITICAL'), ('up.py', 2, 'ECDSA', 'CRITICAL')) t(file_path, line_number, algorithm_detected, severity)")
+def upload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_files(C.uploaded(spark, "some/where/up.py", b"import rsa\r\nimport ecdsa\r\n")).select("file_path", "line_number", "algorithm_detected", "severity")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -35,10 +35,6 @@ def values_relation(spark: SparkSession, rows: Iterable[Sequence[object]], colum
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
-def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    return values_relation(spark, rules, RULE_COLUMNS)
-
-
 def first_match(rules: Sequence[Rule], test: Callable[[Rule], Column], field: str = "ord") -> Column:
     """A field of the first rule whose test holds, else null: one CASE, left at the first hit, in generated code."""
     chain = None

@@ -460,6 +460,13 @@ DEFAULT_CONTEXT = "NIST has standardised three PQC algorithms: ML-KEM (FIPS 203,
 
 # Discovery.
 FILE_EXTENSIONS = (".py", ".js", ".ts", ".java", ".go", ".cs", ".rs", ".rb", ".txt", ".toml", ".json", ".xml", ".gradle", ".mod", ".lock", ".cfg", ".ini")
+#: Searches for a company's files; None stands for its name.
+SEARCHES = (
+    ("site:github.com/", None, ' "requirements.txt" OR "package.json" crypto OR auth OR tls'),
+    ("site:github.com/", None, ' "import rsa" OR "from cryptography" OR "pycryptodome"'),
+    ("site:github.com/", None, ' "node-rsa" OR "elliptic" OR "bouncycastle" OR "bouncy-castle"'),
+    ("site:github.com/", None, ' "go.mod" "golang.org/x/crypto"'),
+)
 MAX_SAVED_FILES, MAX_FILE_KB, MIN_FILE_CHARS, MAX_RESULTS, MAX_CONTEXT_CHARS, MAX_SNIPPET = 5, 150, 20, 8, 2000, 200
 KNOWN_FILES = {
     "stripe": ("stripe/stripe-python/blob/master/requirements.txt", "stripe/stripe-node/blob/master/package.json", "stripe/stripe-java/blob/master/pom.xml", "stripe/stripe-go/blob/master/go.mod", "stripe/stripe-php/blob/master/composer.json"),

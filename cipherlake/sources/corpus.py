@@ -16,6 +16,10 @@ from cipherlake.rules.tables import LANGUAGE_EXTENSIONS, MANIFEST_EXTENSIONS, MA
 from cipherlake.shipping import ship_package
 
 
+#: Suffixes of registered languages.
+EXTRA_EXTENSIONS: dict[str, tuple[str, ...]] = {}
+
+
 def directories() -> Column:
     """The directory names of rel_path."""
     parts = F.split("rel_path", "/")
@@ -34,7 +38,7 @@ def file_name() -> Column:
 def source_language() -> Column:
     """The language of a source file by its suffix in any case; `.ts` and `.tsx` (lower case) are TypeScript."""
     ext, chain = extension(file_name()), F.when(F.col("rel_path").rlike(r"\.tsx?$"), "typescript")
-    for language, extensions in LANGUAGE_EXTENSIONS.items():
+    for language, extensions in [*LANGUAGE_EXTENSIONS.items(), *EXTRA_EXTENSIONS.items()]:
         chain = chain.when(ext.isin(*extensions), language)
     return chain
 
@@ -43,20 +47,45 @@ def is_manifest() -> Column:
     return file_name().isin(*MANIFEST_NAMES) | extension(file_name()).isin(*MANIFEST_EXTENSIONS)
 
 
-def list_directory(spark: SparkSession, root: str) -> DataFrame:
+def list_directory(spark: SparkSession, root: str, subtrees: int = 64) -> DataFrame:
     """(file_path, rel_path) of the files under a directory that driver and executors can both read.
 
-    Directories that both scans skip are pruned before descent. Raises NotADirectoryError if there is none.
+    The driver goes down level by level, through directories only, until there are `subtrees` of them (or four levels
+    are done); executors list the files, of these directories and of whole subtrees. Directories that both scans skip
+    are pruned before descent; symbolic links to directories are not followed. Raises NotADirectoryError if there is no
+    such directory.
     """
     root = os.path.realpath(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(f"not a directory: {root}")
     skip = set(SOURCE_SKIP_DIRS) & set(MANIFEST_SKIP_DIRS)
-    found = []
-    for at, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in skip and not d.startswith("."))
-        found += [(os.path.join(at, f), os.path.relpath(os.path.join(at, f), root).replace(os.sep, "/")) for f in sorted(files)]
-    return spark.createDataFrame(found, "file_path string, rel_path string")
+    wanted = lambda name: name not in skip and not name.startswith(".")
+    passed, frontier = [], [root]
+    for _ in range(4):
+        if not frontier or len(frontier) >= subtrees:
+            break
+        passed += frontier
+        frontier = [e.path for at in frontier for e in _entries(at) if e.is_dir(follow_symlinks=False) and wanted(e.name)]
+    starts = spark.createDataFrame([(d, False) for d in passed] + [(d, True) for d in frontier], "at string, deep boolean")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for folder, dirs, files in os.walk(at):
+                    dirs[:] = [d for d in dirs if deep and wanted(d)]
+                    paths = [os.path.join(folder, f) for f in files]
+                    relative = [os.path.relpath(p, root).replace(os.sep, "/") for p in paths]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in (paths, relative)], names=["file_path", "rel_path"])
+
+    ship_package(spark)
+    return starts.repartition(max(1, min(len(passed) + len(frontier), subtrees))).mapInArrow(walk, "file_path string, rel_path string")
+
+
+def _entries(folder: str) -> list[os.DirEntry]:
+    try:
+        return sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return []
 
 
 def read_files(paths: DataFrame) -> DataFrame:
@@ -78,9 +107,8 @@ def read_files(paths: DataFrame) -> DataFrame:
 
 
 def directory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(sources, manifests) of a directory; only files that a scan reads are opened, by tasks of some 200 files."""
-    paths = list_directory(spark, root)
-    dealt = paths.repartition(max(1, min(paths.count() // 200 + 1, 10_000)), "file_path")
+    """(sources, manifests) of a directory; only files that a scan reads are opened, dealt by name to many tasks."""
+    dealt = list_directory(spark, root).repartition(max(16, 4 * spark.sparkContext.defaultParallelism), "file_path")
     wanted_sources = dealt.where(source_language().isNotNull() & not_skipped(SOURCE_SKIP_DIRS))
     wanted_manifests = dealt.where(is_manifest() & not_skipped(MANIFEST_SKIP_DIRS))
     return sources(read_files(wanted_sources)), manifests(read_files(wanted_manifests))

@@ -5,11 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cipherlake.operators import lookups, nodes
+from cipherlake.operators import report as RP
 from cipherlake.operators.lookups import find_in_nodes
 from cipherlake.operators.manifest import scan_manifests
 from cipherlake.operators.nodes import extract_nodes, nodes_of
 from cipherlake.plans import scan as P
-from cipherlake.sources.corpus import MOCK_FILES, directory, list_directory, mock_corpus, uploaded
+from cipherlake.rules.tables import Rule
+from cipherlake.sources.corpus import EXTRA_EXTENSIONS, MOCK_FILES, directory, list_directory, mock_corpus, uploaded
 
 SAMPLE = '''"""
 A payment module.
@@ -124,6 +127,57 @@ def test_manifest_lines(spark):
     assert scan_manifests(empty).count() == 0
 
 
+def test_imports_of_any_length(spark):
+    names = ",\n".join(f"name{k}" for k in range(2000))
+    assert [a for *_, a, _ in found(spark, "javascript", f"import {{ {names} }} from 'node-rsa'")] == ["RSA"]
+    assert [a for *_, a, _ in found(spark, "java", "import " + ".".join(f"p{k}" for k in range(500)) + ".javax.crypto.Cipher;")] == ["JCA/JCE"]
+    assert nodes_of(f"import {{ {names} }} ; 'x'", "javascript")[0]["node_type"] == "string"
+
+
+def test_usings_within_namespaces(spark):
+    text = "namespace A.B {\n using System.Security.Cryptography;\n namespace C { using Org.BouncyCastle.Crypto; }\n class D { void f() { using var x = System.Security.Cryptography.Y; } }\n}"
+    assert [(line, a) for _, line, a, _ in found(spark, "csharp", text)] == [(2, "DotNet-Crypto"), (3, "BouncyCastle.Net")]
+    assert [n["node_type"] for n in nodes_of("namespace N; using System.Security.Cryptography;", "csharp")] == ["using_directive"]
+
+
+def test_registered_language(spark):
+    def extract(text):
+        for k, line in enumerate(text.split("\n")):
+            if line.startswith("use "):
+                yield {"node_type": "use", "text": line, "line_number": k + 1, "column_start": 0, "column_end": len(line), "_at": (k, 0)}
+
+    P.register_language("rust", (".rs",), extract)
+    lookups.register(lookups.Detector("rust_use", ("rust",), F.col("node_type") == "use", (Rule(1, "rsa", "RSA", "SHOR", "HIGH", True),), F.regexp_extract("text", "^use ([a-z0-9_]+)", 1), F.col("text")))
+    try:
+        rows = P.scan_files(uploaded(spark, "a.rs", b"use rsa::Key;\nuse std::io;\n"))
+        assert [(r.language, r.line_number, r.algorithm_detected) for r in rows.collect()] == [("rust", 1, "RSA")]
+        assert RP.metadata(rows).first().languages_scanned == ["rust"]
+    finally:
+        lookups._REGISTERED.clear()
+        nodes._REGISTERED.clear()
+        EXTRA_EXTENSIONS.clear()
+
+
+def test_deep_directory(spark, tmp_path):
+    want = set()
+    for k in range(40):
+        f = tmp_path / "/".join(["d", *[f"x{k % m}" for m in (2, 3, 5, 7, 4)]]) / f"f{k}.py"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("import rsa")
+        want.add(str(f.relative_to(tmp_path)))
+    (tmp_path / "d/node_modules/z").mkdir(parents=True)
+    (tmp_path / "d/node_modules/z/q.js").write_text("")
+    for subtrees in (1, 4, 64):
+        assert sorted(r.rel_path for r in list_directory(spark, str(tmp_path), subtrees).collect()) == sorted(want)
+
+
+def test_report_is_timed_and_small_by_default(spark):
+    row = P.scan_mock(spark, "x.com")
+    assert "findings" not in row.columns
+    report = json.loads(P.scan(spark, "x.com", "web").first().json)
+    assert report["metadata"]["scan_duration_seconds"] > 0 and len(report["findings"]) == 13
+
+
 def test_directory(spark, tmp_path):
     files = {"a/app.py": "import rsa", "a/__init__.py": "import ssl", "bin/x.py": "import rsa", "bin/requirements.txt": "rsa", ".git/y.py": "import rsa", "a/.env.py": "import rsa", "b/L.java": "import javax.crypto.Cipher;", "c.bin": "rsa"}
     for name, text in files.items():
@@ -158,3 +212,18 @@ def test_streaming_dedupes(spark, tmp_path):
     assert spark.table("new_findings").count() == 2
     static = spark.read.schema("file_path string, text string, seen_at timestamp").json(str(source))
     assert new_findings(static).select(F.col("fingerprint")).distinct().count() == 2
+
+
+def test_manifest_gates_drop_nothing(spark):
+    """A signature is found wherever its pattern alone would be, odd letters and case included."""
+    from cipherlake.rules.tables import MANIFEST_RULES
+
+    lines = ["rſa", "deſ", "bouncycastı", "ellİptic", "RSA", "OpenSSL =1", "rsa   = 1", "Key forge", "GOLANG.ORG/X/CRYPTO", "golangxorg/x/crypto", "nothing"]
+    df = spark.createDataFrame([("a.txt", "\n".join(lines))], "file_path string, text string")
+    got = {r.line_number: r.algorithm_detected for r in scan_manifests(df).collect()}
+    plain = spark.createDataFrame(list(enumerate(lines, 1)), "k int, line string")
+    for rule in reversed(MANIFEST_RULES):
+        plain = plain.withColumn(f"r{rule.ord}", F.col("line").rlike(f"(?iU){rule.key}"))
+    for r in plain.collect():
+        first = next((rule.algorithm for rule in MANIFEST_RULES if r[f"r{rule.ord}"]), None)
+        assert got.get(r.k) == first, lines[r.k - 1]

@@ -3,7 +3,8 @@
 Every window of `length` bytes has a key, the smallest hash among its short grams; equal windows have equal keys. The
 windows of a text that follow one another with one key form a fragment. Keys that occur once anywhere are settled;
 fragments with equal bytes settle each other; the rest are dealt by key to shards, whose suffix arrays and permuted
-common prefixes show which windows occur twice.
+common prefixes show which windows occur twice. A key with too many different fragments for one shard is split: its
+fragments become texts of their own, with keys from longer grams, down to keys that are whole windows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from cipherlake.llm.near_dedup import whole_groups
 from cipherlake.llm.suffix_arrays import repeated_starts
 from cipherlake.shipping import ship_package
 
-#: Bytes of a gram, at most; a window must hold several.
+#: Bytes of a gram on the first level, at most; a window must hold several.
 GRAM = 32
 #: Bytes of fragments that share one suffix array.
 SHARD_BYTES = 2 << 20
@@ -42,9 +43,6 @@ class Prefix:
         """The hash of each `size`-byte gram, by start."""
         return mix64((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
-
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` consecutive values, in three passes whatever the width."""
@@ -57,13 +55,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def fragments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, content hash, first window, last window, times the key's gram occurs in the text) of each fragment."""
-    gram = max(1, min(GRAM, length // 4))
-    prefix = Prefix(data)
-    g = prefix.grams(gram)
+def gram_sizes(length: int) -> list[int]:
+    """The grams of each level: short ones first, and at last the window itself."""
+    return sorted({max(1, min(GRAM, length // 4)), max(1, length * 3 // 4), max(1, length * 15 // 16), length})
+
+
+def fragments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, last window, times the key's gram occurs in the text) of each fragment."""
+    g = Prefix(data).grams(gram)
     least = sliding_min(g, length - gram + 1)
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    # Grams as long as windows: every window is a fragment.
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1 if gram < length else np.arange(1, len(least))
     first = np.concatenate([[0], change])
     last = np.concatenate([change - 1, [len(least) - 1]])
     key = least[first]
@@ -74,7 +76,7 @@ def fragments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     some = g[may[(g & U64(4095)).astype(np.int64)]]
     at = np.minimum(np.searchsorted(distinct, some), len(distinct) - 1)
     times = np.bincount(at[distinct[at] == some], minlength=len(distinct))
-    return key, prefix.spans(first, last + length), first, last, times[np.searchsorted(distinct, key)]
+    return key, first, last, times[np.searchsorted(distinct, key)]
 
 
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -94,10 +96,13 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Dedup:
-    def __init__(self, df: DataFrame, length: int, hot: int, text_col: str, id_col: str):
+    """One run. A level's texts are rows (sha, base, parent, data): whole documents first, then fragments of hot keys;
+    `sha` names the document, `base` the first window's place in it, `parent` the key that the fragment had."""
+
+    def __init__(self, df: DataFrame, length: int, group: int, text_col: str, id_col: str):
         ship_package(df.sparkSession)
         self.ws = Workspace(df.sparkSession, "substring-dedup")
-        self.length, self.hot = length, hot
+        self.length, self.group, self.grams = length, group, gram_sizes(length)
         text = text_or_empty(text_col)
         self.rows = df.select(
             F.col(f"`{id_col}`").alias("doc_id"),
@@ -107,60 +112,68 @@ class Dedup:
             F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("#"), F.sha2(text, 256))).alias("place"),
         )
 
-    def occurrences(self) -> DataFrame:
-        """sha (as binary), key, content, first, last, times for each fragment of each row."""
-        length = self.length
+    def occurrences(self, texts: DataFrame, level: int) -> DataFrame:
+        """sha, base, key, content (128-bit digest), first, last, times for each fragment of each text."""
+        length, gram = self.length, self.grams[level]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = utf8_buffers(column(batch, "text"))
-                shas = column(batch, "sha")
-                parts, owner = [], []
+                data, offsets = utf8_buffers(column(batch, "data"))
+                base, parent = (column(batch, c).to_numpy() for c in ("base", "parent"))
+                parts, contents, owner = [], [], []
                 for r in range(batch.num_rows):
                     if offsets[r + 1] - offsets[r] >= length:
-                        parts.append(fragments(data[offsets[r] : offsets[r + 1]], length))
+                        own = data[offsets[r] : offsets[r + 1]]
+                        key, first, last, times = fragments(own, length, gram)
+                        parts.append((mix64(key ^ parent[r].astype(U64)), first + base[r], last + base[r], times))
+                        view = memoryview(own)
+                        contents += [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
                         owner.append(r)
                 if not parts:
                     continue
-                sizes = [len(p[0]) for p in parts]
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                rows = pa.array(np.repeat(owner, [len(p[0]) for p in parts]))
+                key, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        shas.take(pa.array(np.repeat(owner, sizes))),
-                        pa.array(columns[0].view(np.int64)),
-                        pa.array(columns[1].view(np.int64)),
-                        *(pa.array(c.astype(np.int32)) for c in columns[2:]),
-                    ],
-                    names=["sha", "key", "content", "first", "last", "times"],
+                    [column(batch, "sha").take(rows), column(batch, "base").take(rows), pa.array(key.view(np.int64)), pa.array(contents, type=pa.binary()), *(pa.array(c.astype(np.int32)) for c in rest)],
+                    names=["sha", "base", "key", "content", "first", "last", "times"],
                 )
 
-        rows = self.rows.select("text", F.unhex("sha").alias("sha"))
-        return rows.mapInArrow(run, "sha binary, key long, content long, first int, last int, times int")
+        return texts.mapInArrow(run, "sha binary, base int, key long, content binary, first int, last int, times int")
 
-    def shard_runs(self, wanted: DataFrame) -> DataFrame:
-        """sha, first, last: repeated windows of the wanted fragments (sha, place, key, first, last)."""
+    def pieces(self, wanted: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+        """key, hot, sha, first, bytes of the wanted fragments (key, hot, sha, base, first, last)."""
         length = self.length
-        lists = wanted.groupBy("place", "sha").agg(F.collect_list(F.struct("key", "first", "last", "crowd")).alias("parts"))
-        lists = self.ws.save(lists.select(F.col("place").alias("at"), F.col("sha").alias("wanted"), "parts"), "lists")
-        found = self.rows.join(lists.hint("shuffle_hash"), F.col("place") == F.col("at")).where(F.unhex("sha") == F.col("wanted")).select("wanted", "text", "parts")
+        lists = wanted.groupBy("sha", "base").agg(F.collect_list(F.struct("key", "hot", "first", "last")).alias("parts"))
+        if level:
+            lists = self.ws.save(lists, f"lists{level}")
+            found = texts.select("sha", "base", "data").join(lists, ["sha", "base"]).select("sha", "base", "data", "parts")
+        else:
+            lists = lists.join(self.classes.select("sha", "place"), "sha").select(F.col("place").alias("at"), F.col("sha").alias("wanted"), "base", "parts")
+            lists = self.ws.save(lists, f"lists{level}")
+            found = self.rows.join(lists.hint("shuffle_hash"), F.col("place") == F.col("at")).where(F.unhex("sha") == F.col("wanted"))
+            found = found.select(F.col("wanted").alias("sha"), "base", F.col("text").alias("data"), "parts")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = set()
+            seen = set()  # rows may repeat an id and its text
             for batch in batches:
-                data, offsets = utf8_buffers(column(batch, "text"))
-                wanted, parts = column(batch, "wanted").to_pylist(), column(batch, "parts").to_pylist()
+                data, offsets = utf8_buffers(column(batch, "data"))
+                shas, bases, parts = (column(batch, c).to_pylist() for c in ("sha", "base", "parts"))
                 rows = []
                 for r in range(batch.num_rows):
-                    if wanted[r] in seen:
+                    if (shas[r], bases[r]) in seen:
                         continue
-                    seen.add(wanted[r])
+                    seen.add((shas[r], bases[r]))
                     own = data[offsets[r] : offsets[r + 1]]
-                    rows += [(p["key"], wanted[r], p["first"], p["crowd"], own[p["first"] : p["last"] + length].tobytes()) for p in parts[r]]
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
+                    rows += [(p["key"], p["hot"], shas[r], p["first"], own[p["first"] - bases[r] : p["last"] - bases[r] + length].tobytes()) for p in parts[r]]
+                kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "sha", "first", "crowd", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "hot", "sha", "first", "bytes"])
 
-        pieces = self.ws.save(found.mapInArrow(cut, "key long, sha binary, first int, crowd boolean, bytes binary"), "pieces")
+        return self.ws.save(found.mapInArrow(cut, "key long, hot boolean, sha binary, first int, bytes binary"), f"pieces{level}")
+
+    def shard_runs(self, pieces: DataFrame) -> DataFrame:
+        """sha, first, last: repeated windows of the pieces, whose keys all have few enough for one shard."""
+        length = self.length
 
         def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def settle(tables: list[pa.Table]) -> pa.RecordBatch:
@@ -189,29 +202,31 @@ class Dedup:
             if held:
                 yield settle(held)
 
-        quiet = pieces.where("NOT crowd").select("key", "sha", "first", "bytes").repartition("key").sortWithinPartitions("key")
-        runs = quiet.mapInArrow(induce, "sha binary, first int, last int")
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = utf8_buffers(column(batch, "bytes"))
-                sha, first = column(batch, "sha"), column(batch, "first").to_numpy()
-                for r in range(batch.num_rows):
-                    own = data[offsets[r] : offsets[r + 1]]
-                    at = np.arange(len(own) - length + 1)
-                    h = Prefix(own).grams(length)
-                    second = Prefix(own[::-1].copy()).grams(length)[::-1]
-                    yield pa.RecordBatch.from_arrays(
-                        [sha.take(pa.array(np.full(len(at), r))), pa.array((first[r] + at).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(second.view(np.int64))],
-                        names=["sha", "at", "h1", "h2"],
-                    )
-
-        crowded = pieces.where("crowd")
-        if not crowded.isEmpty():
-            each = self.ws.save(crowded.select("sha", "first", "bytes").mapInArrow(windows, "sha binary, at int, h1 long, h2 long"), "windows")
-            twice = self.ws.save(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
-            hit = each.join(twice, ["h1", "h2"]).select("sha", F.col("at").alias("first"), F.col("at").alias("last"))
-            runs = runs.unionAll(hit)
+        dealt = pieces.select("key", "sha", "first", "bytes").repartition("key").sortWithinPartitions("key")
+        return dealt.mapInArrow(induce, "sha binary, first int, last int")
+
+    def level_runs(self, texts: DataFrame, level: int) -> DataFrame:
+        """sha, first, last: windows of the texts that occur elsewhere in them."""
+        save = lambda df, name: self.ws.save(df, f"{name}{level}")
+        every = save(self.occurrences(texts, level), "occurrences")
+        keys = save(every.groupBy("key").agg(F.sum("times").alias("total")).where("total > 1").select("key"), "keys")
+        seen = every.join(keys, "key").groupBy("key", "content", "sha", "base", "first", "last", "times").agg(F.count(F.lit(1)).alias("copies"))
+        seen = save(seen, "seen")
+        self.ws.drop(f"occurrences{level}", f"keys{level}")
+        contents = seen.groupBy("key", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("sha", "base", "first", "last")).alias("one"), F.max("times").alias("times"))
+        contents = save(contents, "contents")
+        # Fragments with equal bytes: all their windows occur elsewhere.
+        twins = contents.where("n > 1").select("key", "content")
+        runs = seen.join(twins, ["key", "content"]).select("sha", "first", "last")
+        unlike = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.max("times").alias("most"))
+        deeper = level + 1 < len(self.grams)
+        unlike = save(unlike.where("contents > 1 OR most > 1").select("key", (F.col("contents") > (self.group if deeper else 1 << 62)).alias("hot")), "unlike")
+        wanted = contents.join(unlike, "key").select("key", "hot", "one.sha", "one.base", "one.first", "one.last")
+        pieces = self.pieces(wanted, texts, level)
+        runs = runs.unionAll(self.shard_runs(pieces.where("NOT hot")))
+        if deeper and not unlike.where("hot").isEmpty():
+            split = pieces.where("hot").select("sha", F.col("first").alias("base"), F.col("key").alias("parent"), F.col("bytes").alias("data"))
+            runs = runs.unionAll(self.level_runs(split, level + 1))
         return runs
 
     def run(self) -> DataFrame:
@@ -220,20 +235,9 @@ class Dedup:
         classes = self.ws.save(classes.select(F.unhex("sha").alias("sha"), "copies", "place", "n"), "classes")
         whole = classes.where((F.col("copies") > 1) & (F.col("n") >= length))
 
-        every = self.ws.save(self.occurrences(), "occurrences")
-        keys = self.ws.save(every.groupBy("key").agg(F.sum("times").alias("total")).where("total > 1").select("key"), "keys")
-        seen = every.join(keys, "key").groupBy("key", "content", "sha", "first", "last", "times").agg(F.count(F.lit(1)).alias("copies"))
-        seen = self.ws.save(seen, "seen")
-        self.ws.drop("occurrences")
-        contents = seen.groupBy("key", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("sha", "first", "last")).alias("one"), F.max("times").alias("times"))
-        contents = self.ws.save(contents, "contents")
-        unlike = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.max("times").alias("most"))
-        unlike = self.ws.save(unlike.where("contents > 1 OR most > 1").select("key", (F.col("contents") > self.hot).alias("crowd")), "unlike")
-        wanted = contents.join(unlike, "key").select("key", "crowd", "one.sha", "one.first", "one.last").join(classes.select("sha", "place"), "sha")
-        runs = self.shard_runs(wanted)
-        # Fragments with equal bytes: all their windows occur elsewhere.
-        twins = contents.where("n > 1").select("key", "content")
-        runs = runs.unionAll(seen.join(twins, ["key", "content"]).select("sha", "first", "last"))
+        self.classes = classes
+        texts = self.rows.select(F.unhex("sha").alias("sha"), F.lit(0).alias("base"), F.lit(0).cast("long").alias("parent"), F.col("text").alias("data"))
+        runs = self.level_runs(texts, 0)
         runs = runs.join(whole.select("sha"), "sha", "left_anti").groupBy("sha").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
         runs = self.ws.save(runs.join(classes.select("sha", "place"), "sha").select(F.col("sha").alias("wanted"), F.col("place").alias("at"), "runs"), "runs")
 
@@ -266,6 +270,7 @@ class Dedup:
             F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("spans"),
         )
         results = self.ws.save(cut.unionAll(gone), "results")
+        self.ws.keep("results")
         slim = self.rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha")
         return slim.join(results, F.unhex("sha") == F.col("wanted"), "left").select(
             "doc_id",
@@ -277,22 +282,25 @@ class Dedup:
         )
 
 
-def substring_dedup(df: DataFrame, length: int = 400, hot: int = 4096, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def substring_dedup(df: DataFrame, length: int = 400, group: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets, end exclusive).
 
     A byte is removed if a string of `length` bytes that covers it starts anywhere else as well, in the same text or
     another; overlaps count, and all is judged on the input. Matches don't cross texts.
 
-    Shards are groups of fragment keys of about 2 MB, so their suffix arrays stay small. A key with more than `hot`
-    different fragments (a passage's edge in very many texts) is settled by hashes of all its windows (128 bits),
-    counted with map-side combining, as no task should hold such a group. Equal texts are one from the start: copies
-    of at least `length` bytes are removed whole. Joins on hot keys are between written tables, so adaptive execution
-    splits them. Texts are fetched by id, not by content, so a hot content doesn't gather in a task.
+    Shards are groups of fragment keys of about 2 MB, so their suffix arrays stay small. A key with more than `group`
+    different fragments (a passage's edge in very many texts) is split by keys from longer grams, level after level; on
+    the last one a key is a whole window, so it has one content, and its occurrences are counted with map-side
+    combining. So no task holds a group that grows with the input, and nothing is left out. Fragments count as equal by
+    a 128-bit BLAKE2 digest of their bytes. Equal texts are one from the start: copies of at least `length` bytes are
+    removed whole. Joins on hot keys are between written tables, so adaptive execution splits them. Texts are fetched
+    by id, not by content, so a hot content doesn't gather in a task.
 
     Null text is empty; texts shorter than `length` lose nothing. Null ids are fetched by content. Repeated rows are
-    copies of each other. Other columns are not read. An empty table gives an empty result.
+    copies of each other. Other columns are not read. An empty table gives an empty result. The intermediate tables are
+    dropped, but for one with a row per text that loses bytes.
     """
-    return Dedup(df, length, hot, text_col, id_col).run()
+    return Dedup(df, length, group, text_col, id_col).run()
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int) -> dict[int, tuple[int, int, int, str]]:

@@ -1,11 +1,11 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy passes over whole buckets."""
+"""Suffix arrays by induced sorting at every size, and permuted common prefixes, in numpy passes over stretches."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings with larger alphabets are sorted by doubling ranks: a pass per bucket would no longer pay.
-MAX_BUCKETS = 2048
+#: Strings with a longer run of one value are induced place by place: stretches would be short.
+MAX_RUN = 1024
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -19,84 +19,93 @@ def classify(t: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def _deal(values: np.ndarray, chars: np.ndarray, at: np.ndarray, step: int, sa: np.ndarray) -> None:
-    """Appends values to their buckets in order, from at[c] upwards (step 1) or from at[c] - 1 downwards (step -1)."""
-    order = np.argsort(chars, kind="stable")
-    chars = chars[order]
-    counts = np.bincount(chars, minlength=len(at))
-    rank = np.arange(len(chars)) - np.repeat(np.cumsum(counts) - counts, counts)
-    sa[at[chars] + rank if step > 0 else at[chars] - 1 - rank] = values[order]
-    at += step * counts
-
-
-def induce(t: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def induce_stretches(t: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones in order.
 
-    A left-to-right pass places L-type suffixes before, a right-to-left pass S-type ones behind what they precede. Each
-    bucket is handled at once; suffixes that fall into the bucket being read (runs of one value) follow in waves.
+    A left-to-right pass places L-type suffixes before, a right-to-left pass S-type ones behind what they precede. The
+    array is read in stretches that end before the first place which the stretch itself fills, so all of a stretch is
+    known when it is read.
     """
+    n = len(t)
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    sa = np.full(len(t), -1, dtype=np.int64)
-    in_bucket = np.bincount(t[lms], minlength=len(sizes))
-    order = np.argsort(t[lms], kind="stable")
-    grouped = lms[order]
-    first = np.cumsum(in_bucket) - in_bucket
-
-    def read(wave: np.ndarray, c: int, small: bool) -> tuple[np.ndarray, np.ndarray]:
-        before = wave[wave > 0] - 1
-        before = before[kinds[before] == small]
-        same = t[before] == c
-        return before[same], before[~same]
-
-    head = starts.copy()
-    for c in np.flatnonzero(sizes).tolist():
-        out = []
-        wave = sa[starts[c] : head[c]]
-        while len(wave):
-            wave, other = read(wave, c, False)
-            sa[head[c] : head[c] + len(wave)] = wave
-            head[c] += len(wave)
-            out.append(other)
-        out.append(read(grouped[first[c] : first[c] + in_bucket[c]], c, False)[1])
-        other = np.concatenate(out)
-        if len(other):
-            _deal(other, t[other], head, 1, sa)
-    l_end = head.copy()
-    tail = ends.copy()
-    sa[0], tail[0] = len(t) - 1, 0
-    for c in np.flatnonzero(sizes)[::-1].tolist():
-        out = []
-        wave = sa[tail[c] : ends[c]][::-1] if c else sa[:0]
-        while len(wave):
-            wave, other = read(wave, c, True)
-            sa[tail[c] - len(wave) : tail[c]] = wave[::-1]
-            tail[c] -= len(wave)
-            out.append(other)
-        out.append(read(sa[starts[c] : l_end[c]][::-1], c, True)[1])
-        other = np.concatenate(out)
-        if len(other):
-            _deal(other, t[other], tail, -1, sa)
+    sa = np.full(n, -1, dtype=np.int64)
+    chars = t[lms]
+    order = np.argsort(chars, kind="stable")
+    counts = np.bincount(chars, minlength=len(sizes))
+    rank = np.arange(len(lms)) - np.repeat(np.cumsum(counts) - counts, counts)
+    slots = (ends - counts)[chars[order]] + rank
+    sa[slots] = lms[order]
+
+    def sweep(at: np.ndarray, small: bool) -> None:
+        """Reads every place in order (backwards if `small`) and appends what precedes its suffix to its bucket."""
+        i, width, step = 0, 256, -1 if small else 1
+        view = sa[::step]  # the stretch is always view[i:e], in reading order
+        while i < n:
+            e = min(n, i + width)
+            w = view[i:e]
+            source = np.flatnonzero(w > 0)
+            values = w[source] - 1
+            mine = kinds[values] == small
+            source, values = source[mine], values[mine]
+            if len(values):
+                c = t[values]
+                by = np.argsort(c, kind="stable")
+                c = c[by]
+                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                runs = np.diff(np.append(first, len(c)))
+                turn = np.arange(len(c)) - np.repeat(first, runs)
+                place = n - 1 - (at[c] - 1 - turn) if small else at[c] + turn  # in reading order
+                inside = place[place < e]
+                if len(inside):
+                    e = int(inside.min())
+                    keep = source[by] < e - i
+                    by, c, place = by[keep], c[keep], place[keep]
+                view[place] = values[by]
+                np.add.at(at, c, step)
+            width = min(1 << 20, 2 * width) if e - i == width else max(32, 2 * (e - i))
+            i = e
+
+    sweep(ends - sizes, False)
+    sa[slots] = -1
+    sa[0] = n - 1
+    sweep(ends.copy(), True)
     return sa
 
 
-def by_doubling(t: np.ndarray) -> np.ndarray:
-    """Suffixes in order by comparing twice as many values in each round."""
-    n = len(t)
-    _, rank = np.unique(t, return_inverse=True)
-    rank = rank.astype(np.int64)
-    step = 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[:-step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + second
-        order = np.argsort(key)
-        key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or step >= n:
-            return order
-        step *= 2
+def induce_places(t: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same, one place after another: in linear time whatever the string."""
+    ends = np.cumsum(sizes)
+    value = t.tolist()
+    # What precedes a suffix, if a pass has to place it; 0 stands for an empty place too, as nothing precedes suffix 0.
+    large, small = np.arange(-1, len(t) - 1), np.arange(-1, len(t) - 1)
+    large[1:][kinds[:-1]] = -1
+    small[1:][~kinds[:-1]] = -1
+    sa = [0] * len(t)
+    tail = ends.tolist()
+    slots = []
+    for i in lms[::-1].tolist():
+        c = value[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+        slots.append(tail[c])
+    head, before = (ends - sizes).tolist(), large.tolist()
+    for v in sa:
+        j = before[v]
+        if j >= 0:
+            c = value[j]
+            sa[head[c]] = j
+            head[c] += 1
+    for k in slots:
+        sa[k] = 0
+    sa[0] = len(t) - 1
+    tail, before = ends.tolist(), small.tolist()
+    for v in reversed(sa):
+        j = before[v]
+        if j >= 0:
+            c = value[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, dtype=np.int64)
 
 
 def suffix_array(t: np.ndarray, n_values: int) -> np.ndarray:
@@ -104,6 +113,8 @@ def suffix_array(t: np.ndarray, n_values: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n)[::-1].copy()
+    breaks = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
+    induce = induce_stretches if np.diff(breaks).max() <= MAX_RUN else induce_places
     kinds = classify(t)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[1:] = kinds[1:] & ~kinds[:-1]
@@ -130,10 +141,8 @@ def suffix_array(t: np.ndarray, n_values: int) -> np.ndarray:
     if distinct == len(lms):
         order = np.empty(len(lms), dtype=np.int64)
         order[reduced] = np.arange(len(lms))
-    elif distinct <= MAX_BUCKETS:
-        order = suffix_array(reduced, distinct)
     else:
-        order = by_doubling(reduced)
+        order = suffix_array(reduced, distinct)
     return induce(t, kinds, lms[order], sizes)
 
 

@@ -25,6 +25,8 @@ from cipherlake.shipping import ship_package
 
 #: Bytes of a gram on the first level, at most; a window must hold several.
 GRAM = 32
+#: Windows of a fragment, at least, within text that repeats itself.
+STRIDE = 64
 #: Bytes of fragments that share one suffix array.
 SHARD_BYTES = 2 << 20
 
@@ -64,8 +66,18 @@ def fragments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     """(key, first window, last window, times the key's gram occurs in the text) of each fragment."""
     g = Prefix(data).grams(gram)
     least = sliding_min(g, length - gram + 1)
-    # Grams as long as windows: every window is a fragment.
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1 if gram < length else np.arange(1, len(least))
+    changes = np.concatenate([[True], least[1:] != least[:-1]])
+    if gram == length:
+        changes[:] = True  # every window is a fragment
+    else:
+        # Where texts repeat themselves, a key's next gram ends a fragment too, after STRIDE windows or more: else runs of
+        # different lengths would be different fragments of ever the same windows.
+        begun = np.maximum.accumulate(np.where(changes, np.arange(len(least)), 0))
+        left = np.flatnonzero((g[: len(least) - 1] == least[:-1]) & ~changes[1:]) + 1
+        run, strides = begun[left], (left - begun[left]) // STRIDE
+        before = np.concatenate([[0], np.where(run[1:] == run[:-1], strides[:-1], 0)]) if len(left) else strides
+        changes[left[strides > before]] = True
+    change = np.flatnonzero(changes)[1:]
     first = np.concatenate([[0], change])
     last = np.concatenate([change - 1, [len(least) - 1]])
     key = least[first]

@@ -28,7 +28,7 @@ def induce_stretches(t: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sizes: n
     """
     n = len(t)
     ends = np.cumsum(sizes)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     chars = t[lms]
     order = np.argsort(chars, kind="stable")
     counts = np.bincount(chars, minlength=len(sizes))
@@ -36,29 +36,34 @@ def induce_stretches(t: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sizes: n
     slots = (ends - counts)[chars[order]] + rank
     sa[slots] = lms[order]
 
+    # For each suffix whether the pass places the one before it; the last entry stands for an empty place.
+    wanted = [np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)]
+    wanted[0][1:n], wanted[1][1:n] = ~kinds[:-1], kinds[:-1]
+
     def sweep(at: np.ndarray, small: bool) -> None:
         """Reads every place in order (backwards if `small`) and appends what precedes its suffix to its bucket."""
         i, width, step = 0, 256, -1 if small else 1
         view = sa[::step]  # the stretch is always view[i:e], in reading order
+        steps = np.arange(1 << 20)
         while i < n:
             e = min(n, i + width)
             w = view[i:e]
-            source = np.flatnonzero(w > 0)
+            source = wanted[small][w].nonzero()[0]
             values = w[source] - 1
-            mine = kinds[values] == small
-            source, values = source[mine], values[mine]
             if len(values):
                 c = t[values]
-                by = np.argsort(c, kind="stable")
+                by = c.argsort(kind="stable")
                 c = c[by]
-                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                runs = np.diff(np.append(first, len(c)))
-                turn = np.arange(len(c)) - np.repeat(first, runs)
-                place = n - 1 - (at[c] - 1 - turn) if small else at[c] + turn  # in reading order
-                inside = place[place < e]
-                if len(inside):
-                    e = int(inside.min())
-                    keep = source[by] < e - i
+                new = np.empty(len(c), dtype=bool)
+                new[0] = True
+                np.not_equal(c[1:], c[:-1], out=new[1:])
+                first = new.nonzero()[0]
+                turn = steps[: len(c)] - first[new.cumsum() - 1]
+                place = n - at[c] + turn if small else at[c] + turn  # in reading order
+                stop = int(place.min())
+                if stop < e:
+                    e = stop
+                    keep = (source[by] < e - i).nonzero()[0]
                     by, c, place = by[keep], c[keep], place[keep]
                 view[place] = values[by]
                 np.add.at(at, c, step)
@@ -105,7 +110,7 @@ def induce_places(t: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sizes: np.n
             c = value[j]
             tail[c] -= 1
             sa[tail[c]] = j
-    return np.array(sa, dtype=np.int64)
+    return np.array(sa, dtype=np.int32)
 
 
 def suffix_array(t: np.ndarray, n_values: int) -> np.ndarray:
@@ -135,7 +140,7 @@ def suffix_array(t: np.ndarray, n_values: int) -> np.ndarray:
         within = np.arange(spans.sum()) - np.repeat(starts, spans)
         equal = t[np.repeat(a[alike], spans) + within] == t[np.repeat(b[alike], spans) + within]
         new[alike + 1] = ~np.logical_and.reduceat(equal, starts)
-    names = np.zeros(n, dtype=np.int64)
+    names = np.zeros(n, dtype=np.int32)
     names[substrings] = np.cumsum(new) - 1
     reduced, distinct = names[lms], int(new.sum())
     if distinct == len(lms):

@@ -9,11 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cipherlake.llm._frames import text_or_empty
+from cipherlake.llm._frames import Workspace, text_or_empty
 from cipherlake.llm._text import U64, column, combine, span_hashes, spans, utf8_buffers, words
 from cipherlake.shipping import ship_package
 
@@ -29,17 +29,22 @@ RATIO = 1e6
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, words per row, and two 64-bit hashes per word: of the word without edge punctuation, and of its first bytes."""
+    """Starts, ends, words per row, and two 64-bit hashes per word: of the word without punctuation around it, and of its first bytes."""
     starts, ends, counts = words(data, offsets)
     if not len(starts):
         return starts, ends, counts, np.zeros((0, 2), dtype=U64)
-    # A word's last byte is dropped if it is ASCII punctuation.
-    last = data[ends - 1]
-    mark = (last < 128) & ~((last >= 48) & (last < 58) | (last >= 65) & (last < 91) | (last >= 97) & (last < 123))
-    stop = np.where(mark & (ends - starts > 1), ends - 1, ends)
-    whole = span_hashes(data, starts, stop)
+    # ASCII punctuation around a word is dropped, unless there is nothing else.
+    plain = (data >= 128) | (data >= 48) & (data < 58) | (data >= 65) & (data < 91) | (data >= 97) & (data < 123)
+    at = np.flatnonzero(plain)
+    if len(at):
+        head, tail = np.searchsorted(at, starts), np.searchsorted(at, ends) - 1
+        some = head <= tail
+        begin, stop = np.where(some, at[np.minimum(head, len(at) - 1)], starts), np.where(some, at[tail] + 1, ends)
+    else:
+        begin, stop = starts, ends
+    whole = span_hashes(data, begin, stop)
     # The factor keeps a short word apart from itself as a prefix.
-    first = span_hashes(data, starts, np.minimum(stop, starts + PREFIX_BYTES)) * U64(0xC2B2AE3D27D4EB4F)
+    first = span_hashes(data, begin, np.minimum(stop, begin + PREFIX_BYTES)) * U64(0xC2B2AE3D27D4EB4F)
     return starts, ends, counts, np.stack([whole, first], axis=1)
 
 
@@ -52,22 +57,22 @@ def in_pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 18) -> tu
     return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
 
-def chain(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The marginal chance of the toxic state at each word, by forward and backward passes over all rows at once.
+def messages(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages of the toxic state over the other's at each word, and the words' own factors, by
+    passes over all rows at once. Forward ones hold the word's factor, backward ones do not.
 
     `emission` is the toxic state's log-odds, `trans` the 2 x 2 transition factors. Rows are taken longest first, so
     each step works on the rows that still have words.
     """
-    out = np.zeros(len(emission))
+    factor = np.exp(np.clip(emission, -12, 12))
+    forward, backward = np.ones(len(emission)), np.ones(len(emission))
     order = np.argsort(-counts, kind="stable")
     lengths = counts[order]
     if not len(lengths) or not lengths[0]:
-        return out
+        return forward, backward, factor
     first = (np.cumsum(counts) - counts)[order]
-    factor = np.exp(np.clip(emission, -12, 12))
     longest = int(lengths[0])
     alive = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
-    forward, backward = np.empty(len(emission)), np.ones(len(emission))
     (a, b), (c, d) = trans
     r = np.ones(len(lengths))
     for t in range(longest):
@@ -84,10 +89,27 @@ def chain(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.nda
         x = factor[first[:n] + t] * x
         r = np.clip((c + d * x) / (a + b * x), 1 / RATIO, RATIO)
         backward[first[:n] + t - 1] = r
+    return forward, backward, factor
+
+
+def chain(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The marginal chance of the toxic state at each word."""
+    forward, backward, _ = messages(emission, counts, trans)
     odds = forward * backward
     return odds / (1 + odds)
 
 
+def pair_chances(emission: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals, first words of neighbouring pairs, 4 x pairs chances of clean-clean, clean-toxic, toxic-clean, toxic-toxic)."""
+    forward, backward, factor = messages(emission, counts, trans)
+    odds = forward * backward
+    row = np.repeat(np.arange(len(counts)), counts)
+    left = np.flatnonzero(row[1:] == row[:-1])
+    r, x = forward[left], factor[left + 1] * backward[left + 1]
+    pairs = np.stack([np.ones(len(left)), x, r, r * x]) * trans.reshape(4, 1)
+    return odds / (1 + odds), left, pairs / pairs.sum(axis=0)
+
+
 @dataclass
 class ToxicityModel:
     """owner, weights: the toxic state's log-odds of features, by slot; a slot is its owner's alone, so other words
@@ -156,12 +178,27 @@ def label_words(ids: np.ndarray, n_ids: int, counts: np.ndarray, toxic: np.ndarr
     return flagged & (toxic[row] == 1)
 
 
-def fit_chain(ids: np.ndarray, n_ids: int, counts: np.ndarray, labels: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
-    """Full-batch Adam; returns the features' weights, bias and transition factors.
+def transitions(w: np.ndarray) -> np.ndarray:
+    """The transition factors of a parameter vector, whose last three entries are their logarithms but for clean-clean."""
+    return np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
 
-    The gradient of maximum likelihood is exact for weights and bias. For transitions it is approximate: pair marginals
-    come from the words' marginals times the transition factor, which these already hold.
-    """
+
+def loss_gradient(w: np.ndarray, ids: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The gradient of the labels' negative log-likelihood; `w` holds the features' weights, the bias, three transitions."""
+    grad = np.zeros_like(w)
+    p, left, pairs = pair_chances(w[:-4][ids].sum(axis=1) + w[-4], counts, transitions(w))
+    miss = p - labels
+    for k in range(ids.shape[1]):
+        grad[:-4] += np.bincount(ids[:, k], weights=miss, minlength=len(w) - 4)
+    grad[-4] = miss.sum()
+    c, d = labels[left], labels[left + 1]
+    grad[-3:] = pairs[1:].sum(axis=1) - np.array([((1 - c) * d).sum(), (c * (1 - d)).sum(), (c * d).sum()])
+    return grad
+
+
+def fit_chain(ids: np.ndarray, n_ids: int, counts: np.ndarray, labels: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum likelihood by full-batch Adam, with the exact gradient (scaled by group); returns the features' weights, bias
+    and transition factors."""
     counts = np.concatenate([[SEGMENT] * (c // SEGMENT) + [c % SEGMENT] * (c % SEGMENT > 0) for c in counts.tolist()] or [[]]).astype(np.int64)
     y = labels.astype(np.float32)
     seen = np.sqrt(np.maximum(1, sum(np.bincount(ids[:, k], minlength=n_ids) for k in range(ids.shape[1]))))
@@ -173,29 +210,13 @@ def fit_chain(ids: np.ndarray, n_ids: int, counts: np.ndarray, labels: np.ndarra
     edges = sorted({0, len(counts), *np.searchsorted(ends, np.arange(BLOCK_WORDS, len(y), BLOCK_WORDS)).tolist()})
     blocks = [(slice(i, j), slice(int(ends[i] - counts[i]), int(ends[j - 1]))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
     for step in range(1, rounds + 1):
-        trans = np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
-        grad = np.zeros_like(w)
-        for rows, at in blocks:
-            feature, target = ids[at], y[at]
-            p = chain(w[:-4][feature].sum(axis=1) + w[-4], counts[rows], trans)
-            miss = p - target
-            for k in range(feature.shape[1]):
-                grad[:-4] += np.bincount(feature[:, k], weights=miss, minlength=n_ids)
-            grad[-4] += miss.sum()
-            # Pair marginals from neighbours' marginals, up to the factor that the transition puts on each pair.
-            segment = np.repeat(np.arange(len(counts[rows])), counts[rows])
-            inner = np.flatnonzero(segment[1:] == segment[:-1])
-            a, b = p[inner], p[inner + 1]
-            pairs = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b]) * trans.ravel()[:, None]
-            pairs /= np.maximum(pairs.sum(axis=0), 1e-12)
-            c, d = target[inner], target[inner + 1]
-            grad[-3:] += pairs[1:].sum(axis=1) - np.array([((1 - c) * d).sum(), (c * (1 - d)).sum(), (c * d).sum()])
+        grad = sum((loss_gradient(w, ids[at], y[at], counts[rows]) for rows, at in blocks), np.zeros_like(w))
         grad[:-4] = grad[:-4] / seen + decay * w[:-4]
         grad[-4] *= 50 / max(1, len(y))
         grad[-3:] /= max(1.0, float(y.sum()))
         m, v = 0.8 * m + 0.2 * grad, 0.95 * v + 0.05 * grad**2
         w -= 0.5 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-3)
-    return w[:-4], float(w[-4]), np.exp(np.clip(np.array([[0.0, w[-3]], [w[-2], w[-1]]]), -6, 6))
+    return w[:-4], float(w[-4]), transitions(w)
 
 
 def fit_head(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -235,19 +256,26 @@ def fit(texts: list[str], toxic: np.ndarray, least: int = 4, purity: float = 0.9
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int, held_fold: int, text_col: str, id_col: str) -> tuple[list[str], np.ndarray]:
-    """At most `max_rows` labelled rows outside the held-out fold, by the order of a hash of the id; the driver gets no more."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, folds: int, held_fold: int, text_col: str, id_col: str) -> tuple[list[str], np.ndarray]:
+    """Labelled rows outside the held-out fold, by the order of a hash of the id, up to `max_rows` rows and `max_bytes`
+    bytes of whole texts; the driver gets no more. A repeated id counts once."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     known = known.where(fold != held_fold).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(max_rows)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("place", "doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.place, r.doc_id, r.text))
-    return [r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, folds: int = 3, held_fold: int = 1, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
-    """A model from a bounded sample of labelled rows: at most `max_rows`, none from the held-out fold."""
-    model = fit(*training_rows(docs, labels, max_rows, folds, held_fold, text_col, id_col))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = Workspace(docs.sparkSession, "toxicity").save(own.groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    # A window over at most `max_rows` rows.
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = rows.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("place", "doc_id", "text", "toxic").collect()
+    taken.sort(key=lambda r: (r.place, r.doc_id))
+    return [r.text for r in taken], np.array([r.toxic for r in taken], dtype=np.int64)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 5000, folds: int = 3, held_fold: int = 1, text_col: str = "text", id_col: str = "doc_id", max_bytes: int = 64 << 20
+) -> ToxicityModel:
+    """A model from a bounded sample of labelled rows: at most `max_rows` of `max_bytes` in all, none from the held-out fold."""
+    model = fit(*training_rows(docs, labels, max_rows, max_bytes, folds, held_fold, text_col, id_col))
     give_back_memory()
     return model
 

@@ -29,6 +29,40 @@ def test_forward_backward_is_exact():
             at += c
 
 
+def log_likelihood(w, ids, labels, counts):
+    trans, total, at = X.transitions(w), 0.0, 0
+    for c in counts:
+        e = w[:-4][ids[at : at + c]].sum(axis=1) + w[-4]
+        score = lambda path, e=e: sum(x for x, s in zip(e, path) if s) + sum(np.log(trans[a, b]) for a, b in zip(path, path[1:]))
+        total += score([int(x) for x in labels[at : at + c]]) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=int(c))))
+        at += c
+    return total
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Pair chances against enumeration, and the gradient against differences of the enumerated likelihood."""
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        counts = rng.integers(0, 6, 4)
+        n = int(counts.sum())
+        ids, labels = rng.integers(0, 5, (n, 2)), rng.integers(0, 2, n).astype(np.float32)
+        w = rng.normal(0, 1, 5 + 4)
+        got = X.loss_gradient(w, ids, labels, counts)
+        for k in range(len(w)):
+            up, down = w.copy(), w.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            slope = (log_likelihood(up, ids, labels, counts) - log_likelihood(down, ids, labels, counts)) / 2e-5
+            assert abs(got[k] + slope) < 1e-4, k
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)] + [(k, "x" * 100) for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    take = lambda rows, size: len(X.training_rows(docs, labels, rows, size, 3, 1, "text", "doc_id")[0])
+    assert take(10, 1 << 20) == 10 and take(1000, 700) == 7 and take(1000, 1 << 20) <= 50
+
+
 def planted(n, seed):
     rng = np.random.default_rng(seed)
     words = [f"w{k}" for k in range(300)]
@@ -76,10 +110,10 @@ def test_batches_dont_matter(trained):
 
 def test_training_reads_only_its_folds(trained):
     docs, labels, _, _ = trained
-    texts, _ = X.training_rows(docs, labels, 100, 3, 1, "text", "doc_id")
+    texts, _ = X.training_rows(docs, labels, 100, 1 << 30, 3, 1, "text", "doc_id")
     assert len(texts) == 100
     flipped = labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    a, b = X.training_rows(docs, labels, 10_000, 3, 1, "text", "doc_id"), X.training_rows(docs, flipped, 10_000, 3, 1, "text", "doc_id")
+    a, b = X.training_rows(docs, labels, 10_000, 1 << 30, 3, 1, "text", "doc_id"), X.training_rows(docs, flipped, 10_000, 1 << 30, 3, 1, "text", "doc_id")
     assert a[0] == b[0] and (a[1] == b[1]).all()
 
 

@@ -9,6 +9,7 @@ confirmed on the full sets, and links become components.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -26,6 +27,10 @@ from cipherlake.shipping import ship_package
 N_HASH = 64
 #: Children of a node that branches; at 2 a pair of similarity s survives any depth with a chance near 1 - (1 - s) ** 2 / s ** 2.
 BRANCH = 2
+#: Members of a large node that stand for it, on average, when a set's average similarity is estimated.
+REFERENCES = 12
+#: A level beyond which every set counts as dense; branching halves nodes, so it is never reached but by bad luck.
+LAST_LEVEL = 40
 CHUNK_BYTES = 1 << 18
 #: Pivots of a crowd, on average; tokens of a left and of a right block; columns of a matrix.
 PIVOTS = 32
@@ -176,10 +181,10 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> li
 class Join:
     """One run: sets, trees, candidates, confirmation and components, each step written to the shared folder."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, recall: float, leaf: int, depth: int):
+    def __init__(self, docs: DataFrame, width: int, percent: int, recall: float, leaf: int):
         ship_package(docs.sparkSession)
         self.ws = Workspace(docs.sparkSession, "near-dedup")
-        self.docs, self.width, self.percent, self.leaf, self.depth = docs, width, percent, leaf, depth
+        self.docs, self.width, self.percent, self.leaf = docs, width, percent, leaf
         self.similarity = percent / 100
         self.trees = trees_for(self.similarity, recall)
         self.least = least_agreement(self.similarity, (1 - recall) / 10)
@@ -190,34 +195,76 @@ class Join:
         return self.ws.save(df, f"t{self.step}")
 
     def paths(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """(leaves, dense): set_key and node of small nodes, and of those still large at the last depth."""
+        """(leaves, dense): set_key and node of small nodes; and set_key, node, dense of the large nodes with dense sets.
+
+        A set is dense in a large node if its average similarity to the members, estimated from REFERENCES of them, is
+        1 / BRANCH or more: branching would then not make it meet fewer of them. Dense sets are compared with the whole
+        node and go no further; the others branch, level after level, until their nodes are small. Their nodes shrink by
+        their average similarity at each level, so the depth follows from a node's size and likeness.
+        """
         coordinate = lambda node, k: F.element_at("sig", F.pmod(F.xxhash64(node, k), F.lit(N_HASH)).cast("int") + 1)
         roots = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.xxhash64(t, F.element_at("sig", t + 1)))
         entries = self.save(self.sets.select("set_key", F.explode(roots).alias("node")))
         leaves: list[DataFrame] = []
-        for level in range(self.depth + 1):
+        dense: list[DataFrame] = []
+        for level in itertools.count():
             # Sizes are written first, so that the join below has two plain shuffles and a hot node can be split.
             sizes = self.save(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
             if sizes.isEmpty():
                 break
             sized = self.save(entries.join(sizes, "node"))
             leaves.append(sized.where(F.col("n") <= self.leaf).select("set_key", "node"))
-            large = sized.where(F.col("n") > self.leaf).select("set_key", "node")
+            large = sized.where(F.col("n") > self.leaf)
             if large.isEmpty():
                 break
-            if level == self.depth:
-                return reduce(DataFrame.unionAll, leaves), large
+            large = self.save(large.join(self.sets.select("set_key", "sig"), "set_key"))
+            drawn = F.shiftrightunsigned(F.xxhash64(F.lit("reference"), "node", "set_key"), 12) / F.lit(float(2**52)) * F.col("n") < REFERENCES
+            references = self.save(large.where(drawn).groupBy("node").agg(F.collect_list("sig").alias("refs")))
+            alike = F.aggregate("refs", F.lit(0), lambda acc, r: acc + F.size(F.array_intersect("sig", r))) / (F.size("refs") * F.lit(float(N_HASH)))
+            judged = large.join(references, "node", "left").withColumn("dense", F.coalesce(alike * BRANCH >= 1, F.lit(True)) if level < LAST_LEVEL else F.lit(True))
+            judged = self.save(judged.select("set_key", "node", "sig", "dense"))
+            crowded = self.save(judged.groupBy("node").agg(F.max("dense").alias("any")).where("any").select("node"))
+            dense.append(judged.join(crowded, "node", "left_semi").select("set_key", "node", "dense"))
+            rest = judged.where("NOT dense")
+            if rest.isEmpty():
+                break
             children = F.transform(F.sequence(F.lit(1), F.lit(BRANCH)), lambda k: F.xxhash64("node", k, coordinate(F.col("node"), k)))
-            entries = self.save(large.join(self.sets.select("set_key", "sig"), "set_key").select("set_key", F.explode(children).alias("node")))
-        return (reduce(DataFrame.unionAll, leaves) if leaves else None), None
+            entries = self.save(rest.select("set_key", F.explode(children).alias("node")))
+        both = [reduce(DataFrame.unionAll, parts) if parts else None for parts in (leaves, dense)]
+        return both[0], (None if both[1] is None or both[1].isEmpty() else both[1])
 
-    def crowds(self, dense: DataFrame) -> DataFrame:
-        """set_key, crowd, n_shingles: the sets of large nodes; nodes with a set in common are one crowd."""
-        first = self.save(dense.groupBy("node").agg(F.min("set_key").alias("b")))
-        star = dense.join(first, "node").where("set_key != b").select(F.col("set_key").alias("a"), "b").distinct()
-        labels = self.merge(star, None)
-        members = self.labelled(dense.select("set_key").distinct(), "set_key", labels, "crowd")
-        return self.save(members.join(self.sets.select("set_key", "n_shingles"), "set_key"))
+    def homes(self, dense: DataFrame) -> DataFrame:
+        """set_key, crowd, n_shingles: each dense set in one of its nodes, for a first comparison with a few pivots."""
+        home = dense.where("dense").groupBy("set_key").agg(F.min("node").alias("crowd"))
+        return self.save(home.join(self.sets.select("set_key", "n_shingles"), "set_key"))
+
+    def crowds(self, dense: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """set_key, crowd, n_shingles, label, dense, main: the members of the nodes with dense sets.
+
+        Nodes stay apart, but for those whose largest component is the same one: these hold the same family of near
+        copies, found by several trees, and their members meet once.
+        """
+        named = self.save(self.labelled(dense, "set_key", labels, "label"))
+        counts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"))
+        crowd = F.when(F.col("m.n") > 1, F.xxhash64("m.label")).otherwise(F.col("node"))
+        largest = self.save(largest.select("node", crowd.alias("crowd")))
+        members = named.join(largest, "node").groupBy("set_key", "crowd", "label").agg(F.max("dense").alias("dense"))
+        members = self.save(members.join(self.sets.select("set_key", "n_shingles"), "set_key"))
+        counts = members.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = self.save(counts.groupBy("crowd").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
+        return self.save(members.join(main, "crowd"))
+
+    def crowd_links(self, crowds: DataFrame, shingles: DataFrame) -> list[DataFrame]:
+        """Links of the sets outside their crowd's largest component: dense ones against all, others against the dense."""
+        odd = crowds.where("label != main")
+        found = []
+        for mine, other in ((odd.where("dense"), crowds), (odd.where("NOT dense"), crowds.where("dense"))):
+            if not mine.isEmpty():
+                other = other.join(mine.select("crowd").distinct(), "crowd", "left_semi")
+                columns = ("set_key", "crowd", "n_shingles")
+                found.append(self.block_links(mine.select(*columns), other.select(*columns), shingles))
+        return found
 
     def block_links(self, left: DataFrame, right: DataFrame, shingles: DataFrame) -> DataFrame:
         """Links (a, b) between the left and the right sets (set_key, crowd, n_shingles) of each crowd, on full sets.
@@ -335,28 +382,20 @@ class Join:
             turn += 1
         return labels
 
-    def strays(self, members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The sets outside their crowd's largest component, and all sets of the crowds that have such."""
-        named = self.save(self.labelled(members, "set_key", labels, "label"))
-        counts = named.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = self.save(counts.groupBy("crowd").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
-        odd = self.save(named.join(main, "crowd").where("label != main").select("set_key", "crowd", "n_shingles"))
-        return odd, members.join(odd.select("crowd").distinct(), "crowd", "left_semi")
-
     def run(self) -> DataFrame:
-        rows = self.save(sketch(self.docs, self.width))
+        rows = self.ws.save(sketch(self.docs, self.width), "rows")
         self.sets = self.save(rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc")))
         leaves, dense = self.paths()
         labels = None
         if leaves is not None:
             pairs = self.save(leaf_pairs(leaves.join(self.sets.select("set_key", "n_shingles", "sig"), "set_key"), self.least, self.similarity))
             needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
-            members = None
             if dense is not None:
-                members = self.crowds(dense)
-                needed = needed.unionAll(members.select("set_key"))
+                dense = self.save(dense)
+                needed = needed.unionAll(dense.select("set_key"))
             shingles = self.shingles(needed.distinct())
-            if members is not None:
+            if dense is not None:
+                members = self.homes(dense)
                 size = self.save(members.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")))
                 u = F.shiftrightunsigned(F.xxhash64(F.lit("pivot"), "set_key"), 12) / F.lit(float(2**52))
                 pivots = members.join(size, "crowd").where(u * F.col("n") < PIVOTS).select("set_key", "crowd", "n_shingles")
@@ -364,20 +403,20 @@ class Join:
             for which in ("sure", "NOT sure"):
                 apart = self.labelled(self.labelled(pairs.where(which), "a", labels, "x"), "b", labels, "y").where("x != y")
                 labels = self.merge(self.confirm(apart, shingles), labels)
-            if members is not None:
-                odd, crowd = self.strays(members, labels)
-                if not odd.isEmpty():
-                    labels = self.merge(self.block_links(odd, crowd, shingles), labels)
+            if dense is not None:
+                for links in self.crowd_links(self.crowds(dense, labels), shingles):
+                    labels = self.merge(links, labels)
         named = self.labelled(self.sets.select("set_key", "rep_doc"), "set_key", labels, "label")
         least = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"))
-        groups = self.save(named.select("set_key", "label").join(least, "label").select("set_key", "component_id"))
+        groups = self.ws.save(named.select("set_key", "label").join(least, "label").select("set_key", "component_id"), "groups")
+        self.ws.keep("rows", "groups")
         out = rows.select("doc_id", "n_shingles", F.col("set_key").alias("_set")).join(groups, F.col("_set") == F.col("set_key"), "left")
         component = F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(
-    df: DataFrame, width: int = 5, percent: int = 80, recall: float = 1 - 1e-6, leaf: int = 64, depth: int = 2, text_col: str = "text", id_col: str = "doc_id"
+    df: DataFrame, width: int = 5, percent: int = 80, recall: float = 1 - 1e-6, leaf: int = 64, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
@@ -386,19 +425,21 @@ def near_duplicates(
     trees find a link of exactly that similarity (closer pairs more surely); it sets the number of trees and how few
     equal minwise tokens still make a candidate.
 
-    Hot groups: equal sets are one from the start. Nodes of at most `leaf` sets are compared exhaustively; larger ones
-    branch, up to `depth` times. What is still large then (sets alike in almost every token) forms crowds. There,
-    about 32 pivots meet every member, and each set that its crowd's largest component has not taken in meets every
-    member: always a block against a block, on full sets, in a task of bounded size that gives out links only. No
-    group is gathered in one task, no list of all pairs is made within a group, and nothing is capped.
+    Hot groups: equal sets are one from the start. Nodes of at most `leaf` sets are compared exhaustively. In larger
+    ones, sets whose average similarity to the node is under 1/2 branch on, to any depth; the others, which branching
+    would hardly part, are compared with the whole node there: first each with about 32 pivots of one of its nodes,
+    then whatever its node's largest component has not taken in with every member. That is always a block against a
+    block, on full sets, in a task of bounded size that gives out links only. No group is gathered in one task, no list
+    of all pairs is made within a group, nodes merge only where they hold the same component, and nothing is capped.
 
     A row without words (or null text) has an empty set, is linked with nothing and is its own component. Fewer than
     `width` words form one shingle. Null ids take the component of rows with an equal or linked set, if one has an id,
     else null; kept is true where id and component are the same, or both null. Repeated rows share a component; all
-    rows with the kept id are kept. Other columns are not read. An empty table gives an empty result.
+    rows with the kept id are kept. Other columns are not read. An empty table gives an empty result. Intermediate
+    tables are dropped, but for two with a row per document or set.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return Join(docs, width, percent, recall, leaf, depth).run()
+    return Join(docs, width, percent, recall, leaf).run()
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

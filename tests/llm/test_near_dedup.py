@@ -37,7 +37,7 @@ def test_crowds_and_strays(spark):
     texts = family(150, 1, 6) + family(60, 2, 9) + [f"lone text number {k} of its own kind" for k in range(40)] + family(30, 1, 3)
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    check(df, rows, width=3, percent=85, leaf=8, depth=1)
+    check(df, rows, width=3, percent=85, leaf=8)
 
 
 def test_recall_over_shared_lines(spark):
@@ -45,7 +45,34 @@ def test_recall_over_shared_lines(spark):
     rng = random.Random(9)
     rows = [(k, "the very same first line of all " + " ".join(f"w{rng.randrange(50)}" for _ in range(30))) for k in range(200)]
     rows += [(1000 + k, rows[k][1] + " tail") for k in range(50)]
-    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8, depth=2)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8)
+
+
+@pytest.mark.parametrize("own", [16, 40, 90])
+def test_recall_over_boilerplate(spark, own):
+    """Pages of a few sites: alike by their site's template only, at some 0.8, 0.6 and 0.35, but for planted near copies."""
+    rng = random.Random(own)
+    sites = [[f"t{s}_{k}" for k in range(100)] for s in range(3)]
+    rows = []
+    for k in range(330):
+        words = sites[k % 3] + [f"p{k}_{j}" for j in range(own)]
+        rows.append((k, " ".join(words)))
+        if k % 11 == 0:
+            words[rng.randrange(len(words))] = "edited"
+            rows.append((1000 + k, " ".join(words)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8)
+
+
+def test_average_similarity_decides_depth(spark):
+    """A node whose sets have little in common on average branches until it is small; alike ones are dense at once."""
+    rng = random.Random(3)
+    loose = [(k, " ".join(["one", "line", "for", "all"] + [f"w{rng.randrange(400)}" for _ in range(8)])) for k in range(300)]
+    tight = [(k, t) for k, t in enumerate(family(100, 7, 3))]
+    for rows, any_dense in ((loose, False), (tight, True)):
+        join = N.Join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 1 - 1e-6, 8)
+        join.sets = join.save(N.sketch(join.docs, 3).groupBy("set_key", "n_shingles", "sig").agg(N.F.min("doc_id").alias("rep_doc")))
+        leaves, dense = join.paths()
+        assert (dense is not None) == any_dense and leaves.groupBy("node").count().agg(N.F.max("count")).first()[0] <= 8
 
 
 def test_nasty_rows(nasty, nothing):

@@ -25,6 +25,13 @@ N_MEL, N_SLOT = 16, 8
 LEVEL_ON, LEVEL_OFF = -9.8, -10.2
 #: Samples handled at once.
 BLOCK = 1 << 20
+#: Rows of a tensor column.
+PART = 256
+#: The columns of media_columns, beside doc_id.
+KINDS = {
+    "n_bytes": "long", "media": "binary", "media_bytes": "long", "media_sha256": "string", "payload_bytes": "long",
+    "payload_sha256": "string", "tail_crc32": "long", "tensor": "array<float>", "spans": "array<struct<start:double,end:double>>",
+}
 
 
 def wav_encode(samples: bytes, rate: int = RATE_IN) -> bytes:
@@ -158,7 +165,8 @@ def media_columns(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Columns: doc_id, n_bytes, media (the WAV file; left out if not `with_media`), media_bytes, media_sha256,
     payload_bytes, payload_sha256, tail_crc32, tensor (N_SLOT x N_MEL floats, row by row: mean log-mel energies in
     dB), spans (array of start and end in seconds). Payload figures and features come from the file's bytes, read
-    back. Within a task the tensors form an Arrow fixed-shape tensor column, whose storage is what Spark keeps.
+    back. In this table tensors are lists, as Spark has no fixed shapes; `tensor_batches` stores them as Arrow
+    fixed-shape tensor columns, and `read_tensors` reads these back.
 
     The text is cut into no windows by content: every byte is a sample. Each text is computed on its own, so equal
     texts give equal values, whatever their batch. Memory is one batch plus blocks of 1 MB. Null text is empty (one
@@ -191,44 +199,83 @@ def media_features(files: DataFrame) -> DataFrame:
     return described(files.select("doc_id", "n_bytes", F.col("media").alias("data")), bytes, False)
 
 
+def _figures(part: pa.RecordBatch, store: Callable[[bytes], bytes], with_media: bool) -> pa.RecordBatch:
+    """The columns of `media_columns` for a batch (doc_id, n_bytes, data); tensors form a fixed-shape tensor column."""
+    span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
+    out: dict[str, list] = {k: [] for k in ("media", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "tensor", "spans")}
+    for data in column(part, "data").cast(pa.large_binary()).to_pylist():
+        stored = store(data)
+        _, payload = wav_decode(stored)
+        tensor, spans = features(payload)
+        out["media"].append(stored if with_media else None)
+        out["media_bytes"].append(len(stored))
+        out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
+        out["payload_bytes"].append(len(payload))
+        out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
+        out["tail_crc32"].append(zlib.crc32(payload[-32:]))
+        out["tensor"].append(tensor)
+        out["spans"].append([{"start": a, "end": b} for a, b in spans])
+    tensors = tensor_column(out.pop("tensor"))
+    kinds = {"media": pa.binary(), "media_sha256": pa.string(), "payload_sha256": pa.string(), "spans": pa.list_(span)}
+    arrays = {k: pa.array(v, type=kinds.get(k, pa.int64())) for k, v in out.items()} | {"n_bytes": column(part, "n_bytes"), "tensor": tensors}
+    names = [k for k in KINDS if k != "media" or with_media]
+    return pa.RecordBatch.from_arrays([column(part, "doc_id"), *(arrays[k] for k in names)], names=["doc_id", *names])
+
+
+def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """With tensors as lists, as Spark has no fixed shapes."""
+    at = batch.schema.get_field_index("tensor")
+    return batch.set_column(at, "tensor", batch.column(at).storage.cast(pa.list_(pa.float32())))
+
+
 def described(rows: DataFrame, store: Callable[[bytes], bytes], with_media: bool) -> DataFrame:
     """The columns of `media_columns` for rows (doc_id, n_bytes, data), where `store` makes the WAV file of `data`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: dict[str, list] = {k: [] for k in ("media", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "tensor", "spans")}
-                for data in column(part, "data").cast(pa.large_binary()).to_pylist():
-                    stored = store(data)
-                    _, payload = wav_decode(stored)
-                    tensor, spans = features(payload)
-                    out["media"].append(stored if with_media else None)
-                    out["media_bytes"].append(len(stored))
-                    out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
-                    out["payload_bytes"].append(len(payload))
-                    out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                    out["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                    out["tensor"].append(tensor)
-                    out["spans"].append([{"start": a, "end": b} for a, b in spans])
-                tensors = tensor_column(out.pop("tensor"))
-                kinds = {"media": pa.binary(), "media_sha256": pa.string(), "payload_sha256": pa.string(), "spans": pa.list_(span)}
-                arrays = {k: pa.array(v, type=kinds.get(k, pa.int64())) for k, v in out.items()}
-                arrays["n_bytes"] = column(part, "n_bytes")
-                arrays["tensor"] = tensors.storage.cast(pa.list_(pa.float32()))
-                if not with_media:
-                    del arrays["media"]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *(arrays[k] for k in names)], names=["doc_id", *names])
-
-    kinds = {
-        "n_bytes": "long", "media": "binary", "media_bytes": "long", "media_sha256": "string", "payload_bytes": "long",
-        "payload_sha256": "string", "tail_crc32": "long", "tensor": "array<float>", "spans": "array<struct<start:double,end:double>>",
-    }
+            for at in range(0, batch.num_rows, PART):
+                yield _flat(_figures(batch.slice(at, PART), store, with_media))
+
     ship_package(rows.sparkSession)
-    names = [k for k in kinds if k != "media" or with_media]
-    schema = ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}", *(f"{k} {kinds[k]}" for k in names)])
-    return rows.mapInArrow(run, schema)
+    names = [k for k in KINDS if k != "media" or with_media]
+    return rows.mapInArrow(run, ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}", *(f"{k} {KINDS[k]}" for k in names)]))
+
+
+def tensor_batches(files: DataFrame) -> DataFrame:
+    """Features to be stored: n_rows and `batch`, an Arrow stream of up to PART rows with doc_id, the figures, a fixed-shape
+    tensor column and the time spans, from a media column (doc_id, n_bytes, media).
+
+    A row is some 200 KB whatever the texts; any reader of Arrow streams gets the tensors with their shape.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                made = _figures(batch.slice(at, PART), bytes, False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, made.schema) as writer:
+                    writer.write_batch(made)
+                yield pa.RecordBatch.from_arrays([pa.array([made.num_rows], type=pa.int64()), pa.array([sink.getvalue().to_pybytes()], type=pa.binary())], names=["n_rows", "batch"])
+
+    ship_package(files.sparkSession)
+    return files.select("doc_id", "n_bytes", F.col("media").alias("data")).mapInArrow(run, "n_rows long, batch binary")
+
+
+def read_tensors(stored: DataFrame, id_type: str = "long") -> DataFrame:
+    """The rows of stored `tensor_batches`, with tensors as lists of N_SLOT x N_MEL values; a column of another shape is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in column(batch, "batch"):
+                for part in pa.ipc.open_stream(value.as_buffer()):
+                    kind = part.schema.field("tensor").type
+                    if not isinstance(kind, pa.FixedShapeTensorType) or kind.shape != [N_SLOT, N_MEL]:
+                        raise ValueError(f"not a tensor column of {N_SLOT} x {N_MEL}: {kind}")
+                    yield _flat(part)
+
+    ship_package(stored.sparkSession)
+    names = [k for k in KINDS if k != "media"]
+    return stored.select("batch").mapInArrow(run, ", ".join([f"doc_id {id_type}", *(f"{k} {KINDS[k]}" for k in names)]))
 
 
 def feature_digest(media: DataFrame) -> DataFrame:

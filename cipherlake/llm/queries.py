@@ -103,10 +103,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cipherlake.llm._frames import Workspace
-    from cipherlake.llm.media import feature_digest, media_features, media_files
+    from cipherlake.llm.media import feature_digest, media_files, read_tensors, tensor_batches
 
-    files = Workspace(spark, "media").save(media_files(read_table(spark, sf_dir, "documents")), "files")
-    return feature_digest(media_features(files))
+    ws, docs = Workspace(spark, "media"), read_table(spark, sf_dir, "documents")
+    files = ws.save(media_files(docs), "files")
+    tensors = ws.save(tensor_batches(files), "tensors")
+    return feature_digest(read_tensors(tensors, dict(docs.dtypes)["doc_id"]))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,61 @@ def test_query_reads_stored_media(spark, docs, sf_dir, tmp_path, monkeypatch):
     assert len(rows) == len(files) == docs.count()
     assert all(hashlib.sha256(files[r.doc_id].media).hexdigest() == r.media_sha256 for r in rows)
     assert sorted(rows) == sorted(M.feature_digest(M.media_columns(docs)).collect())
+
+
+def test_tensors_are_stored_with_their_shape(spark, nasty, nothing, tmp_path):
+    files = M.media_files(nasty)
+    M.tensor_batches(files).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    row = stored.first()
+    batch = pa.ipc.open_stream(row["batch"]).read_next_batch()
+    kind = batch.schema.field("tensor").type
+    assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [M.N_SLOT, M.N_MEL] and batch.num_rows == row.n_rows
+    assert batch.column("tensor").to_numpy_ndarray().shape == (row.n_rows, M.N_SLOT, M.N_MEL)
+    plain = lambda rows: sorted(map(str, rows))
+    assert plain(M.read_tensors(stored).collect()) == plain(M.media_columns(nasty, with_media=False).collect())
+    assert M.read_tensors(M.tensor_batches(M.media_files(nothing))).count() == 0
+
+
+def plain_feature(text):
+    """The query's `feature`, sample by sample and without blocks, polyphase filters or matrices."""
+    payload = (text or "").encode()
+    payload += bytes([255]) * (max(576, -(-len(payload) // 576) * 576) - len(payload))
+    x = [(b - 127.5) / 127.5 for b in payload]
+    taps = M.lowpass(1, 2)[0].astype(float).tolist()
+    half = len(taps) // 2
+    y = [sum(h * x[2 * k + half - 1 - j] for j, h in enumerate(taps) if 0 <= 2 * k + half - 1 - j < len(x)) for k in range((len(x) + 1) // 2)]
+    n = 1 + max(0, -(-(len(y) - 256) // 128))
+    y += [0.0] * ((n - 1) * 128 + 256 - len(y))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    mels, levels = [], []
+    for f in range(n):
+        frame = np.array(y[f * 128 : f * 128 + 256])
+        turns = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+        power = np.abs(turns @ (frame * window)) ** 2
+        mels.append([10 * np.log10(sum(p * w for p, w in zip(power, row)) + 1e-6) for row in M.mel_filters(16, 256, 8000).astype(float)])
+        levels.append(10 * np.log10(float(np.mean(frame**2)) + 1e-6))
+    tensor = []
+    cuts = [int(c) for c in np.linspace(0, n, 9)]
+    for a, b in zip(cuts, cuts[1:]):
+        a = min(a, n - 1)
+        tensor.append(np.mean(mels[a : max(b, a + 1)], axis=0))
+    active, spans = False, []
+    for f, level in enumerate(levels):
+        if not active and level >= M.LEVEL_ON:
+            active = True
+            spans.append([f, f])
+        elif active and level < M.LEVEL_OFF:
+            active = False
+        if active:
+            spans[-1][1] = f + 1
+    return np.array(tensor), [(a * 128 / 8000, b * 128 / 8000) for a, b in spans]
+
+
+def test_features_against_a_plain_program(spark, docs):
+    rows = [(k, t) for k, t in enumerate([None, "", "x" * 575, "a" * 1153] + [r.text for r in docs.limit(6).collect()])]
+    got = {r.doc_id: r for r in M.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        tensor, spans = plain_feature(t)
+        assert np.allclose(np.array(got[k].tensor).reshape(M.N_SLOT, M.N_MEL), tensor, atol=0.02), k
+        assert len(got[k].spans) == len(spans) and np.allclose([(s.start, s.end) for s in got[k].spans], spans)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import Workspace
@@ -46,20 +46,24 @@ def source_rates(
     )
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, 2, ... as an array that reaches past every 52-bit uniform.
+def reach(rate: Column) -> Column:
+    """A count that no 52-bit uniform gets beyond."""
+    return F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
 
-    Terms are built from logarithms, so that large rates do not underflow.
-    """
-    last = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_fact"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
 
-    def step(acc: Column, k: Column) -> Column:
-        log_fact = acc["log_fact"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(F.lit(0.0))
-        total = acc["sum"] + F.exp(k * F.log(rate) - rate - log_fact)
-        return F.struct(log_fact.alias("log_fact"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """source, cdf: for each source with a rate the Poisson distribution function at 0, 1, 2, ... up to its `reach`.
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["cdf"]))
+    Terms are built from logarithms, so that large rates do not underflow. Factorials and the function itself are running
+    sums over one row per count, so the work is linear in the rate.
+    """
+    terms = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), reach(F.col("rate")))).alias("k"))
+    so_far = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_fact = F.sum(F.when(F.col("k") > 0, F.log(F.col("k").cast("double"))).otherwise(F.lit(0.0))).over(so_far)
+    terms = terms.withColumn("log_fact", log_fact).withColumn("term", F.exp(F.col("k") * F.log("rate") - F.col("rate") - F.col("log_fact")))
+    terms = terms.withColumn("cdf", F.sum("term").over(so_far))
+    listed = terms.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("steps"))
+    return listed.select("source", F.transform("steps", lambda x: x["cdf"]).alias("cdf"))
 
 
 def mix_sources(
@@ -71,6 +75,7 @@ def mix_sources(
     budget: float = 1.0,
     seed: int = 17,
     broadcast_rows: int = 10_000,
+    broadcast_steps: int = 1_000_000,
 ) -> DataFrame:
     """The input rows, each repeated a Poisson number of times, in a global random order.
 
@@ -79,18 +84,19 @@ def mix_sources(
     and `mix_order` (hex digest of seed, id and copy; the global order). Rows are dealt by that digest to the
     shuffle's partitions and sorted within them, so a hot source or a hot text spreads evenly.
 
-    The rates are broadcast only if there are at most `broadcast_rows` sources, which is counted first; else they
-    are written and joined by a shuffle, where adaptive execution splits a hot source.
+    The sources' distribution functions are broadcast only if there are at most `broadcast_rows` sources and
+    `broadcast_steps` values in all (8 MB), which is counted first; else they are joined by a shuffle of written tables,
+    where adaptive execution splits a hot source.
 
     A null source is the source with an empty name. Null ids hash as an empty string and share one count. Repeated
     rows (same id) share count and order. Sources with weight 0 give no rows. Columns of `docs` named mix_copy or
     mix_order are replaced. An empty table gives an empty result.
     """
-    rates = source_rates(docs, source_col, weights, temperature, budget)
-    few = len(rates.limit(broadcast_rows + 1).select("source").take(broadcast_rows + 1)) <= broadcast_rows
-    table = rates.select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf"))
-    if not few:
-        table = Workspace(docs.sparkSession, "mixing").save(table, "rates")
+    ws = Workspace(docs.sparkSession, "mixing")
+    rates = ws.save(source_rates(docs, source_col, weights, temperature, budget), "rates")
+    size = rates.agg(F.count(F.lit(1)).alias("sources"), F.sum(reach(F.col("rate")).cast("long") + 1).alias("steps")).first()
+    few = size.sources <= broadcast_rows and (size.steps or 0) <= broadcast_steps
+    table = ws.save(poisson_cdf(rates), "functions").select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
     key = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
     base = docs.select(*[F.col(f"`{c}`") for c in names])

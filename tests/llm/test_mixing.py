@@ -33,7 +33,8 @@ def test_counts_follow_the_inverse(docs):
 def test_both_join_ways_and_reruns_agree(docs):
     a = sorted((r.doc_id, r.mix_copy, r.mix_order) for r in mix_sources(docs).collect())
     b = sorted((r.doc_id, r.mix_copy, r.mix_order) for r in mix_sources(docs.repartition(7), broadcast_rows=1).collect())
-    assert a == b and len(set(x[2] for x in a)) == len(a)
+    c = sorted((r.doc_id, r.mix_copy, r.mix_order) for r in mix_sources(docs, broadcast_steps=10).collect())
+    assert a == b == c and len(set(x[2] for x in a)) == len(a)
 
 
 def test_large_rates_dont_underflow(spark):

@@ -188,7 +188,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata (structs; null where the archive has none).
 
-    Requests and metadata records are joined to the response or revisit that their concurrent-to names.
+    Requests and metadata records are joined to the response or revisit that their concurrent-to names. These two kinds
+    are small, so they are written once, and the archives are read twice, not once for each kind.
     """
     main = records.where(F.col("type").isin("response", "revisit"))
     split = F.expr("locate(unhex('0D0A0D0A'), block)")
@@ -198,8 +199,10 @@ def assemble(records: DataFrame) -> DataFrame:
         F.when(split > 0, F.expr("substring(block, locate(unhex('0D0A0D0A'), block) + 4)")).otherwise(F.col("block")).alias("payload"),
     )
     out = main.select(F.col("record_id").alias("capture_id"), response.alias("response"))
+    small = records.where(F.col("type").isin("request", "metadata")).select("type", "record_id", "concurrent_to", "content_type", "block")
+    small = Workspace(records.sparkSession, "warc-sides").save(small, "sides")
     for kind in ("request", "metadata"):
-        side = records.where(F.col("type") == kind).select(
+        side = small.where(F.col("type") == kind).select(
             F.col("concurrent_to").alias(f"{kind}_of"), F.struct("record_id", "content_type", F.col("block").cast("string").alias("text")).alias(kind)
         )
         out = out.join(side, F.col("capture_id") == F.col(f"{kind}_of"), "left").drop(f"{kind}_of")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm._frames import Workspace, read_table
+from cipherlake.llm._frames import Workspace, read_table, scratch
 from cipherlake.llm.exact_dedup import drop_exact_copies
 from cipherlake.llm.mixing import mix_sources
 from cipherlake.llm.near_dedup import drop_near_copies
@@ -62,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents").select(*[F.col(c) for c in COLUMNS])
     for k, (_, stage) in enumerate(STAGES):
-        docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch():
+            docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             ws.drop(f"stage{k - 1}")
     return docs

@@ -9,14 +9,13 @@ confirmed on the full sets, and links become components.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm._frames import ROW, Workspace, text_or_empty
@@ -29,13 +28,15 @@ N_HASH = 64
 BRANCH = 2
 #: Members of a large node that stand for it, on average, when a set's average similarity is estimated.
 REFERENCES = 12
-#: A level beyond which every set counts as dense; branching halves nodes, so it is never reached but by bad luck.
-LAST_LEVEL = 40
+#: How many comparisons of sets a set's way through one more node costs.
+NODE_COST = 512.0
 CHUNK_BYTES = 1 << 18
 #: Pivots of a crowd, on average; tokens of a left and of a right block; columns of a matrix.
 PIVOTS = 32
 LEFT_TOKENS, RIGHT_TOKENS = 1 << 17, 1 << 18
 COLUMNS = 1 << 14
+#: Pairs of a cell that are compared one by one; more of them by matrices.
+FEW_PAIRS = 4096
 
 _draw = np.random.default_rng(20240607)
 _FACTORS = _draw.integers(1, 2**32, N_HASH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -178,6 +179,26 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> li
     return list(zip(*(x.tolist() for x in np.nonzero(100 * common >= percent * (n_left[:, None] + n_right[None] - common))), strict=True))
 
 
+def likely(left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of minwise tokens agree on at least so many, as a matrix; some rows at a time."""
+    step = max(1, (1 << 22) // max(1, len(right) * N_HASH))
+    parts = [(left[i : i + step, None] == right[None]).sum(axis=2) >= least for i in range(0, len(left), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(right)), dtype=bool)
+
+
+def similar_in_cell(left: list[np.ndarray], right: list[np.ndarray], percent: int, least: int) -> list[tuple[int, int]]:
+    """`similar`, for those sets only that have a likely partner by minwise tokens."""
+    if not left or not right:
+        return []
+    hits = likely(*(np.stack([minwise(s) for s in side]) for side in (left, right)), least)
+    rows, columns = np.flatnonzero(hits.any(axis=1)).tolist(), np.flatnonzero(hits.any(axis=0)).tolist()
+    if hits.sum() <= FEW_PAIRS:
+        pairs = zip(*(x.tolist() for x in np.nonzero(hits)), strict=True)
+        common = lambda a, b: len(np.intersect1d(a, b, assume_unique=True))
+        return [(i, j) for i, j in pairs if 100 * (n := common(left[i], right[j])) >= percent * (len(left[i]) + len(right[j]) - n)]
+    return [(rows[i], columns[j]) for i, j in similar([left[i] for i in rows], [right[j] for j in columns], percent)]
+
+
 class Join:
     """One run: sets, trees, candidates, confirmation and components, each step written to the shared folder."""
 
@@ -197,17 +218,17 @@ class Join:
     def paths(self) -> tuple[DataFrame | None, DataFrame | None]:
         """(leaves, dense): set_key and node of small nodes; and set_key, node, dense of the large nodes with dense sets.
 
-        A set is dense in a large node if its average similarity to the members, estimated from REFERENCES of them, is
-        1 / BRANCH or more: branching would then not make it meet fewer of them. Dense sets are compared with the whole
-        node and go no further; the others branch, level after level, until their nodes are small. Their nodes shrink by
-        their average similarity at each level, so the depth follows from a node's size and likeness.
+        A set's nodes shrink at each level by its average similarity to the members, estimated from REFERENCES of them,
+        while their number grows by BRANCH; so node size and likeness tell at how many nodes it would get to leaves. If
+        that costs more than to compare it with the whole node, the set is dense: it is compared so, and goes no
+        further. The others branch, level after level, whatever the depth.
         """
         coordinate = lambda node, k: F.element_at("sig", F.pmod(F.xxhash64(node, k), F.lit(N_HASH)).cast("int") + 1)
         roots = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.xxhash64(t, F.element_at("sig", t + 1)))
         entries = self.save(self.sets.select("set_key", F.explode(roots).alias("node")))
         leaves: list[DataFrame] = []
         dense: list[DataFrame] = []
-        for level in itertools.count():
+        while True:
             # Sizes are written first, so that the join below has two plain shuffles and a hot node can be split.
             sizes = self.save(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
             if sizes.isEmpty():
@@ -221,17 +242,23 @@ class Join:
             drawn = F.shiftrightunsigned(F.xxhash64(F.lit("reference"), "node", "set_key"), 12) / F.lit(float(2**52)) * F.col("n") < REFERENCES
             references = self.save(large.where(drawn).groupBy("node").agg(F.collect_list("sig").alias("refs")))
             alike = F.aggregate("refs", F.lit(0), lambda acc, r: acc + F.size(F.array_intersect("sig", r))) / (F.size("refs") * F.lit(float(N_HASH)))
-            judged = large.join(references, "node", "left").withColumn("dense", F.coalesce(alike * BRANCH >= 1, F.lit(True)) if level < LAST_LEVEL else F.lit(True))
-            judged = self.save(judged.select("set_key", "node", "sig", "dense"))
-            crowded = self.save(judged.groupBy("node").agg(F.max("dense").alias("any")).where("any").select("node"))
-            dense.append(judged.join(crowded, "node", "left_semi").select("set_key", "node", "dense"))
+            judged = self.save(large.join(references, "node", "left").select("set_key", "node", "sig", self.is_dense(alike, F.col("n")).alias("dense")))
+            dense.append(judged.select("set_key", "node", "dense"))
             rest = judged.where("NOT dense")
             if rest.isEmpty():
                 break
             children = F.transform(F.sequence(F.lit(1), F.lit(BRANCH)), lambda k: F.xxhash64("node", k, coordinate(F.col("node"), k)))
             entries = self.save(rest.select("set_key", F.explode(children).alias("node")))
-        both = [reduce(DataFrame.unionAll, parts) if parts else None for parts in (leaves, dense)]
-        return both[0], (None if both[1] is None or both[1].isEmpty() else both[1])
+        small, judged = (reduce(DataFrame.unionAll, parts) if parts else None for parts in (leaves, dense))
+        if judged is None:
+            return small, None
+        crowded = self.save(judged.groupBy("node").agg(F.max("dense").alias("any")).where("any").select("node"))
+        return small, None if crowded.isEmpty() else self.save(judged.join(crowded, "node", "left_semi"))
+
+    def is_dense(self, alike: Column, n: Column) -> Column:
+        """Whether a set with that average similarity to a node of n is compared with all of it; true if that is unknown."""
+        depth = F.log(n / F.lit(float(self.leaf))) / -F.log(F.greatest(alike, F.lit(1 / N_HASH)))
+        return F.coalesce((alike * BRANCH >= 1) | (F.pow(F.lit(float(BRANCH)), depth) * F.lit(NODE_COST) >= n), F.lit(True))
 
     def homes(self, dense: DataFrame) -> DataFrame:
         """set_key, crowd, n_shingles: each dense set in one of its nodes, for a first comparison with a few pivots."""
@@ -272,13 +299,12 @@ class Join:
         Both sides are cut into blocks of bounded size by hash, each left block meets each right block in a cell of
         its own, and a cell gives out nothing but links.
         """
-        percent = self.percent
-
-        def blocks(df: DataFrame, tokens: int, out: str) -> DataFrame:
-            return self.save(df.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / tokens).cast("int").alias(out)))
+        percent, least = self.percent, self.least
 
-        n_left, n_right = blocks(left, LEFT_TOKENS, "n_left"), blocks(right, RIGHT_TOKENS, "n_right")
-        counts = self.save(n_left.join(n_right, "crowd"))
+        sizes = [df.select("crowd", *[F.col("n_shingles") if k == j else F.lit(0).cast("long") for j in (0, 1)]).toDF("crowd", "l", "r") for k, df in enumerate((left, right))]
+        count = lambda name, tokens: F.ceil(F.sum(name) / tokens).cast("int")
+        counts = sizes[0].unionAll(sizes[1]).groupBy("crowd").agg(count("l", LEFT_TOKENS).alias("n_left"), count("r", RIGHT_TOKENS).alias("n_right"))
+        counts = self.save(counts.where("n_left > 0 AND n_right > 0"))
         own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "set_key"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         sides = []
@@ -300,7 +326,7 @@ class Join:
                 found = set()
                 for s, e in zip(edges[:-1], edges[1:], strict=True):
                     x, y = [k for k in range(s, e) if is_left[k]], [k for k in range(s, e) if not is_left[k]]
-                    for p, q in similar([sets[k] for k in x], [sets[k] for k in y], percent):
+                    for p, q in similar_in_cell([sets[k] for k in x], [sets[k] for k in y], percent, least):
                         a, b = keys[x[p]], keys[y[q]]
                         if a != b:
                             found.add((min(a, b), max(a, b)))
@@ -391,7 +417,6 @@ class Join:
             pairs = self.save(leaf_pairs(leaves.join(self.sets.select("set_key", "n_shingles", "sig"), "set_key"), self.least, self.similarity))
             needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
             if dense is not None:
-                dense = self.save(dense)
                 needed = needed.unionAll(dense.select("set_key"))
             shingles = self.shingles(needed.distinct())
             if dense is not None:
@@ -426,7 +451,7 @@ def near_duplicates(
     equal minwise tokens still make a candidate.
 
     Hot groups: equal sets are one from the start. Nodes of at most `leaf` sets are compared exhaustively. In larger
-    ones, sets whose average similarity to the node is under 1/2 branch on, to any depth; the others, which branching
+    ones, sets with a low enough average similarity to the node branch on, to any depth; the others, which branching
     would hardly part, are compared with the whole node there: first each with about 32 pivots of one of its nodes,
     then whatever its node's largest component has not taken in with every member. That is always a block against a
     block, on full sets, in a task of bounded size that gives out links only. No group is gathered in one task, no list

@@ -48,9 +48,10 @@ def test_recall_over_shared_lines(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8)
 
 
-@pytest.mark.parametrize("own", [16, 40, 90])
-def test_recall_over_boilerplate(spark, own):
+@pytest.mark.parametrize("own,cost", [(16, 256.0), (40, 4.0), (90, 4.0), (90, 256.0)])
+def test_recall_over_boilerplate(spark, own, cost, monkeypatch):
     """Pages of a few sites: alike by their site's template only, at some 0.8, 0.6 and 0.35, but for planted near copies."""
+    monkeypatch.setattr(N, "NODE_COST", cost)
     rng = random.Random(own)
     sites = [[f"t{s}_{k}" for k in range(100)] for s in range(3)]
     rows = []
@@ -63,11 +64,12 @@ def test_recall_over_boilerplate(spark, own):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8)
 
 
-def test_average_similarity_decides_depth(spark):
+def test_average_similarity_decides_depth(spark, monkeypatch):
     """A node whose sets have little in common on average branches until it is small; alike ones are dense at once."""
     rng = random.Random(3)
     loose = [(k, " ".join(["one", "line", "for", "all"] + [f"w{rng.randrange(400)}" for _ in range(8)])) for k in range(300)]
     tight = [(k, t) for k, t in enumerate(family(100, 7, 3))]
+    monkeypatch.setattr(N, "NODE_COST", 4.0)
     for rows, any_dense in ((loose, False), (tight, True)):
         join = N.Join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 1 - 1e-6, 8)
         join.sets = join.save(N.sketch(join.docs, 3).groupBy("set_key", "n_shingles", "sig").agg(N.F.min("doc_id").alias("rep_doc")))
@@ -99,6 +101,17 @@ def test_block_compare_is_exact():
             assert ((i, j) in got) == (100 * common >= 70 * (len(a) + len(b) - common))
 
 
+def test_cells_lose_no_likely_link(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.97], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(60)]
+    want = set(N.similar(sets, sets, 85))
+    for few in (0, 10**6):
+        monkeypatch.setattr(N, "FEW_PAIRS", few)
+        assert set(N.similar_in_cell(sets, sets, 85, N.least_agreement(0.85, 1e-7))) == want and len(want) > 60
+    assert N.similar_in_cell([], sets, 85, 30) == []
+
+
 def test_tree_counts():
     assert N.trees_for(0.85, 1 - 1e-6) == 8 and N.trees_for(0.8, 1 - 1e-6) == 10
     assert N.least_agreement(0.85, 1e-7) < N.N_HASH * 0.85

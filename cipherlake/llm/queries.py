@@ -140,8 +140,18 @@ FROM bits
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_warc, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding)}
+    found = (
+        op1_exact_dedup, op2_sentencepiece, op3_warc, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding,
+        op12_spelling_variants,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -146,10 +146,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_sentencepiece, op3_warc, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding,
-        op12_spelling_variants,
+        op12_spelling_variants, op13_conversation_trie,
     )
     return {f.__name__: f for f in found}
 

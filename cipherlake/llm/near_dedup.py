@@ -74,7 +74,8 @@ def least_agreement(similarity: float, miss: float) -> int:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (16-byte digest of the set; null without words), sig (minwise tokens) of (doc_id, text)."""
+    """doc_id, n_shingles, set_key (16-byte digest of the set; null without words), text_key (MD5 of the text), sig (minwise
+    tokens) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +84,13 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sigs = [minwise(s) if len(s) else None for s in sets]
+                texts = [hashlib.md5(data[offsets[k] : offsets[k + 1]].tobytes()).hexdigest() for k in range(i, j)]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").slice(i, j - i), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array(sigs, type=pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "set_key", "sig"],
+                    [column(batch, "doc_id").slice(i, j - i), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array(texts), pa.array(sigs, type=pa.list_(pa.int32()))],
+                    names=["doc_id", "n_shingles", "set_key", "text_key", "sig"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, sig array<int>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, text_key string, sig array<int>")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -335,10 +337,13 @@ class Join:
         return self.save(cells.select("cell", "is_left", "set_key", "shingles").mapInArrow(run, "a binary, b binary"))
 
     def shingles(self, keys: DataFrame) -> DataFrame:
-        """set_key and shingles (8-byte hashes, packed) of the given sets, recomputed from whole texts."""
-        wanted = keys.join(self.sets.select("set_key", "rep_doc"), "set_key").select(F.col("set_key").alias("wanted"), "rep_doc")
+        """set_key and shingles (8-byte hashes, packed) of the given sets, recomputed from whole texts.
+
+        Texts are found by their digests, as ids may be null or repeated.
+        """
+        wanted = keys.join(self.sets.select("set_key", "rep_text"), "set_key").select(F.col("set_key").alias("wanted"), "rep_text")
         wanted = self.save(wanted)
-        found = self.docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep_doc")).select("wanted", "text")
+        found = self.docs.join(wanted.hint("shuffle_hash"), F.md5("text") == F.col("rep_text")).select("wanted", "text")
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +353,7 @@ class Join:
                 wanted = column(batch, "wanted").to_pylist()
                 for i, j in spans(offsets, CHUNK_BYTES):
                     sets = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
-                    # An id may be repeated with other texts: only the text of the wanted set counts, and once.
+                    # Equal texts may be met in several rows: the set counts once.
                     keep = []
                     for k, s in zip(wanted[i:j], sets, strict=True):
                         if k not in seen and hashlib.blake2b(s, digest_size=16).digest() == k:
@@ -410,7 +415,7 @@ class Join:
 
     def run(self) -> DataFrame:
         rows = self.ws.save(sketch(self.docs, self.width), "rows")
-        self.sets = self.save(rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc")))
+        self.sets = self.save(rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc"), F.min("text_key").alias("rep_text")))
         leaves, dense = self.paths()
         labels = None
         if leaves is not None:

@@ -140,6 +140,12 @@ FROM bits
 """
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cipherlake.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(read_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cipherlake.llm.spelling import spelling_variants
 
@@ -155,7 +161,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_sentencepiece, op3_warc, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_secret_scan, op7_mixing, op8_toxicity, op9_media, op10_sharding,
-        op12_spelling_variants, op13_conversation_trie,
+        op11_jaccard_join, op12_spelling_variants, op13_conversation_trie,
     )
     return {f.__name__: f for f in found}
 

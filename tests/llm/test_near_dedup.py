@@ -91,6 +91,28 @@ def test_nasty_rows(nasty, nothing):
     assert N.near_duplicates(nasty.where("doc_id IN (4, 5)")).count() == 2
 
 
+def keyed_by_row(texts, ids, width, percent):
+    """Components by brute force over row numbers, mapped to the smallest id that is not null."""
+    found = N.brute_force(list(enumerate(texts)), width, percent)
+    least: dict = {}
+    for k, (_, root) in found.items():
+        if ids[k] is not None:
+            least[root] = min(least.get(root, ids[k]), ids[k])
+    return sorted(((ids[k], least.get(root)) for k, (_, root) in found.items()), key=str)
+
+
+def test_null_ids_link(spark):
+    """A null id's text may be the only one of its set, and the only way between two others."""
+    words = [f"w{k}" for k in range(200)]
+    near = " ".join(words[:199] + ["x"])
+    far = lambda k: " ".join([f"l{j}" for j in range(k)] + words[k:])
+    for texts, ids in (([" ".join(words), near], [5, None]), ([far(0), far(20), far(40)], [5, None, 9]), ([far(20), far(0), far(40)], [5, None, 9]), ([far(0), far(20), far(40)], [5, 7, 9])):
+        rows = list(zip(ids, texts, strict=True))
+        got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80).collect()
+        assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == keyed_by_row(texts, ids, 3, 80)
+        assert all(r.component_id == 5 for r in got)
+
+
 def test_block_compare_is_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]

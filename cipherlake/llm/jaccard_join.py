@@ -29,7 +29,7 @@ N_MIN = 4
 COUNTER_BITS, SLICE_BITS = 20, 14
 CHUNK_BYTES = 1 << 18
 #: Shingles counted at once; postings of a parcel, of a shard, and of what a task sorts at once.
-COUNTED, PARCEL, SHARD, SORTED = 1 << 22, 1 << 20, 1 << 21, 1 << 22
+COUNTED, PARCEL, SHARD, SORTED = 1 << 20, 1 << 18, 1 << 20, 1 << 20
 #: Blocks of an index list: in a cell, in a stretch that is skipped as one, and in lists taken row by row.
 LIST, STRETCH, SHORT = 1 << 14, 256, 32
 #: Members of a block of a family, when two families are compared.

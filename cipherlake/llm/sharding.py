@@ -108,6 +108,7 @@ def shard_bytes(
     text_col: str = "text",
     id_col: str = "doc_id",
     n_ranges: int = 64,
+    range_rows: int = 1_000_000,
     n_sample: int = 20_000,
     overfull: float = 2.0,
     max_rounds: int = 4,
@@ -118,11 +119,12 @@ def shard_bytes(
 
     The key is the text's hash, then the id's, then one of the row's place: equal texts stand together in one shard,
     unless their group crosses a shard's end, where it is cut by id, and repeated rows are cut as any others. Splitters
-    are quantiles of about `n_sample` size-weighted keys; every row is range-partitioned by binary search. Ranges above `overfull` times the mean in bytes or rows are
-    subdivided at splitters drawn within them, up to `max_rounds` times, so a group of equal texts of any size is
-    spread too. Exact byte totals of the ranges (n_ranges rows or few more) turn each row's place in its range into
-    a global byte offset, and the shard is that offset's share of the total. `n_ranges` is what bounds a range:
-    at 100 TB, use several thousand.
+    are quantiles of size-weighted keys; every row is range-partitioned by binary search. There are as many ranges as it
+    takes for one to hold about `range_rows` rows, by the counted rows, but `n_ranges` at least; the sample has about
+    `n_sample` keys, or 32 a range. Ranges above `overfull` times the mean in bytes or rows are subdivided at splitters
+    drawn within them, up to `max_rounds` times, so a group of equal texts of any size is spread too. Exact byte totals of
+    the ranges turn each row's place in its range into a global byte offset, and the shard is that offset's share of the
+    total. What the driver sees grows with the number of ranges only: some 10 MB for 10 billion rows.
 
     Null text is empty (size 1). Null ids sort as id hash of null. Repeated rows follow one another in an order
     that depends on the input's order. Other columns are not read. An empty table gives an empty result.
@@ -133,6 +135,8 @@ def shard_bytes(
     # Written once: the last hash depends on a row's place in the input.
     keys = ws.save(row_keys(df, text_col, id_col), "keys")
 
+    n_ranges = max(n_ranges, -(-keys.count() // range_rows))
+    n_sample = max(n_sample, 32 * n_ranges)
     splitters = find_splitters(keys, n_ranges, n_sample, overfull, max_rounds)
     ranged = keys.withColumn("range", range_of(splitters))
     totals = sorted(

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cipherlake.llm import sharding as S
 from cipherlake.llm.sharding import quantile_splitters, shard_bytes
@@ -81,3 +82,17 @@ def test_law_against_a_plain_program(spark, docs):
         shard = min(7, int((at - size / 2) * 8 // total))
         assert (rows[i].shard, rows[i].slot) == (shard, slots[shard])
         slots[shard] += 1
+
+
+def test_ranges_follow_rows(spark, monkeypatch):
+    """The number of ranges grows with the counted rows; shards and slots stay right."""
+    seen = []
+    inner = S.find_splitters
+    monkeypatch.setattr(S, "find_splitters", lambda keys, n_ranges, n_sample, *a: seen.append((n_ranges, n_sample)) or inner(keys, n_ranges, n_sample, *a))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("text"))
+    rows = S.shard_bytes(df, n_ranges=4, range_rows=100, n_sample=50).collect()
+    assert seen == [(30, 960)] and len(rows) == 3000
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    sizes = [sum(r.size for r in rows if r.shard == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)

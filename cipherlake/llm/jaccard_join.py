@@ -377,7 +377,7 @@ class JaccardJoin(Join):
         percent = self.percent
         rows = self.ws.save(sketch(self.docs, self.width), "rows")
         found = rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "mins")
-        self.sets = self.save(found.agg(F.min("doc_id").alias("rep_doc"), F.min("text_key").alias("rep_text")))
+        self.sets = self.save(found.agg(F.min("doc_id").alias("rep_doc"), self.one_text()))
         members, links, shingles = self.families()
         labels = self.merge(links, None)
 

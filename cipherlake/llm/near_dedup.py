@@ -336,14 +336,19 @@ class Join:
 
         return self.save(cells.select("cell", "is_left", "set_key", "shingles").mapInArrow(run, "a binary, b binary"))
 
+    def one_text(self) -> Column:
+        """Of a set's rows, one by the digest of its text and its id."""
+        return F.min(F.struct("text_key", "doc_id")).alias("rep")
+
     def shingles(self, keys: DataFrame) -> DataFrame:
         """set_key and shingles (8-byte hashes, packed) of the given sets, recomputed from whole texts.
 
-        Texts are found by their digests, as ids may be null or repeated.
+        A text is found by its digest and the id of one of its rows: ids may be null or repeated, and a text may have very
+        many rows.
         """
-        wanted = keys.join(self.sets.select("set_key", "rep_text"), "set_key").select(F.col("set_key").alias("wanted"), "rep_text")
-        wanted = self.save(wanted)
-        found = self.docs.join(wanted.hint("shuffle_hash"), F.md5("text") == F.col("rep_text")).select("wanted", "text")
+        wanted = keys.join(self.sets.select("set_key", "rep"), "set_key")
+        wanted = self.save(wanted.select(F.col("set_key").alias("wanted"), F.col("rep.text_key").alias("rep_text"), F.col("rep.doc_id").alias("rep_id")))
+        found = self.docs.join(wanted.hint("shuffle_hash"), (F.md5("text") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("wanted", "text")
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +420,7 @@ class Join:
 
     def run(self) -> DataFrame:
         rows = self.ws.save(sketch(self.docs, self.width), "rows")
-        self.sets = self.save(rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc"), F.min("text_key").alias("rep_text")))
+        self.sets = self.save(rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc"), self.one_text()))
         leaves, dense = self.paths()
         labels = None
         if leaves is not None:

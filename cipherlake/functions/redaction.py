@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.functions.needles import has_bit, pattern_bits
 from cipherlake.rules.tables import HIGH_RISK, REDACTIONS
 
 #: What redaction tokens start with: `[<tag>:REDACTED_<kind>]`.
@@ -23,38 +23,64 @@ def _pattern(raw: str) -> str:
     return f"(?im){raw}"
 
 
-def _gate(name: str, text: Column) -> Column:
-    """A cheap necessary condition for a pattern; texts that fail it skip the pattern's regex."""
-    needs = {
-        "pem_private_key_block": "-----", "pem_certificate_block": "-----", "pem_generic_block": "-----", "connection_string": "://",
-        "bytes_key_literal": "\\x", "ipv4_address": ".", "jwt_token": ".",
-    }
-    if name in needs:
-        return F.contains(text, F.lit(needs[name]))
-    if name in ("secret_variable_assignment", "secret_variable_multiline", "os_environ_secret", "base64_key_material", "md5_digest", "sha1_digest", "sha256_digest", "sha512_digest"):
-        return F.contains(text, F.lit("'")) | F.contains(text, F.lit('"'))
-    return F.lit(True)
+#: By pattern, what a match holds one of, in lower case. Patterns that begin with a quote or a digit have none.
+_NEEDLES = {
+    "pem_private_key_block": ("-----begin",), "pem_certificate_block": ("-----begin",), "pem_generic_block": ("-----begin",),
+    "aws_access_key_id": ("akia", "abia", "acca", "aipa", "anpa", "anva", "aroa", "apka", "asia"), "aws_secret_access_key": ("aws_secret",), "jwt_token": ("eyj",),
+    "connection_string": ("://",), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "google_api_key": ("aiza",),
+    "stripe_key": ("sk_live_", "pk_live_", "sk_test_", "pk_test_"), "generic_bearer_token": ("bearer",),
+    "secret_variable_assignment": ("pass", "pwd", "secret", "key", "auth", "token", "bearer", "credential"),
+    "secret_variable_multiline": ("pass", "pwd", "secret", "key", "auth", "token"), "os_environ_secret": ("os.environ",), "bytes_key_literal": ("\\x",),
+}
+_QUOTES = ("'", '"')
+#: By pattern, characters of which a match holds one.
+_CHARACTERS = {
+    "secret_variable_assignment": _QUOTES, "secret_variable_multiline": _QUOTES, "os_environ_secret": _QUOTES, "bytes_key_literal": _QUOTES, "base64_key_material": _QUOTES,
+    "md5_digest": _QUOTES, "sha1_digest": _QUOTES, "sha256_digest": _QUOTES, "sha512_digest": _QUOTES, "hex_encoded_key": (*_QUOTES, "0x", "0X"), "jwt_token": (".",), "ipv4_address": (".",),
+}
+
+
+def redaction_bits(text: Column) -> Column:
+    """By one pass over the text: which redaction patterns may match it, as a number with a bit for each."""
+    return pattern_bits(text, [_NEEDLES.get(name, ()) for name, *_ in REDACTIONS])
+
+
+def _gate(k: int, text: Column, bits: Column, untouched: Column | None = None) -> Column:
+    """A cheap necessary condition for the k-th pattern on the running text.
+
+    `bits` are of the original text, so they tell only while no pattern has fired (`untouched`).
+    """
+    parts = _CHARACTERS.get(REDACTIONS[k][0])
+    gate = has_bit(bits, k) if untouched is None else has_bit(bits, k) | ~untouched
+    return gate & reduce(or_, [F.contains(text, F.lit(p)) for p in parts]) if parts else gate
 
 
 def sanitize_text(text: Column, tag: str = DEFAULT_TAG, skip: tuple[str, ...] = ()) -> Column:
-    """The text after all substitutions in order; each works on what the one before left. Null stays null."""
+    """The text after all substitutions in order; each works on what the one before left. Null stays null.
+
+    Texts that no pattern may match are left alone at once; `sanitize` is for large texts, as it asks before each step.
+    """
+    bits, out = redaction_bits(text), text
     for name, raw, kind, before, after in REDACTIONS:
         if name not in skip:
-            text = F.regexp_replace(text, _pattern(raw), token(kind, before, after, tag).replace("$", "\\$"))
-    return text
+            out = F.regexp_replace(out, _pattern(raw), token(kind, before, after, tag).replace("$", "\\$"))
+    some = reduce(or_, [_gate(k, text, bits) for k in range(len(REDACTIONS))])
+    return F.when(some, out).otherwise(text)
 
 
 def sanitize(df: DataFrame, text_col: str, tag: str = DEFAULT_TAG, skip: tuple[str, ...] = ()) -> DataFrame:
     """Adds sanitized, redaction_count, was_modified and categories_redacted (sorted).
 
-    Every pattern's matches are counted on the running text just before they are replaced. The steps are chained
-    columns, with no Python: a step whose necessary characters are absent costs a substring search.
+    Every pattern's matches are counted on the running text just before they are replaced. One automaton says which
+    patterns a text may match at all; of the others no regular expression is tried, unless an earlier one has changed
+    the text.
     """
     out = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_fired", F.array().cast("array<string>")).withColumn("_count", F.lit(0))
-    for name, raw, kind, before, after in REDACTIONS:
+    out = out.withColumn("_bits", redaction_bits(F.col("_text")))
+    for k, (name, raw, kind, before, after) in enumerate(REDACTIONS):
         if name in skip:
             continue
-        gate = _gate(name, F.col("_text"))
+        gate = _gate(k, F.col("_text"), F.col("_bits"), F.col("_count") == 0)
         out = out.withColumn("_n", F.when(gate, F.regexp_count("_text", F.lit(_pattern(raw)))).otherwise(0))
         out = out.withColumns(
             {
@@ -70,40 +96,23 @@ def sanitize(df: DataFrame, text_col: str, tag: str = DEFAULT_TAG, skip: tuple[s
             "was_modified": F.col("_text") != F.coalesce(F.col(text_col), F.lit("")),
             "categories_redacted": F.array_sort("_fired"),
         }
-    ).drop("_text", "_fired", "_count", "_n")
-
-
-#: For patterns without a gate on the text itself: parts of the lower-case text of which one must be there.
-_NEEDS_FOLDED = {
-    "aws_secret_access_key": ("aws_secret",), "github_token": ("gh",), "google_api_key": ("aiza",), "stripe_key": ("_live_", "_test_"), "generic_bearer_token": ("bearer",),
-}
-#: Patterns that begin with a quote or 0x.
-_QUOTED_HEX = re.compile("hex_encoded_key|(md5|sha1|sha256|sha512)_digest")
+    ).drop("_text", "_fired", "_count", "_n", "_bits")
 
 
-def audit(text: Column, folded: Column | None = None) -> Column:
+def audit(text: Column, bits: Column | None = None) -> Column:
     """A map of pattern name to the number of its matches in the original text, for those that match.
 
-    Patterns whose necessary characters are absent cost a substring search; `folded` is the lower-case text, for callers
-    that have it as a column.
+    `bits` are the text's `redaction_bits`, for callers that have them as a column.
     """
-    low = F.lower(text) if folded is None else folded
-
-    def times(name: str, raw: str) -> Column:
-        gate = _gate(name, text)
-        if name in _NEEDS_FOLDED:
-            gate = reduce(or_, [F.contains(low, F.lit(part)) for part in _NEEDS_FOLDED[name]])
-        elif _QUOTED_HEX.fullmatch(name):
-            gate = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"')) | F.contains(low, F.lit("0x"))
-        return F.coalesce(F.when(gate, F.regexp_count(text, F.lit(_pattern(raw)))), F.lit(0))
-
-    counts = F.map_from_arrays(F.array(*[F.lit(name) for name, *_ in REDACTIONS]), F.array(*[times(name, raw) for name, raw, *_ in REDACTIONS]))
+    known = redaction_bits(text) if bits is None else bits
+    times = [F.coalesce(F.when(_gate(k, text, known), F.regexp_count(text, F.lit(_pattern(raw)))), F.lit(0)) for k, (_, raw, *_) in enumerate(REDACTIONS)]
+    counts = F.map_from_arrays(F.array(*[F.lit(name) for name, *_ in REDACTIONS]), F.array(*times))
     return F.map_filter(counts, lambda _, n: n > 0)
 
 
 def audited(df: DataFrame, text_col: str) -> DataFrame:
     """Adds `audit`, the map of `audit`."""
-    return df.withColumn("_low", F.lower(F.col(text_col))).withColumn("audit", audit(F.col(text_col), F.col("_low"))).drop("_low")
+    return df.withColumn("_bits", redaction_bits(F.col(text_col))).withColumn("audit", audit(F.col(text_col), F.col("_bits"))).drop("_bits")
 
 
 def is_safe(text: Column) -> Column:

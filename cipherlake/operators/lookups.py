@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.functions.text import quoted, strip
 from cipherlake.operators.findings import FINDING_COLUMNS
+from cipherlake.operators.nodes import text_id
 from cipherlake.rules import tables as T
 from cipherlake.rules.expressions import RULE_COLUMNS, first_match, values_relation
 from cipherlake.rules.tables import Rule
@@ -23,7 +24,9 @@ def strip_chars(text: Column, chars: str) -> Column:
 class Detector:
     """One kind of lookup: which nodes it takes, their key in a rule table, and how a hit becomes a finding.
 
-    The columns are expressions over a row of nodes; in `size_context` and `rename` also over the joined rule.
+    The columns are expressions over a row of nodes; in `rename` also over the joined rule. `span` is the interval of the
+    file that the finding shows (the node's own by default), at most `limit` characters of it, unless `snippet` gives
+    something else; key sizes are looked for in all of the interval.
     """
 
     name: str
@@ -31,12 +34,13 @@ class Detector:
     takes: Column
     rules: tuple[Rule, ...]
     key: Column
-    snippet: Column
+    snippet: Column | None = None
     context: Column | None = None
     rename: Column | None = None
     sizes: Mapping[str, Mapping[int, str]] | None = None
     size_pattern: str = T.OTHER_SIZE_PATTERN
-    size_context: Column | None = None
+    span: Column | None = None
+    limit: int | None = None
 
 
 def _case(detectors: Sequence[Detector], value, default: Column) -> Column:
@@ -49,11 +53,13 @@ def _case(detectors: Sequence[Detector], value, default: Column) -> Column:
     return default if chain is None else chain.otherwise(default)
 
 
-def detect(nodes: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+def detect(nodes: DataFrame, detectors: Sequence[Detector], texts: DataFrame) -> DataFrame:
     """Nodes with a rule, as findings; one pass over the nodes however many detectors there are.
 
     A node belongs to one detector, whose key is looked up by an equi-join with the detectors' rule tables in one
-    relation of a few hundred constant rows, which is why it is broadcast.
+    relation of a few hundred constant rows, which is why it is broadcast. `texts` (file_path, text) are the files: what
+    a hit shows is cut out of its file by an equi-join, so texts meet hits only. Hits are few, and adaptive execution
+    broadcasts them while their measured size allows. A file that occurs repeatedly gives its findings each time.
     """
     which = None
     for d in detectors:
@@ -66,8 +72,15 @@ def detect(nodes: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
     table = table.select("detector", F.col("key").alias("rule_key"), F.col("algorithm").alias("algorithm_detected"), "vulnerability_class", "severity", F.col("is_vulnerable").alias("is_quantum_vulnerable"))
     hit = own.join(F.broadcast(table), ["detector", "rule_key"]).where(_case(detectors, lambda d: d.context, F.lit(True)))
     hit = hit.withColumn("algorithm_detected", F.coalesce(_case(detectors, lambda d: d.rename, F.lit(None).cast("string")), "algorithm_detected"))
+    hit = hit.withColumn("span", _case(detectors, lambda d: d.span, F.struct("start", "stop")))
+    hit = hit.drop("ancestors", "idents", "segments", "root_module", "rule_key").distinct()
+    files = texts.select("file_path", text_id().alias("text_id"), F.col("text").alias("_file"))
+    hit = hit.join(files, ["file_path", "text_id"])
+    shown = strip(F.substring("_file", F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")))
+    # Nodes of registered extractors may come without an interval.
+    hit = hit.withColumn("shown", F.coalesce(shown, strip(F.col("text")))).drop("_file")
     base = F.upper(F.element_at(F.split("algorithm_detected", "-"), 1))
-    size = _case(detectors, lambda d: F.regexp_extract(d.size_context, d.size_pattern, 1) if d.sizes else None, F.lit(""))
+    size = _case(detectors, lambda d: F.regexp_extract("shown", d.size_pattern, 1) if d.sizes else None, F.lit(""))
     hit = hit.withColumn("sized", F.concat_ws("-", base, size))
     refined = _case(detectors, lambda d: F.element_at(_size_table(d.sizes), F.col("sized")) if d.sizes else None, F.lit(None).cast("string"))
     hit = hit.withColumn("refined", refined)
@@ -75,7 +88,7 @@ def detect(nodes: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
         {
             "algorithm_detected": F.when(F.col("refined").isNotNull(), F.col("sized")).otherwise(F.col("algorithm_detected")),
             "severity": F.coalesce("refined", "severity"),
-            "code_snippet": _case(detectors, lambda d: d.snippet, F.col("text")),
+            "code_snippet": _case(detectors, lambda d: d.snippet if d.snippet is not None else F.substring("shown", 1, d.limit) if d.limit else None, F.col("shown")),
         }
     )
     return hit.where(strip(F.col("code_snippet")) != "").select(*FINDING_COLUMNS)
@@ -91,9 +104,9 @@ def _is(*kinds: str) -> Column:
 
 
 def _nearest(levels: int, kinds: Sequence[str]) -> Column:
-    """The text of the nearest of the first ancestors that is of one of the kinds, else the node's own."""
-    found = F.get(F.filter(F.slice("ancestors", 1, levels), lambda a: a["type"].isin(*kinds)), F.lit(0))["text"]
-    return F.coalesce(found, "text")
+    """The interval of the nearest of the first ancestors that is of one of the kinds, else the node's own."""
+    found = F.get(F.filter(F.slice("ancestors", 1, levels), lambda a: a["type"].isin(*kinds)), F.lit(0))
+    return F.when(found.isNotNull(), F.struct(found["start"].alias("start"), found["stop"].alias("stop"))).otherwise(F.struct("start", "stop"))
 
 
 def _member() -> Column:
@@ -141,37 +154,34 @@ def builtin_detectors() -> dict[str, Detector]:
     """The detections of the five languages, by name."""
     text = F.col("text")
     js = ("javascript", "typescript")
-    js_methods = "(" + "|".join(T.JS_METHODS) + ")"
-    cs_methods = "(" + "|".join(T.CSHARP_METHODS) + ")"
     java_methods = F.array(*[F.lit(m) for m in T.JAVA_METHODS])
-    short = F.substring("text", 1, T.MAX_SNIPPET)
+    short = T.MAX_SNIPPET
     found = [
-        Detector("python_import", ("python",), _is("import_statement", "import_from_statement"), T.PYTHON_MODULES, F.col("root_module"), text, rename=_member(), sizes=T.PYTHON_SIZES, size_pattern=T.PYTHON_SIZE_PATTERN, size_context=text),
+        Detector("python_import", ("python",), _is("import_statement", "import_from_statement"), T.PYTHON_MODULES, F.col("root_module"), rename=_member(), sizes=T.PYTHON_SIZES, size_pattern=T.PYTHON_SIZE_PATTERN),
         # Keys hold no slash, so a module's last path segment decides.
-        Detector("js_module", js, _is("import_statement") | (_is("call_expression") & text.startswith("require(")), T.JS_MODULES, F.element_at(F.split(F.lower(quoted(text)), "/"), -1), text),
+        Detector("js_module", js, _is("import_statement") | (_is("call_expression") & text.startswith("require(")), T.JS_MODULES, F.element_at(F.split(F.lower(quoted(text)), "/"), -1)),
         Detector(
             "js_literal", js, _is("string"), T.JS_LITERALS, F.lower(strip_chars(text, "\"'`")),
-            _nearest(4, ("expression_statement", "variable_declaration", "lexical_declaration", "call_expression")),
-            context=F.exists(F.slice("ancestors", 1, 5), lambda a: a["type"].isin("call_expression", "new_expression", "member_expression", "arguments") & F.lower(a["text"]).rlike(js_methods)),
+            span=_nearest(4, ("expression_statement", "variable_declaration", "lexical_declaration", "call_expression")),
+            context=F.exists(F.slice("ancestors", 1, 5), lambda a: a["type"].isin("call_expression", "new_expression", "member_expression", "arguments") & a["marked"]),
         ),
-        Detector("java_import", ("java",), _is("import_declaration"), T.JAVA_IMPORTS, java_import_key(text), text, rename=java_hint(text)),
+        Detector("java_import", ("java",), _is("import_declaration"), T.JAVA_IMPORTS, java_import_key(text), rename=java_hint(text)),
         Detector(
             "java_literal", ("java",), _is("string_literal"), T.JAVA_LITERALS, F.lower(strip_chars(text, "\"'")),
-            _nearest(3, ("expression_statement", "local_variable_declaration", "method_invocation", "variable_declarator")),
+            span=_nearest(3, ("expression_statement", "local_variable_declaration", "method_invocation", "variable_declarator")),
             context=F.exists(F.slice("ancestors", 1, 4), lambda a: a["type"].isin("method_invocation", "object_creation_expression") & F.arrays_overlap(F.transform(a["child_idents"], lambda x: F.lower(x)), java_methods)),
             sizes=T.OTHER_SIZES,
-            size_context=_nearest(3, ("expression_statement", "local_variable_declaration", "method_invocation", "variable_declarator")),
         ),
         # An alias stays part of the path: such imports match by substring and keep it in the snippet.
-        Detector("go_import", ("go",), _is("import_spec"), T.GO_IMPORTS, go_import_key(go_import_path(text)), F.concat(F.lit('import "'), go_import_path(text), F.lit('"'))),
-        Detector("go_call", ("go",), _is("call_expression"), T.GO_CALLS, F.lower(F.concat_ws(".", F.regexp_extract("text", GO_CALL, 1), F.regexp_extract("text", GO_CALL, 2))), short, sizes=T.OTHER_SIZES, size_context=text),
-        Detector("csharp_using", ("csharp",), _is("using_directive"), T.CSHARP_NAMESPACES, csharp_using_key(text), text),
-        Detector("csharp_creation", ("csharp",), _is("object_creation_expression"), T.CSHARP_CLASSES, F.lower(F.regexp_extract("text", CSHARP_NEW, 1)), short, sizes=T.OTHER_SIZES, size_context=text),
-        Detector("csharp_invocation", ("csharp",), _is("invocation_expression"), T.CSHARP_CLASSES, F.lower(F.regexp_extract("text", CSHARP_CALL, 1)), short, context=F.lower(F.regexp_extract("text", CSHARP_CALL, 2)).isin(*T.CSHARP_METHODS), sizes=T.OTHER_SIZES, size_context=text),
+        Detector("go_import", ("go",), _is("import_spec"), T.GO_IMPORTS, go_import_key(go_import_path(text)), snippet=F.concat(F.lit('import "'), go_import_path(text), F.lit('"'))),
+        Detector("go_call", ("go",), _is("call_expression"), T.GO_CALLS, F.lower(F.concat_ws(".", F.regexp_extract("text", GO_CALL, 1), F.regexp_extract("text", GO_CALL, 2))), limit=short, sizes=T.OTHER_SIZES),
+        Detector("csharp_using", ("csharp",), _is("using_directive"), T.CSHARP_NAMESPACES, csharp_using_key(text)),
+        Detector("csharp_creation", ("csharp",), _is("object_creation_expression"), T.CSHARP_CLASSES, F.lower(F.regexp_extract("text", CSHARP_NEW, 1)), limit=short, sizes=T.OTHER_SIZES),
+        Detector("csharp_invocation", ("csharp",), _is("invocation_expression"), T.CSHARP_CLASSES, F.lower(F.regexp_extract("text", CSHARP_CALL, 1)), limit=short, context=F.lower(F.regexp_extract("text", CSHARP_CALL, 2)).isin(*T.CSHARP_METHODS), sizes=T.OTHER_SIZES),
         Detector(
             "csharp_literal", ("csharp",), _is("string_literal"), T.CSHARP_LITERALS, F.lower(strip_chars(text, '"')),
-            _nearest(4, ("expression_statement", "local_declaration_statement", "invocation_expression")),
-            context=F.exists(F.slice("ancestors", 1, 4), lambda a: F.lower(a["text"]).rlike(cs_methods) | a["type"].isin("argument_list", "invocation_expression")),
+            span=_nearest(4, ("expression_statement", "local_declaration_statement", "invocation_expression")),
+            context=F.exists(F.slice("ancestors", 1, 4), lambda a: a["marked"] | a["type"].isin("argument_list", "invocation_expression")),
         ),
     ]
     return {d.name: d for d in found}
@@ -185,7 +195,7 @@ def register(detector: Detector) -> None:
     _REGISTERED[detector.name] = detector
 
 
-def find_in_nodes(nodes: DataFrame, *names: str) -> DataFrame:
-    """Findings over a table of nodes, of all detectors or of the named ones."""
+def find_in_nodes(nodes: DataFrame, texts: DataFrame, *names: str) -> DataFrame:
+    """Findings over the nodes of texts (file_path, text), of all detectors or of the named ones."""
     known = builtin_detectors() | _REGISTERED
-    return detect(nodes, [known[n] for n in names or known])
+    return detect(nodes, [known[n] for n in names or known], texts)

@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.functions.needles import has_bit, pattern_bits
 from cipherlake.functions.text import lines, strip
 from cipherlake.operators.findings import FINDING_COLUMNS
 from cipherlake.rules.expressions import first_match, with_rule
@@ -26,16 +27,27 @@ def needles(key: str) -> list[str]:
     return re.sub(r"\\b|\\s\*=", "", key).replace("\\.", ".").split("|")
 
 
-def manifest_rule(text: Column, low: Column, odd: Column) -> Column:
+def manifest_rule(text: Column, low: Column, odd: Column, bits: Column | None = None) -> Column:
     """The first signature that occurs in the text, by number; word boundaries know all letters, on any Java version.
 
     `low` is the text in lower case, and `odd` whether it may hold ODD_LETTERS: a signature's pattern is tried only where
-    a substring search finds one of its needles, or where that would not tell.
+    a substring search finds one of its needles, or where that would not tell. `bits` (`manifest_bits` of the whole file)
+    leave out signatures of which the file has no needle.
     """
-    test = lambda rule: (odd | reduce(or_, [F.contains(low, F.lit(n)) for n in needles(rule.key)])) & text.rlike(f"(?iU){rule.key}")
+    def test(rule) -> Column:
+        near = reduce(or_, [F.contains(low, F.lit(n)) for n in needles(rule.key)])
+        if bits is not None:
+            near = has_bit(bits, rule.ord - 1) & near
+        return (odd | near) & text.rlike(f"(?iU){rule.key}")
+
     return first_match(MANIFEST_RULES, test)
 
 
+def manifest_bits(text: Column) -> Column:
+    """By one pass over a file: which signatures some line of it may match."""
+    return pattern_bits(text, [needles(rule.key) for rule in MANIFEST_RULES])
+
+
 def is_odd(text: Column) -> Column:
     return reduce(or_, [F.contains(text, F.lit(x)) for x in ODD_LETTERS])
 
@@ -72,13 +84,15 @@ def scan_manifests(files: DataFrame) -> DataFrame:
     """
     is_json = F.col("file_path").endswith(".json")
     parsed = is_json & F.try_parse_json("text").isNotNull()
-    files = files.select("file_path", lines(F.col("text")).alias("_lines"), is_json.alias("_json"), parsed.alias("_parsed"), F.when(parsed, json_names(F.col("text"))).alias("_names"), is_odd(F.col("text")).alias("_odd"))
+    files = files.select("file_path", lines(F.col("text")).alias("_lines"), is_json.alias("_json"), parsed.alias("_parsed"), F.when(parsed, json_names(F.col("text"))).alias("_names"), is_odd(F.col("text")).alias("_odd"), manifest_bits(F.col("text")).alias("_bits"))
+    # A file without any needle has no line to look at.
+    files = files.where("_odd OR _bits != 0")
     by_name = F.expr("transform(_names, d -> named_struct('line_number', greatest(cast(array_position(transform(_lines, l -> instr(l, d) > 0), true) as int), 1), 'line', d))")
     stripped = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line_number"), strip(x).alias("line")))
     by_line = F.filter(stripped, lambda x: (x["line"] != "") & (F.col("_json") | ~x["line"].rlike(COMMENT)))
     # Lower case is made before the explosion, as a filter would otherwise make it once for every signature.
     folded = F.transform(F.when(F.col("_parsed"), by_name).otherwise(by_line), lambda x: F.struct(x["line_number"].alias("line_number"), x["line"].alias("line"), F.lower(x["line"]).alias("low")))
-    each = files.select("file_path", "_parsed", "_odd", F.explode(folded).alias("_c"))
-    each = each.select("file_path", "_parsed", "_odd", "_c.line_number", "_c.line", "_c.low")
-    found = with_rule(each, MANIFEST_RULES, manifest_rule(F.col("line"), F.col("low"), F.col("_odd")))
+    each = files.select("file_path", "_parsed", "_odd", "_bits", F.explode(folded).alias("_c"))
+    each = each.select("file_path", "_parsed", "_odd", "_bits", "_c.line_number", "_c.line", "_c.low")
+    found = with_rule(each, MANIFEST_RULES, manifest_rule(F.col("line"), F.col("low"), F.col("_odd"), F.col("_bits")))
     return _finding(found, F.when(F.col("_parsed"), F.col("line")).otherwise(F.substring("line", 1, MAX_SNIPPET))).select(*FINDING_COLUMNS)

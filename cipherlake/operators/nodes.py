@@ -2,29 +2,44 @@
 
 A lexer finds tokens (comments and strings are no code), matches brackets, and derives the few node types that the
 detections look at. Broken files give the nodes of their intact parts.
+
+Output and work are linear in a file's size. Nodes and the contexts around them are intervals of the text (`start`,
+`stop`), nested or apart; a context's text is never copied into a node, but cut out of the file for findings only. Whether
+a context holds one of a language's marker words is told by position, in one pass over the text.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from cipherlake.rules.tables import CSHARP_METHODS, JS_METHODS
 from cipherlake.shipping import ship_package
 
-ANCESTOR = "struct<type:string,text:string,child_idents:array<string>>"
+#: Characters of a call's own text; more of it is cut out of the file where a finding needs it.
+HEAD = 256
+#: Nodes that go out at once.
+FLUSH = 4096
+ANCESTOR = "struct<type:string,start:int,stop:int,marked:boolean,child_idents:array<string>>"
 NODE_SCHEMA = (
-    "file_path string, language string, seq int, node_type string, text string, line_number int, column_start int, column_end int, "
-    f"root_module string, idents array<string>, segments array<string>, ancestors array<{ANCESTOR}>"
+    "file_path string, language string, text_id long, seq int, node_type string, text string, line_number int, column_start int, column_end int, "
+    f"start int, stop int, root_module string, idents array<string>, segments array<string>, ancestors array<{ANCESTOR}>"
 )
-_ARROW_ANCESTOR = pa.struct([("type", pa.string()), ("text", pa.string()), ("child_idents", pa.list_(pa.string()))])
+#: Words by which detections tell a context; `marked` says whether one lies within it, in any case.
+MARKERS = {"javascript": JS_METHODS, "csharp": CSHARP_METHODS}
+_ARROW_ANCESTOR = pa.struct([("type", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("marked", pa.bool_()), ("child_idents", pa.list_(pa.string()))])
 _ARROW = pa.schema(
     [
-        ("file_path", pa.string()), ("language", pa.string()), ("seq", pa.int32()), ("node_type", pa.string()), ("text", pa.string()),
-        ("line_number", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("root_module", pa.string()),
+        ("file_path", pa.string()), ("language", pa.string()), ("text_id", pa.int64()), ("seq", pa.int32()), ("node_type", pa.string()), ("text", pa.string()),
+        ("line_number", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("root_module", pa.string()),
         ("idents", pa.list_(pa.string())), ("segments", pa.list_(pa.string())), ("ancestors", pa.list_(_ARROW_ANCESTOR)),
     ]
 )
@@ -36,15 +51,48 @@ class Source:
     def __init__(self, text: str):
         self.text = text
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.bytes = None
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            widths = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+            # A lone surrogate is written as a question mark.
+            widths[(codes >= 0xD800) & (codes < 0xE000)] = 1
+            self.bytes = np.concatenate([[0], np.cumsum(widths)])
 
     def line(self, at: int) -> int:
         return bisect.bisect_right(self.starts, at)
 
     def column(self, at: int) -> int:
-        return len(self.text[self.starts[self.line(at) - 1] : at].encode("utf-8", "replace"))
+        first = self.starts[self.line(at) - 1]
+        return at - first if self.bytes is None else int(self.bytes[at] - self.bytes[first])
+
+    def node(self, kind: str, a: int, b: int, head: int | None = None, **more) -> dict:
+        """A node over text[a:b]; its own text is cut to `head` characters, if given."""
+        own = self.text[a:b] if head is None else self.text[a : min(b, a + head)]
+        return {"node_type": kind, "text": own.strip(), "line_number": self.line(a), "column_start": self.column(a), "column_end": self.column(b), "start": a, "stop": b, "_at": (a, -b), **more}
+
+
+class Markers:
+    """Where a text holds one of some words, whatever the case of their ASCII letters."""
+
+    #: Letters that lower-case to ASCII ones elsewhere.
+    _FOLDED = str.maketrans({"\u212a": "k", "\u0130": "i"})
+
+    def __init__(self, text: str, words: tuple[str, ...]):
+        found = [m.span(1) for m in self._each(words).finditer(text if text.isascii() else text.translate(self._FOLDED))] if words else []
+        self.starts = [a for a, _ in found]
+        # The least end of this and all later words.
+        self.ends = list(itertools.accumulate((b for _, b in reversed(found)), min))[::-1]
 
-    def node(self, kind: str, a: int, b: int, **more) -> dict:
-        return {"node_type": kind, "text": self.text[a:b].strip(), "line_number": self.line(a), "column_start": self.column(a), "column_end": self.column(b), "_at": (a, -b), **more}
+    @staticmethod
+    @functools.cache
+    def _each(words: tuple[str, ...]) -> re.Pattern:
+        """Finds the shortest word at each place, as that tells most intervals apart."""
+        return re.compile(f"(?=({'|'.join(map(re.escape, sorted(words, key=len)))}))", re.IGNORECASE | re.ASCII)
+
+    def within(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, a)
+        return at < len(self.ends) and self.ends[at] <= b
 
 
 # ── Python ────────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -114,18 +162,22 @@ class Brackets:
         self.open: dict[int, int] = {}
         self.parent = [-1] * len(self.tokens)
         stack: list[int] = []
+        waiting = dict.fromkeys("([{", 0)
         for i, (kind, _, _, s) in enumerate(self.tokens):
             if kind == "punct" and s in "([{":
                 self.parent[i] = stack[-1] if stack else -1
                 stack.append(i)
+                waiting[s] += 1
                 continue
-            if kind == "punct" and s in ")]}":
-                while stack and self.tokens[stack[-1]][3] != _PAIRS[s] and any(self.tokens[k][3] == _PAIRS[s] for k in stack):
-                    stack.pop()
-                if stack and self.tokens[stack[-1]][3] == _PAIRS[s]:
-                    self.close[stack[-1]], self.open[i] = i, stack[-1]
-                    stack.pop()
+            if kind == "punct" and s in ")]}" and waiting[_PAIRS[s]]:
+                while self.tokens[stack[-1]][3] != _PAIRS[s]:
+                    waiting[self.tokens[stack.pop()][3]] -= 1
+                self.close[stack[-1]], self.open[i] = i, stack[-1]
+                waiting[self.tokens[stack.pop()][3]] -= 1
             self.parent[i] = stack[-1] if stack else -1
+        self._first: dict[int, int] = {}
+        self._statements()
+        self.markers = Markers(text, MARKERS.get(language, ()))
         self.calls = {i: c for i in self.close if self.tokens[i][3] == "(" and (c := self._call(i))}
 
     def word(self, i: int) -> str:
@@ -135,8 +187,10 @@ class Brackets:
         return 0 <= i < len(self.tokens) and self.tokens[i][0] == "id"
 
     def _chain(self, i: int) -> int:
-        """The first token of the expression chain that ends at token i."""
-        while True:
+        """The first token of the expression chain that ends at token i. What is known of a chain's parts is kept."""
+        passed = []
+        while i not in self._first:
+            passed.append(i)
             if self.word(i) in (")", "]") and i in self.open:
                 start = self.open[i]
                 if self.is_id(start - 1) and self.word(start - 1) not in _NO_CALLEE or self.word(start - 1) in (")", "]"):
@@ -148,7 +202,10 @@ class Brackets:
                 if before >= 0 and (self.is_id(before) or self.word(before) in (")", "]") or self.tokens[before][0] in ("str", "raw")):
                     i = before
                     continue
-            return i
+            self._first[i] = i
+        first = self._first[i]
+        self._first.update(dict.fromkeys(passed, first))
+        return first
 
     def _call(self, i: int) -> dict | None:
         """The call whose arguments open at token i: type, first token, and child identifiers."""
@@ -183,24 +240,37 @@ class Brackets:
     def span(self, first: int, last: int) -> tuple[int, int]:
         return self.tokens[first][1], self.tokens[last][2]
 
-    def statement(self, i: int) -> tuple[int, int]:
-        """First and last token of the statement around token i, at its own bracket depth."""
-        home = self.parent[i]
-        a = i
-        while a - 1 > home and not (self.parent[a - 1] == home and self.word(a - 1) in (";", "{") or self.word(a - 1) == "}" and self.open.get(a - 1, -1) != -1 and self.parent[self.open[a - 1]] == home and self.word(a) not in (".", ")", ",")):
-            a -= 1
-        b, end = i, self.close.get(home, len(self.tokens)) if home >= 0 else len(self.tokens)
-        while b + 1 < end and not (self.word(b) == ";" and self.parent[b] == home):
-            b += 1
-        return a, b
+    def _statements(self) -> None:
+        """For each token the first and last token of the statement around it, at its own bracket depth, and the
+        statement's first equals sign at that depth."""
+        n = len(self.tokens)
+        self.begins, self.ends, self.equals = [0] * n, [0] * n, {}
+        begin: dict[int, int] = {}
+        for i in range(n):
+            home = self.parent[i]
+            begin.setdefault(home, home + 1)
+            self.begins[i] = begin[home]
+            word = self.word(i)
+            if word == "=":
+                self.equals.setdefault((home, begin[home]), i)
+            if word in (";", "{") or word == "}" and i in self.open and self.word(i + 1) not in (".", ")", ","):
+                begin[home] = i + 1
+        end: dict[int, int] = {}
+        for i in range(n - 1, -1, -1):
+            home = self.parent[i]
+            if self.word(i) == ";":
+                end[home] = i
+            elif home not in end:
+                end[home] = (self.close.get(home, n) if home >= 0 else n) - 1
+            self.ends[i] = end[home]
 
     def ancestors(self, i: int, limit: int = 6) -> list[dict]:
-        """The nodes around token i, innermost first."""
+        """The nodes around token i, innermost first, as intervals of the text."""
         out: list[dict] = []
 
         def add(kind: str, a: int, b: int, idents: list[str] | None = None) -> None:
             x, y = self.span(a, b)
-            out.append({"type": kind, "text": self.text[x:y].strip(), "child_idents": idents or []})
+            out.append({"type": kind, "start": x, "stop": y, "marked": self.markers.within(x, y), "child_idents": idents or []})
 
         _, arguments, _, _ = _NAMES[self.language]
         at = i
@@ -261,10 +331,10 @@ class Brackets:
         return before not in ("=", "(", ",", ":", "[", "return", "?", "&", "|")
 
     def _statement_ancestors(self, at: int, add) -> None:
-        a, b = self.statement(at)
-        words = [self.word(k) for k in range(a, b + 1)]
-        equals = next((k for k in range(a, at) if self.word(k) == "=" and self.parent[k] == self.parent[at]), None)
-        head = words[0] if words else ""
+        a, b = self.begins[at], self.ends[at]
+        equals = self.equals.get((self.parent[at], a))
+        equals = equals if equals is not None and equals < at else None
+        head = self.word(a)
         last = b - 1 if b > a and self.word(b) == ";" else b
         if self.language == "javascript":
             if head in ("const", "let", "var") and equals is not None:
@@ -277,7 +347,7 @@ class Brackets:
         if self.language == "java":
             if declared:
                 add("variable_declarator", equals - 1, last)
-                field = any(w in ("private", "public", "protected", "static") for w in words[:3])
+                field = any(self.word(k) in ("private", "public", "protected", "static") for k in range(a, min(a + 3, b + 1)))
                 add("field_declaration" if field else "local_variable_declaration", a, b)
             else:
                 add("return_statement" if head == "return" else "expression_statement", a, b)
@@ -299,7 +369,7 @@ def bracket_nodes(text: str, language: str) -> Iterator[dict]:
     tokens = b.tokens
     for opening, c in b.calls.items():
         if c["type"] == call and language != "java" or language == "csharp":
-            yield source.node(c["type"], *b.span(c["first"], b.close[opening]))
+            yield source.node(c["type"], *b.span(c["first"], b.close[opening]), HEAD)
     ends = {";": [k for k, t in enumerate(tokens) if t[3] == ";"], "{": [k for k, t in enumerate(tokens) if t[3] == "{"], "str": [k for k, t in enumerate(tokens) if t[0] == "str"]}
 
     def next_of(what: str, i: int) -> int | None:
@@ -350,21 +420,35 @@ def nodes_of(text: str, language: str, registered: Mapping[str, Callable[[str],
     return found
 
 
+def text_id() -> Column:
+    """Tells texts of the same path apart."""
+    return F.xxhash64("text")
+
+
 def extract_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of (file_path, language, text); a file whose lexer fails gives none, as one bad file must not stop a scan."""
+    """Nodes of (file_path, language, text). A file whose lexer fails, for want of memory too, gives none, as one bad file
+    must not stop a scan; null texts are empty.
+
+    Nodes go out in portions, and their number and size are linear in that of the file.
+    """
 
     registered = dict(_REGISTERED)  # goes to the executors with the function
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for path, language, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for k in range(batch.num_rows):
+                path, language, text, name = (batch.column(c)[k].as_py() for c in range(4))
                 try:
                     nodes = nodes_of(text or "", language, registered)
-                except (IndexError, KeyError, ValueError, RecursionError):
+                except (IndexError, KeyError, ValueError, RecursionError, MemoryError):
                     continue
-                rows += [{"file_path": path, "language": language, "seq": k, **n} for k, n in enumerate(nodes)]
+                for at in range(0, len(nodes), FLUSH):
+                    rows += [{"file_path": path, "language": language, "text_id": name, "seq": i, **n} for i, n in enumerate(nodes[at : at + FLUSH], at)]
+                    if len(rows) >= FLUSH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     ship_package(files.sparkSession)
-    return files.select("file_path", "language", "text").mapInArrow(run, NODE_SCHEMA)
+    return files.select("file_path", "language", "text", text_id().alias("text_id")).mapInArrow(run, NODE_SCHEMA)

@@ -17,7 +17,7 @@ from cipherlake.sources.corpus import EXTRA_EXTENSIONS, directory, manifests, mo
 
 def scan_texts(source_texts: DataFrame, manifest_texts: DataFrame) -> DataFrame:
     """Findings of sources (file_path, language, text) and manifests (file_path, text), in no order: one pass each."""
-    return find_in_nodes(extract_nodes(source_texts)).unionByName(scan_manifests(manifest_texts))
+    return find_in_nodes(extract_nodes(source_texts), source_texts).unionByName(scan_manifests(manifest_texts))
 
 
 def scan_files(files: DataFrame) -> DataFrame:
@@ -46,9 +46,10 @@ def scan_mock(spark: SparkSession, domain: str, with_findings: bool = False) ->
     return report(enriched(scan_files(mock_corpus(spark)), None), domain, with_findings=with_findings)
 
 
-def scan(spark: SparkSession, target: str, scan_type: str = "local", with_findings: bool = True) -> DataFrame:
+def scan(spark: SparkSession, target: str, scan_type: str = "local", with_findings: bool = False) -> DataFrame:
     """One project's JSON report, computed now and timed: `local` scans a directory, `web` the mock corpus; other types
-    are refused. The document holds all findings, as a project's report does, unless `with_findings` is false."""
+    are refused. The row is of bounded size: findings stay out of it, unless `with_findings` asks for a small project's;
+    `write_reports` makes whole documents of any size."""
     if scan_type == "local":
         return to_json(timed(scan_local(spark, target, target, with_findings=with_findings)))
     if scan_type == "web":

@@ -6,7 +6,8 @@ constant list that exercises every rule. Spark and SQL read the same lists.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,16 @@ from cipherlake.operators import manifest as M
 from cipherlake.operators import report as RP
 from cipherlake.operators.enrichment import apply_responses, first_valid, prompts
 from cipherlake.operators.enrichment import enrichment_counts as count_enriched
-from cipherlake.operators.nodes import ANCESTOR, extract_nodes
+from cipherlake.operators.nodes import ANCESTOR, Source, extract_nodes, register_extractor, text_id
+from cipherlake.plans.functions import register_functions
 from cipherlake.plans.scan import scan_files
 from cipherlake.rules import tables as T
 from cipherlake.rules.expressions import sql_literal, values_relation, with_rule
 from cipherlake.sources import corpus as C
+from cipherlake.sources.documents import write_reports
+from cipherlake.sources.scratch import scratch_path
+from cipherlake.sources.tree import numbered, path_order, walk_order
+from cipherlake.streaming.tracking import FOUND, track_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -326,21 +332,21 @@ NODE_DEFAULTS = {"line_number": "int", "column_start": "int", "column_end": "int
 
 
 def as_nodes(df: DataFrame, language: str) -> DataFrame:
-    """Single-line nodes of a derived table, with the columns that detections read."""
+    """Single-line nodes of a derived table, each the whole of its file, with the columns that detections read."""
     have = set(df.columns)
 
     def items(name: str) -> Column:
         return F.when(F.col(name) == "", F.array().cast("array<string>")).otherwise(F.split(name, ",")) if name in have else F.array().cast("array<string>")
 
-    around = F.transform("around", lambda a: a).alias("ancestors") if "around" in have else F.array().cast(f"array<{ANCESTOR}>").alias("ancestors")
     return df.select(
-        F.col("id").cast("string").alias("file_path"), F.lit(language).alias("language"), "node_type", "text", F.lit(1).alias("line_number"), F.lit(0).alias("column_start"), F.lit(0).alias("column_end"),
-        (F.col("root_module") if "root_module" in have else F.lit(None).cast("string")).alias("root_module"), items("idents").alias("idents"), items("segments").alias("segments"), around,
+        F.col("id").cast("string").alias("file_path"), F.lit(language).alias("language"), text_id().alias("text_id"), "node_type", "text", F.lit(0).alias("start"), F.length("text").alias("stop"), F.lit(1).alias("line_number"), F.lit(0).alias("column_start"), F.lit(0).alias("column_end"),
+        (F.col("root_module") if "root_module" in have else F.lit(None).cast("string")).alias("root_module"), items("idents").alias("idents"), items("segments").alias("segments"),
+        F.array().cast(f"array<{ANCESTOR}>").alias("ancestors"),
     )
 
 
 def detected(nodes: DataFrame, *names: str) -> DataFrame:
-    return L.find_in_nodes(nodes, *names).select(F.col("file_path").cast("long").alias("id"), *RULE_OUT, "code_snippet")
+    return L.find_in_nodes(nodes, nodes, *names).select(F.col("file_path").cast("long").alias("id"), *RULE_OUT, "code_snippet")
 
 
 def sized_sql(source: str, sizes: dict, pattern: str, context: str = "text") -> str:
@@ -390,41 +396,42 @@ LITERALS = Derived(
     "orders",
     "o_orderkey",
     [
-        ('"RSA"', "f", 'KeyPairGenerator.getInstance("RSA", 2048)'), ('"AES/GCM/NoPadding"', "f", 'Cipher.getInstance("AES/GCM/NoPadding")'), ('"TLSv1.1"', "f", 'SSLContext.getInstance("TLSv1.1")'),
-        ('"SHA1withRSA"', "f", 'Signature.getInstance("SHA1withRSA") // 4096'), ('"hello"', "f", 'f.getInstance("hello")'), ("'md5'", "f", "c.createHash('md5')"), ('"rs256"', "f", 'jwt.sign(p, {algorithm: "rs256"})'),
-        ('"P-256"', "f", 'subtle.deriveKey("P-256")'), ('"sha512"', "f", 'c.createHash("sha512")'), ('"3DES"', "f", 'Factory.Create("3DES")'), ('"ecdsa"', "f", 'x.Verify("ecdsa")'), ('"rsa"', "g", 'log.info("rsa")'),
+        ('"RSA"', 'KeyPairGenerator.getInstance("RSA", 2048)'), ('"AES/GCM/NoPadding"', 'Cipher.getInstance("AES/GCM/NoPadding")'), ('"TLSv1.1"', 'SSLContext.getInstance("TLSv1.1")'),
+        ('"SHA1withRSA"', 'Signature.getInstance("SHA1withRSA", 4096)'), ('"hello"', 'f.getInstance("hello")'), ("'md5'", "c.createHash('md5')"), ('"rs256"', 'jwt.sign(p, {algorithm: "rs256"})'),
+        ('"P-256"', 'subtle.deriveKey("P-256")'), ('"sha512"', 'c.createHash("sha512")'), ('"3DES"', 'Factory.Create("3DES")'), ('"ecdsa"', 'x.Verify("ecdsa")'), ('"rsa"', 'log.info("rsa")'),
+        ('"SHA1"', 'String s = "SHA1"'), ('"DES"', 'x = [["DES"]]'), ('"AES"', 'Cipher c = Cipher.getInstance("AES")'),
     ],
-    ("text", "kind", "call"),
+    ("literal", "call"),
 )
 
 
-def _literal_nodes(spark: SparkSession, sf_dir: str, language: str, node_type: str, call_type: str) -> DataFrame:
-    df = LITERALS.spark(spark, sf_dir)
-    name = F.regexp_extract("call", r"\.([A-Za-z]+)\(", 1)
-    around = F.array(F.struct(F.lit(call_type).alias("type"), F.col("call").alias("text"), F.array(name).alias("child_idents")))
-    return as_nodes(df.withColumn("node_type", F.lit(node_type)).withColumn("around", around), language)
+def _literal_findings(spark: SparkSession, sf_dir: str, language: str, detector: str) -> DataFrame:
+    """The lexer over one-line files, and the lookup of their literals in the contexts that it finds."""
+    files = LITERALS.spark(spark, sf_dir).select(F.col("id").cast("string").alias("file_path"), F.lit(language).alias("language"), F.col("call").alias("text"))
+    return L.find_in_nodes(extract_nodes(files), files, detector).select(F.col("file_path").cast("long").alias("id"), *RULE_OUT, "code_snippet")
 
 
-def _literal_sql(rules: Sequence[T.Rule], quotes: str, context: str) -> str:
-    return rf"""(SELECT d.*, {RULE_FIELDS} FROM {LITERALS.sql} d JOIN {sql_rules(rules)} ON lower(trim(d.text, {sql_literal(quotes)})) = r.key WHERE {context})"""
+def _literal_sql(rules: Sequence[T.Rule], quotes: str, context: str, snippet: str = r"regexp_replace(call, '^.*= (\w+\.)', '\1')") -> str:
+    return rf"""(SELECT d.*, {RULE_FIELDS}, {snippet} AS snippet FROM {LITERALS.sql} d JOIN {sql_rules(rules)} ON lower(trim(d.literal, {sql_literal(quotes)})) = r.key WHERE {context})"""
 
 
-@query(f"""SELECT id, {_out}, call AS code_snippet FROM {_literal_sql(T.JS_LITERALS, '"' + "'`", "regexp_matches(lower(call), '(" + "|".join(T.JS_METHODS) + ")')")}""")
+@query(f"""SELECT id, {_out}, snippet AS code_snippet FROM {_literal_sql(T.JS_LITERALS, '"' + "'`", "regexp_matches(lower(call), '(" + "|".join(T.JS_METHODS) + ")')")}""")
 def js_literal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detected(_literal_nodes(spark, sf_dir, "javascript", "string", "call_expression"), "js_literal")
+    return _literal_findings(spark, sf_dir, "javascript", "js_literal")
 
 
 _java_literal = _literal_sql(T.JAVA_LITERALS, "\"'", "lower(regexp_extract(call, '\\.([A-Za-z]+)\\(', 1)) IN (" + ", ".join(map(sql_literal, T.JAVA_METHODS)) + ")")
 
 
-@query(f"SELECT id, {_out}, call AS code_snippet FROM {sized_sql(_java_literal, T.OTHER_SIZES, T.OTHER_SIZE_PATTERN, 'call')}")
+@query(f"SELECT id, {_out}, snippet AS code_snippet FROM {sized_sql(_java_literal, T.OTHER_SIZES, T.OTHER_SIZE_PATTERN, 'call')}")
 def java_literal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detected(_literal_nodes(spark, sf_dir, "java", "string_literal", "method_invocation"), "java_literal")
+    return _literal_findings(spark, sf_dir, "java", "java_literal")
 
 
-@query(f"""SELECT id, {_out}, call AS code_snippet FROM {_literal_sql(T.CSHARP_LITERALS, '"', "true")}""")
+# Literals in calls, or beside a marker word; the shown context of a call is the call itself.
+@query(f"""SELECT id, {_out}, snippet AS code_snippet FROM {_literal_sql(T.CSHARP_LITERALS, '"', "contains(call, '(') OR regexp_matches(lower(call), '(" + "|".join(T.CSHARP_METHODS) + ")')")}""")
 def cs_literal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detected(_literal_nodes(spark, sf_dir, "csharp", "string_literal", "invocation_expression"), "csharp_literal")
+    return _literal_findings(spark, sf_dir, "csharp", "csharp_literal")
 
 
 JAVA_IMPORTS = Derived("orders", "o_orderkey", one(["import javax.crypto.Cipher;", "import java.security.MessageDigest;", "import java.security.interfaces.RSAKey;", "import org.bouncycastle.jce.provider.BouncyCastleProvider;", "import java.util.List;", "import javax.net.ssl.SSLContext;", "import com.google.crypto.tink.Aead;", "import javax.crypto.spec.SecretKeySpec;", "import org.apache.commons.crypto.cipher.CryptoCipher;", "import javax.crypto.spec.DHParameterSpec;"]), ("text",))
@@ -506,7 +513,7 @@ _found_sql = f"(SELECT c_custkey AS id, e.* FROM customer JOIN (VALUES {', '.joi
 
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = SOURCES.spark(spark, sf_dir).select(F.col("id").cast("string").alias("file_path"), "language", "text")
-    return L.find_in_nodes(extract_nodes(files))
+    return L.find_in_nodes(extract_nodes(files), files)
 
 
 @query(f"SELECT id, line_number, algorithm_detected, severity FROM {_found_sql}")
@@ -528,13 +535,86 @@ def scan_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RP.metadata(both).withColumn("languages_scanned", F.array_join("languages_scanned", ","))
 
 
-@query("""SELECT * FROM (VALUES ('mock_vendor_app.py', 1, 'RSA', 'CRITICAL', 'python'), ('mock_vendor_app.py', 2, 'AES', 'HIGH', 'python'), ('mock_vendor_app.py', 3, 'RSA', 'HIGH', 'python'),
- ('mock_vendor_app.py', 4, 'SHA-1', 'HIGH', 'python'), ('mock_vendor_app.py', 5, 'ECDSA', 'CRITICAL', 'python'), ('mock_vendor_app.py', 6, 'RSA', 'HIGH', 'python'),
- ('go.mod', 6, 'RSA/EC (golang.org/x/crypto)', 'HIGH', 'unknown'), ('package.json', 5, 'RSA', 'CRITICAL', 'unknown'), ('package.json', 6, 'ECDSA/ECDH (elliptic)', 'CRITICAL', 'unknown'),
- ('requirements.txt', 1, 'RSA', 'CRITICAL', 'unknown'), ('requirements.txt', 2, 'RSA/AES (PyCryptodome)', 'CRITICAL', 'unknown'), ('requirements.txt', 3, 'RSA/EC (cryptography lib)', 'HIGH', 'unknown'),
- ('requirements.txt', 4, 'ECDSA', 'CRITICAL', 'unknown')) t(file_path, line_number, algorithm_detected, severity, language)""")
+MOCK = Derived("supplier", "s_suppkey", list(C.MOCK_FILES.items()), ("name", "content"))
+_MOCK_FOUND = [
+    ("mock_vendor_app.py", 1, "RSA", "CRITICAL", "python"), ("mock_vendor_app.py", 2, "AES", "HIGH", "python"), ("mock_vendor_app.py", 3, "RSA", "HIGH", "python"),
+    ("mock_vendor_app.py", 4, "SHA-1", "HIGH", "python"), ("mock_vendor_app.py", 5, "ECDSA", "CRITICAL", "python"), ("mock_vendor_app.py", 6, "RSA", "HIGH", "python"),
+    ("go.mod", 6, "RSA/EC (golang.org/x/crypto)", "HIGH", "unknown"), ("package.json", 5, "RSA", "CRITICAL", "unknown"), ("package.json", 6, "ECDSA/ECDH (elliptic)", "CRITICAL", "unknown"),
+    ("requirements.txt", 1, "RSA", "CRITICAL", "unknown"), ("requirements.txt", 2, "RSA/AES (PyCryptodome)", "CRITICAL", "unknown"), ("requirements.txt", 3, "RSA/EC (cryptography lib)", "HIGH", "unknown"),
+    ("requirements.txt", 4, "ECDSA", "CRITICAL", "unknown"),
+]
+_mock_found = f"(VALUES {', '.join('(' + ', '.join(map(sql_literal, r)) + ')' for r in _MOCK_FOUND)}) e(name, line_number, algorithm_detected, severity, language)"
+
+
+@query(f"SELECT 'vendor-' || m.id || '/' || name AS file_path, e.line_number, e.algorithm_detected, e.severity, e.language FROM {MOCK.sql} m JOIN {_mock_found} USING (name)")
 def mock_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_files(C.mock_corpus(spark)).select("file_path", "line_number", "algorithm_detected", "severity", "language")
+    """Sources and manifests in one table of files, one of the mock corpus for each supplier, and the union of all parsers."""
+    path = F.concat(F.lit("vendor-"), "id", F.lit("/"), "name")
+    files = MOCK.spark(spark, sf_dir).select(path.alias("file_path"), path.alias("rel_path"), F.encode("content", "UTF-8").alias("content"))
+    return scan_files(files).select("file_path", "line_number", "algorithm_detected", "severity", "language")
+
+
+# ── Table functions, listings, documents, streams ─────────────────────────────────────────────────────────────────
+
+#: A language of its own: beginnings of sentences, a capitalised word and two more.
+BEGINNING = "[A-Z][a-z]+(?: [a-z]+){2}"
+
+
+def _beginnings(text: str) -> Iterable[dict]:
+    source = Source(text)
+    for m in re.finditer(BEGINNING, text):
+        yield source.node("beginning", *m.span())
+
+
+@query(f"SELECT doc_id, seq::INT AS seq, node AS text, length(node)::INT AS n_chars FROM (SELECT doc_id, unnest(found) AS node, unnest(range(len(found))) AS seq FROM (SELECT doc_id, regexp_extract_all(text, {sql_literal(BEGINNING)}) AS found FROM documents))")
+def node_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language registered at run time, called from SQL as a table function beside each document."""
+    register_extractor("prose", _beginnings)
+    register_functions(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT d.doc_id, n.seq, n.text, n.stop - n.start AS n_chars FROM {docs} d, LATERAL source_nodes('prose', d.text) n", docs=docs)
+
+
+_path_sql = "'/repo/' || p_brand || '/' || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_type || '/' END || p_name || '-' || p_partkey || '.py'"
+
+
+@query(f"""WITH f AS (SELECT {_path_sql} AS file_path FROM part), d AS (SELECT file_path, string_split(file_path, '/') AS parts FROM f)
+SELECT file_path, row_number() OVER (ORDER BY file_path) AS place, row_number() OVER (ORDER BY parts[:-2], parts[-1]) AS walk_place FROM d""")
+def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of paths in both orders of a listing: by whole path, and directory by directory."""
+    paths = table(spark, sf_dir, "part").select(F.expr(_path_sql).alias("file_path"))
+    return numbered(numbered(paths, path_order()), walk_order(), "walk_place")
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT project::VARCHAR AS project, count(*) AS total_findings, count(*) AS n_listed, count(*) FILTER (severity = 'CRITICAL') AS critical_findings_count,
+  min(file_path) AS first_path, array_to_string(list_sort(list(DISTINCT algorithm_detected)), ',') AS algorithms FROM findings GROUP BY project""")
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each project, with its findings, written by the committing sink and read back."""
+    path = scratch_path(spark, "reports")
+    write_reports(base_findings(spark, sf_dir), "project", path)
+    schema = "project_name string, total_findings long, critical_findings_count long, algorithms_detected array<string>, findings array<struct<file_path:string>>"
+    docs = spark.read.schema(schema).json(path)
+    return docs.select(
+        F.col("project_name").alias("project"), "total_findings", F.size("findings").cast("long").alias("n_listed"), "critical_findings_count",
+        F.col("findings")[0]["file_path"].alias("first_path"), F.array_join("algorithms_detected", ",").alias("algorithms"),
+    )
+
+
+@query(f"SELECT DISTINCT * FROM ({ORACLES['cbom_diff']})")
+def tracked_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of all files as a stream with keyed state: its changes after the first scan are the scans' difference."""
+    found = base_findings(spark, sf_dir).withColumn("fingerprint", FD.fingerprint())
+    item = F.struct("fingerprint", "line_number", "algorithm_detected", "severity")
+    files = found.groupBy("file_path", "project").agg(F.array_sort(F.collect_set(item)).cast(FOUND).alias("found"))
+    none, where = F.array().cast(FOUND), scratch_path(spark, "tracked")
+    before, after = F.col("project") % 3 != 0, F.col("project") % 3 != 1
+    for day, scan in (("2024-01-01", files.where(before)), ("2024-01-02", files.withColumn("found", F.when(after, F.col("found")).otherwise(none)))):
+        scan.select("file_path", F.lit(f"{day} 00:00:00").cast("timestamp").alias("seen_at"), "found").coalesce(4).write.mode("append").parquet(f"{where}/scans")
+    scans = spark.readStream.schema(f"file_path string, seen_at timestamp, found {FOUND}").option("maxFilesPerTrigger", 4).parquet(f"{where}/scans")
+    stream = track_changes(scans).writeStream.format("parquet").option("path", f"{where}/changes").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    later = spark.read.parquet(f"{where}/changes").where("change = 'removed' OR first_seen = TIMESTAMP '2024-01-02 00:00:00'")
+    return later.select("fingerprint", "file_path", F.col("line_number").cast("long").alias("line_number"), "change")
 
 
 # ── Redaction ─────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -608,7 +688,7 @@ def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, sanitized FROM ({_redact_sql()})")
 def sanitize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", R.sanitize_text(F.col("text")).alias("sanitized"))
+    return R.sanitize(texts(spark, sf_dir), "text").select("id", "sanitized")
 
 
 _ip = "len(list_filter(regexp_extract_all(text, '(?:^|[^0-9])(" + T._OCTETS + ")(?:[^0-9]|$)', 1), lambda x: not starts_with(x, '127.0.0.1') and not starts_with(x, '0.0.0.0')))"
@@ -890,9 +970,22 @@ def decode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CONTENTS.spark(spark, sf_dir).select("id", C.decode_source(content).alias("as_source"), C.decode_manifest(content).alias("as_manifest"))
 
 
-@query("SELECT * FROM (VALUES ('up.py', 1, 'RSA', 'CRITICAL'), ('up.py', 2, 'ECDSA', 'CRITICAL')) t(file_path, line_number, algorithm_detected, severity)")
+UPLOADS = Derived(
+    "part",
+    "p_partkey",
+    [("some/where/up.py", "import rsa\r\nimport ecdsa\r\n"), ("C:\\tmp\\A.java", "import javax.crypto.Cipher;"), ("../../go.mod", "golang.org/x/crypto v0.17.0"), ("notes.md", "import rsa"), ("", "import rsa")],
+    ("name", "content"),
+)
+
+
+@query(f"""SELECT id, e.file_path, e.line_number, e.algorithm_detected, e.severity FROM {UPLOADS.sql} u JOIN (VALUES ('some/where/up.py', 'up.py', 1, 'RSA', 'CRITICAL'), ('some/where/up.py', 'up.py', 2, 'ECDSA', 'CRITICAL'),
+ ('C:\\tmp\\A.java', 'A.java', 1, 'JCA/JCE', 'HIGH'), ('../../go.mod', 'go.mod', 1, 'RSA/EC (golang.org/x/crypto)', 'HIGH')) e(name, file_path, line_number, algorithm_detected, severity) USING (name)""")
 def upload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_files(C.uploaded(spark, "some/where/up.py", b"import rsa\r\nimport ecdsa\r\n")).select("file_path", "line_number", "algorithm_detected", "severity")
+    """An uploaded file for each part, each under its base name in a folder of its own."""
+    files = C.uploads(UPLOADS.spark(spark, sf_dir).select(F.concat("name").alias("name"), F.encode("content", "UTF-8").alias("content"), "id"), "id")
+    files = files.withColumns({c: F.concat("id", F.lit("/"), c) for c in ("file_path", "rel_path")})
+    parts = F.split("file_path", "/")
+    return scan_files(files).select(parts[0].cast("long").alias("id"), parts[1].alias("file_path"), "line_number", "algorithm_detected", "severity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

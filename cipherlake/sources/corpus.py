@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from cipherlake.functions.text import decode_manifest, decode_source, extension
 from cipherlake.functions.urls import basename
 from cipherlake.rules.tables import LANGUAGE_EXTENSIONS, MANIFEST_EXTENSIONS, MANIFEST_NAMES, MANIFEST_SKIP_DIRS, SOURCE_SKIP_DIRS
 from cipherlake.shipping import ship_package
+from cipherlake.sources.tree import path_order, read_bytes, source_tree, walk_order, without_directories
 
 
 #: Suffixes of registered languages.
@@ -48,44 +48,21 @@ def is_manifest() -> Column:
 
 
 def list_directory(spark: SparkSession, root: str, subtrees: int = 64) -> DataFrame:
-    """(file_path, rel_path) of the files under a directory that driver and executors can both read.
+    """(file_path, rel_path) of the files under a directory that driver and executors can both read (see `source_tree`).
 
-    The driver goes down level by level, through directories only, until there are `subtrees` of them (or four levels
-    are done); executors list the files, of these directories and of whole subtrees. Directories that both scans skip
-    are pruned before descent; symbolic links to directories are not followed. Raises NotADirectoryError if there is no
+    Directories that both scans skip, and hidden ones, are pruned before descent. Raises NotADirectoryError if there is no
     such directory.
     """
-    root = os.path.realpath(root)
-    if not os.path.isdir(root):
-        raise NotADirectoryError(f"not a directory: {root}")
-    skip = set(SOURCE_SKIP_DIRS) & set(MANIFEST_SKIP_DIRS)
-    wanted = lambda name: name not in skip and not name.startswith(".")
-    passed, frontier = [], [root]
-    for _ in range(4):
-        if not frontier or len(frontier) >= subtrees:
-            break
-        passed += frontier
-        frontier = [e.path for at in frontier for e in _entries(at) if e.is_dir(follow_symlinks=False) and wanted(e.name)]
-    starts = spark.createDataFrame([(d, False) for d in passed] + [(d, True) for d in frontier], "at string, deep boolean")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for folder, dirs, files in os.walk(at):
-                    dirs[:] = [d for d in dirs if deep and wanted(d)]
-                    paths = [os.path.join(folder, f) for f in files]
-                    relative = [os.path.relpath(p, root).replace(os.sep, "/") for p in paths]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in (paths, relative)], names=["file_path", "rel_path"])
-
-    ship_package(spark)
-    return starts.repartition(max(1, min(len(passed) + len(frontier), subtrees))).mapInArrow(walk, "file_path string, rel_path string")
+    skip = sorted(set(SOURCE_SKIP_DIRS) & set(MANIFEST_SKIP_DIRS))
+    return source_tree(spark, root, subtrees).where(without_directories(skip)).select("file_path", "rel_path")
 
 
-def _entries(folder: str) -> list[os.DirEntry]:
-    try:
-        return sorted(os.scandir(folder), key=lambda e: e.name)
-    except OSError:
-        return []
+def list_by_extension(spark: SparkSession, root: str, *extensions: str) -> DataFrame:
+    """Paths (file_path, rel_path) of the files with one of the suffixes (with a dot, any case), as one language's scan
+    lists them: by whole path for one suffix, directory by directory for several."""
+    wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
+    found = source_tree(spark, root).where(without_directories(SOURCE_SKIP_DIRS)).where(F.col("extension").isin(wanted))
+    return found.orderBy(*(path_order() if len(wanted) == 1 else walk_order())).select("file_path", "rel_path")
 
 
 def read_files(paths: DataFrame) -> DataFrame:
@@ -93,14 +70,10 @@ def read_files(paths: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = []
-            for path in batch.column(0).to_pylist():
-                try:
-                    with open(path, "rb") as f:
-                        content.append(f.read())
-                except OSError:
-                    content.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, type=pa.binary())], names=["file_path", "rel_path", "content"])
+            for k in range(batch.num_rows):  # files may be large: one at a time
+                one = batch.slice(k, 1)
+                content = pa.array([read_bytes(one.column(0)[0].as_py())], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), content], names=["file_path", "rel_path", "content"])
 
     ship_package(paths.sparkSession)
     return paths.select("file_path", "rel_path").mapInArrow(run, "file_path string, rel_path string, content binary")
@@ -114,10 +87,14 @@ def directory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return sources(read_files(wanted_sources)), manifests(read_files(wanted_manifests))
 
 
+def uploads(files: DataFrame, *keep: str) -> DataFrame:
+    """Uploaded (name, content) under their base names; columns in `keep` are carried."""
+    return files.select(basename(F.col("name")).alias("file_path"), basename(F.col("name")).alias("rel_path"), "content", *keep)
+
+
 def uploaded(spark: SparkSession, name: str | None, content: bytes) -> DataFrame:
     """One file under its base name."""
-    one = spark.createDataFrame([(name, bytearray(content))], "name string, content binary")
-    return one.select(basename(F.col("name")).alias("file_path"), basename(F.col("name")).alias("rel_path"), "content")
+    return uploads(spark.createDataFrame([(name, bytearray(content))], "name string, content binary"))
 
 
 def sources(files: DataFrame) -> DataFrame:

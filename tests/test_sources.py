@@ -1,6 +1,7 @@
 """Golden corpora, one case per quirk of the languages, and the directory source."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from cipherlake.operators import lookups, nodes
 from cipherlake.operators import report as RP
 from cipherlake.operators.lookups import find_in_nodes
 from cipherlake.operators.manifest import scan_manifests
-from cipherlake.operators.nodes import extract_nodes, nodes_of
+from cipherlake.operators.nodes import Markers, Source, extract_nodes, nodes_of
 from cipherlake.plans import scan as P
 from cipherlake.rules.tables import Rule
 from cipherlake.sources.corpus import EXTRA_EXTENSIONS, MOCK_FILES, directory, list_directory, mock_corpus, uploaded
@@ -33,7 +34,7 @@ def pay(x):
 
 def found(spark, language, *texts):
     files = spark.createDataFrame([(f"{k:02d}", language, t) for k, t in enumerate(texts)], "file_path string, language string, text string")
-    rows = find_in_nodes(extract_nodes(files)).collect()
+    rows = find_in_nodes(extract_nodes(files), files).collect()
     return sorted((r.file_path, r.line_number, r.algorithm_detected, r.severity) for r in rows)
 
 
@@ -119,6 +120,72 @@ def test_lexers_survive_anything(language):
         nodes_of(text, language)
 
 
+def big_array(language, size):
+    """A file that is one array of literals within a call, on one line, and its number of literals."""
+    names = [f"v{k}" for k in range(size // 9)]
+    body = ", ".join(f'"{n}"' for n in names)
+    shapes = {"javascript": "const all = lookup([{}], 'md5');", "java": "class A {{ Object f() {{ return find(new String[] {{ {} }}, Cipher.getInstance(\"DES\")); }} }}", "csharp": "class A {{ object f() {{ return Find(new[] {{ {} }}, HashAlgorithm.Create(\"SHA1\")); }} }}"}
+    return shapes[language].format(body), len(names) + 1
+
+
+@pytest.mark.parametrize("language", ["javascript", "java", "csharp"])
+def test_output_is_linear(spark, language):
+    """A megabyte of literals: rows, bytes and time bounded by the file's size, not by that of contexts."""
+    text, n = big_array(language, 1_000_000)
+    began = time.monotonic()
+    nodes = nodes_of(text, language)
+    assert time.monotonic() - began < 30
+    strings = [x for x in nodes if x["node_type"] in ("string", "string_literal")]
+    assert len(strings) == n and all(len(x["ancestors"]) <= 6 for x in strings)
+    size = sum(len(x["text"]) + sum(len(a["type"]) + 9 + sum(map(len, a["child_idents"])) for a in x.get("ancestors", [])) for x in nodes)
+    assert size < 40 * len(text)
+    if language != "javascript":
+        assert [(a, s) for *_, a, s in found(spark, language, text)] == [("DES", "CRITICAL") if language == "java" else ("SHA-1", "CRITICAL")]
+
+
+@pytest.mark.parametrize("language", ["javascript", "java", "csharp", "go"])
+def test_deep_and_long_code_is_linear(language):
+    """Nested brackets, call chains, one long expression, unmatched brackets: a few hundred thousand tokens each."""
+    n = 60_000
+    texts = ("f(" * n + '"md5"' + ")" * n, "a" + ".b()" * n, 'x = "a"' + ' + "a"' * n + ";", "(" * n + "]" * n, "[(" * n + ']"s"' * n, '{"s"' * n, "é " + ' "é"' * n)
+    for text in texts:
+        began = time.monotonic()
+        nodes_of(text, language)
+        assert time.monotonic() - began < 20, text[:40]
+
+
+def test_contexts_by_position():
+    """Contexts are told apart by where marker words lie; columns count bytes."""
+    text = "/* é */ lookup(['md5'], x.createHash('sha1'))"
+    by = {x["text"]: x for x in nodes_of(text, "javascript") if x["node_type"] == "string"}
+    assert [a["marked"] for a in by["'md5'"]["ancestors"]][:3] == [False, True, True] and by["'sha1'"]["ancestors"][1]["marked"]
+    assert text[by["'sha1'"]["ancestors"][1]["start"] : by["'sha1'"]["ancestors"][1]["stop"]] == "x.createHash('sha1')"
+    assert by["'md5'"]["column_start"] == len("/* é */ lookup([".encode())
+    marks = Markers("SIGN \u212aey x", ("sign", "key", "signature"))
+    assert marks.within(0, 4) and not marks.within(1, 5) and marks.within(5, 8) and not Markers("sign", ()).within(0, 4)
+
+
+def test_one_bad_file_stops_nothing(spark, monkeypatch):
+    """A lexer that runs out of memory or depth gives no nodes; the other files do."""
+    from cipherlake.operators import nodes as N
+
+    def extract(text):
+        if text == "bad":
+            raise MemoryError
+        yield Source(text).node("string", 0, len(text))
+
+    monkeypatch.setitem(N._REGISTERED, "frail", extract)
+    files = spark.createDataFrame([("a", "frail", "bad"), ("b", "frail", "fine"), ("c", "frail", None)], "file_path string, language string, text string")
+    assert [(r.file_path, r.text) for r in extract_nodes(files).collect() if r.text] == [("b", "fine")]
+
+
+def test_repeated_files_are_found_each_time(spark):
+    texts = [("a.js", "javascript", "c.createHash('md5')"), ("a.js", "javascript", "c.createHash('md5')"), ("a.js", "javascript", "c.createHash('sha1')")]
+    files = spark.createDataFrame(texts, "file_path string, language string, text string")
+    rows = find_in_nodes(extract_nodes(files), files).collect()
+    assert sorted((r.algorithm_detected, r.code_snippet) for r in rows) == [("MD5", "c.createHash('md5')")] * 2 + [("SHA-1", "c.createHash('sha1')")]
+
+
 def test_manifest_lines(spark):
     lines = ["rsa==4.9", "# rsa", "// rsa", "<!-- rsa", "* rsa", "; rsa", "", "node-forge", "bcrypt", "\t des Moines \r\nopenssl = 1", "désétre"]
     rows = scan_manifests(spark.createDataFrame([("a.txt", "\n".join(lines))], "file_path string, text string")).orderBy("line_number").collect()
@@ -175,7 +242,8 @@ def test_report_is_timed_and_small_by_default(spark):
     row = P.scan_mock(spark, "x.com")
     assert "findings" not in row.columns
     report = json.loads(P.scan(spark, "x.com", "web").first().json)
-    assert report["metadata"]["scan_duration_seconds"] > 0 and len(report["findings"]) == 13
+    assert report["metadata"]["scan_duration_seconds"] > 0 and "findings" not in report
+    assert len(json.loads(P.scan(spark, "x.com", "web", with_findings=True).first().json)["findings"]) == 13
 
 
 def test_directory(spark, tmp_path):
@@ -197,7 +265,8 @@ def test_one_python_pass(spark):
     """However many detections there are, a plan extracts nodes once."""
     plan = P.scan_files(mock_corpus(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and len(MOCK_FILES) == 4
-    assert "SortMergeJoin" not in plan
+    # What hits show is cut out of their files by one equi-join; rules are broadcast.
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
 
 
 def test_streaming_dedupes(spark, tmp_path):

@@ -1,7 +1,11 @@
-"""Enrichment of findings from model responses, offline: responses are a table, and tiers are tried in order."""
+"""Enrichment of findings from model responses: a table of recorded ones, or providers that are asked tier by tier."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,11 @@ from cipherlake.functions.enrichment import nist_reference, response_fields, res
 from cipherlake.functions.redaction import sanitize_text
 from cipherlake.functions.text import strip
 from cipherlake.operators.findings import RECOMMENDATION, complete, is_enriched
+from cipherlake.shipping import ship_package
+from cipherlake.sources.scratch import saved
+
+#: Takes a prompt, gives a response's text or null; what it raises counts as no response.
+Provider = Callable[[str], str | None]
 
 
 def prompts(findings: DataFrame, live: Column | None = None) -> DataFrame:
@@ -19,6 +28,51 @@ def prompts(findings: DataFrame, live: Column | None = None) -> DataFrame:
     return out.withColumn("prompt", user_prompt(F.col("algorithm_detected"), F.col("language"), F.col("file_path"), F.col("line_number"), snippet, F.col("web_context")))
 
 
+def ask(prompted: DataFrame, key: str, provider: Provider, tier: int, pool: int = 8) -> DataFrame:
+    """(key, tier, raw) of (key, prompt): one call a row, at most `pool` at a time in each task."""
+
+    def call(prompt: str | None) -> str | None:
+        try:
+            return None if prompt is None else provider(prompt)
+        except Exception:  # a provider's failure is the next tier's turn
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(pool) as threads:
+            for batch in batches:
+                raw = list(threads.map(call, batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.string())], names=[key, "raw"])
+
+    ship_package(prompted.sparkSession)
+    answered = prompted.select(key, "prompt").mapInArrow(run, f"`{key}` {dict(prompted.dtypes)[key]}, raw string")
+    return answered.select(key, F.lit(tier).alias("tier"), "raw")
+
+
+def ask_tiers(prompted: DataFrame, key: str, providers: Sequence[Provider], pool: int = 8) -> DataFrame:
+    """(key, tier, raw) of all calls that it took: a tier is asked only what no tier before it has answered validly.
+
+    Each tier's answers are written before they are judged: no later step asks again, and a lost executor repeats the
+    calls of its unfinished tasks only. Keys are unique.
+    """
+    todo, answers = prompted.select(key, "prompt"), None
+    for tier, provider in enumerate(providers, 1):
+        given = saved(ask(todo, key, provider, tier, pool), "answers")
+        answers = given if answers is None else answers.unionByName(given)
+        if tier < len(providers):
+            todo = saved(todo.join(first_valid(given, key).select(key), key, "left_anti"), "unanswered")
+            if todo.isEmpty():
+                break
+    if answers is None:
+        raise ValueError("no providers")
+    return answers
+
+
+def enrich(findings: DataFrame, key: str, providers: Sequence[Provider], pool: int = 8) -> DataFrame:
+    """Findings with what the first tier with a valid response says; blank snippets are sent to none."""
+    asked = prompts(findings.where(strip(F.col("code_snippet")) != ""))
+    return apply_responses(findings, ask_tiers(asked, key, providers, pool), key)
+
+
 def first_valid(responses: DataFrame, key: str) -> DataFrame:
     """(key, tier, usage_context, pqc_replacement, migration_complexity, reasoning) of the first tier with a valid response."""
     # Invalid responses are passed over by their null order, not by a filter: a filter would be pushed below the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlake.functions.text import strip
@@ -91,3 +91,21 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     added = b.join(a.select("fingerprint"), "fingerprint", "left_anti").withColumn("change", F.lit("added"))
     removed = a.join(b.select("fingerprint"), "fingerprint", "left_anti").withColumn("change", F.lit("removed"))
     return added.unionByName(removed)
+
+
+def store_scan(findings: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Keeps a scan as a table (in the warehouse, or at `path`), bucketed and sorted by fingerprint, one row each, for
+    `diff_with_stored`.
+
+    Choose `buckets` so that one holds some 100 MB, and the same for all scans of a series.
+    """
+    out = dedupe(findings).repartition(buckets, "fingerprint").write.bucketBy(buckets, "fingerprint").sortBy("fingerprint").mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(table)
+
+
+def diff_with_stored(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """`diff` of two stored scans, one row for each fingerprint: with equal buckets neither side is shuffled."""
+    a, b = spark.table(before), spark.table(after)
+    added = b.join(a.select("fingerprint"), "fingerprint", "left_anti").withColumn("change", F.lit("added"))
+    removed = a.join(b.select("fingerprint"), "fingerprint", "left_anti").withColumn("change", F.lit("removed"))
+    return added.unionByName(removed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cipherlake.operators.findings import complete, is_enriched
@@ -80,6 +80,15 @@ def report(findings: DataFrame, project_name: str, scan_root: str | None = None,
     return one.select(F.lit(project_name).alias("project_name"), meta.alias("metadata"), F.lit("COMPLETE").alias("status"), *[c for c in one.columns if c not in ("languages_scanned", "files_scanned")])
 
 
+def watched(findings: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """The findings, and counters that the action that runs over them fills on its way: attempted, enriched, failed,
+    critical. No second pass: `observation.get` has them once the findings have been written."""
+    observation = Observation(name)
+    n, good = F.count(F.lit(1)), F.count_if(is_enriched())
+    counters = [n.alias("attempted"), good.alias("enriched"), (n - good).alias("failed"), F.count_if(F.col("severity") == "CRITICAL").alias("critical")]
+    return complete(findings).observe(observation, *counters), observation
+
+
 def timed(report_row: DataFrame) -> DataFrame:
     """The report, computed now, with scan_duration_seconds in its metadata: the driver's clock around the whole scan."""
     began = time.monotonic()

@@ -7,6 +7,7 @@ constant list that exercises every rule. Spark and SQL read the same lists.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from cipherlake.operators import findings as FD
 from cipherlake.operators import lookups as L
 from cipherlake.operators import manifest as M
 from cipherlake.operators import report as RP
-from cipherlake.operators.enrichment import apply_responses, first_valid, prompts
+from cipherlake.operators.enrichment import apply_responses, ask_tiers, first_valid, prompts
 from cipherlake.operators.enrichment import enrichment_counts as count_enriched
 from cipherlake.operators.nodes import ANCESTOR, Source, extract_nodes, register_extractor, text_id
 from cipherlake.plans.functions import register_functions
@@ -264,6 +265,27 @@ def cbom_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FD.diff(found.where("project % 3 <> 0"), found.where("project % 3 <> 1")).select("fingerprint", "file_path", "line_number", "change")
 
 
+@query(f"""WITH {FINDINGS_SQL}, p AS (SELECT DISTINCT file_path, line_number, project, {FP_SQL} AS fingerprint FROM findings),
+a AS (SELECT * FROM p WHERE project % 3 <> 0), b AS (SELECT * FROM p WHERE project % 3 <> 1)
+SELECT fingerprint, file_path, line_number, 'added' AS change FROM b WHERE fingerprint NOT IN (SELECT fingerprint FROM a)
+UNION ALL SELECT fingerprint, file_path, line_number, 'removed' FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM b)""")
+def stored_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same difference between two scans kept as bucketed tables, of which none is shuffled."""
+    found, names = base_findings(spark, sf_dir), [f"scan_{uuid.uuid4().hex}" for _ in range(2)]
+    for name, condition in zip(names, ("project % 3 <> 0", "project % 3 <> 1"), strict=True):
+        FD.store_scan(found.where(condition), name, 16, scratch_path(spark, name))
+    return FD.diff_with_stored(spark, *names).select("fingerprint", "file_path", "line_number", "change")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT count(*) AS attempted, count(usage_context) AS enriched, count(*) - count(usage_context) AS failed, count(*) FILTER (severity = 'CRITICAL') AS critical FROM findings")
+def observed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that writing the findings fills on its way."""
+    watched, observation = RP.watched(base_findings(spark, sf_dir))
+    watched.write.parquet(scratch_path(spark, "watched"))
+    seen = observation.get
+    return spark.range(1).select(*[F.lit(seen[c]).cast("long").alias(c) for c in ("attempted", "enriched", "failed", "critical")])
+
+
 def _told_off(ordered: DataFrame) -> DataFrame:
     """Each project's findings with their place in an ordered frame."""
     from pyspark.sql import Window
@@ -799,14 +821,23 @@ def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_RESPONSE_SQL} SELECT e.event_id AS id, usage_context, pqc_replacement, migration_complexity, reasoning AS migration_notes,
   migration_complexity = 'HIGH' OR NOT regexp_matches(upper(pqc_replacement), '^(AES|SHA|HMAC|ARGON2|BLAKE)') AS hybrid, {_nist.replace('replacement)', 'pqc_replacement)')} AS nist_reference
-FROM events e LEFT JOIN parsed p ON p.id = e.event_id""")
+FROM events e LEFT JOIN parsed p ON p.id = e.event_id AND e.event_id % 7 <> 0""")
 def apply_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("import rsa").alias("code_snippet"))
+    found = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 == 0, " \t ").otherwise("import rsa").alias("code_snippet"))
     out = apply_responses(found, responses(spark, sf_dir), "id").withColumn("pqc_replacement", FD.synced_replacement())
     r = F.col("pqc_recommendation")
     return out.select("id", "usage_context", "pqc_replacement", "migration_complexity", r["migration_notes"].alias("migration_notes"), r["hybrid_transition_recommended"].alias("hybrid"), r["nist_reference"].alias("nist_reference"))
 
 
+@query(f"WITH {_RESPONSE_SQL} SELECT * FROM parsed")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded providers asked tier by tier, the second only for what the first has not answered validly."""
+    recorded = [RESPONSES.rows[k] for k in range(len(RESPONSES.rows))]
+    providers = [lambda prompt, t=t: recorded[int(prompt) % len(recorded)][t] for t in range(2)]
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("prompt"))
+    return first_valid(ask_tiers(asked, "id", providers), "id")
+
+
 # ── Discovery ─────────────────────────────────────────────────────────────────────────────────────────────────────
 
 URLS = Derived(

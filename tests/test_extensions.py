@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cipherlake.operators import nodes as N
+from cipherlake.operators.enrichment import enrich
+from cipherlake.operators.findings import diff_with_stored, store_scan
 from cipherlake.plans.functions import register_functions
 from cipherlake.sources.corpus import list_by_extension
 from cipherlake.sources.documents import JsonDocuments, write_reports
@@ -139,3 +141,40 @@ def test_scans_of_a_stream_of_files(spark, tmp_path):
     assert got == {r.file_path: sorted((f.line_number, f.algorithm_detected) for f in r.found) for r in file_scans(rows).collect()}
     assert got["a/app.py"] == [(1, "RSA"), (2, "ECDSA")] and got["package.json"] == [(1, "RSA (node-rsa)")] or got["package.json"][0][0] == 1
     assert got["b.py"] == [] and len(got["requirements.txt"]) == 1
+
+
+def test_tiers_are_asked_lazily(spark, tmp_path):
+    """The second tier gets only what the first has not answered validly; failures and blank snippets cost no more calls."""
+    good = json.dumps({"usage_context": "u", "pqc_replacement": "ML-KEM-768", "migration_complexity": "low", "reasoning": "r"})
+
+    def provider(tier, answers):
+        def call(prompt):
+            line = int(prompt.split("a.py:")[1].split("\n")[0])
+            (tmp_path / f"{tier}-{line}").touch(exist_ok=False)  # a second call of the same fails
+            if answers[line] == "fail":
+                raise OSError("timeout")
+            return answers[line]
+
+        return call
+
+    rows = [(k, "p", "a.py", k, "python", "RSA", "  " if k == 5 else "import rsa", True, "SHOR", "HIGH") for k in range(6)]
+    findings = spark.createDataFrame(rows, "key long, " + FINDING)
+    first, second = [good, "no", "fail", None, "{}", good], [None, good, good, "no", "fail", None]
+    got = {r.key: r for r in enrich(findings, "key", [provider(1, first), provider(2, second)], pool=3).collect()}
+    assert {k: r.usage_context for k, r in got.items()} == {0: "u", 1: "u", 2: "u", 3: None, 4: None, 5: None}
+    assert sorted(os.listdir(tmp_path)) == ["1-0", "1-1", "1-2", "1-3", "1-4", "2-1", "2-2", "2-3", "2-4"]
+
+
+def test_stored_scans_are_not_shuffled(spark, tmp_path):
+    rows = [("p", f"f{k}", k, "python", "RSA", "s", True, "SHOR", "HIGH") for k in range(1, 60)]
+    for name, part in (("scan_before", rows[:40]), ("scan_after", rows[20:])):
+        store_scan(spark.createDataFrame(part, FINDING), name, 4, str(tmp_path / name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = diff_with_stored(spark, "scan_before", "scan_after")
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.change, r.line_number) for r in out.collect()) == [("added", k) for k in range(41, 60)] + [("removed", k) for k in range(1, 21)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("scan_before", "scan_after"):
+            spark.sql(f"DROP TABLE {name}")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm._frames import Workspace, text_or_empty
+from cipherlake.llm._frames import Workspace, small_batches, text_or_empty
 from cipherlake.llm._text import U64, column, mix64, shingle_sets, spans, utf8_buffers
 from cipherlake.llm.near_dedup import COLUMNS, Join, brute_force, whole_groups
 from cipherlake.shipping import ship_package
@@ -29,7 +29,9 @@ N_MIN = 4
 COUNTER_BITS, SLICE_BITS = 20, 14
 CHUNK_BYTES = 1 << 18
 #: Shingles counted at once; postings of a parcel, of a shard, and of what a task sorts at once.
-COUNTED, PARCEL, SHARD, SORTED = 1 << 20, 1 << 18, 1 << 20, 1 << 20
+COUNTED, PARCEL, SHARD, SORTED = 1 << 18, 1 << 17, 1 << 19, 1 << 18
+#: Rows that a task hands on at once.
+PORTION = 1 << 15
 #: Blocks of an index list: in a cell, in a stretch that is skipped as one, and in lists taken row by row.
 LIST, STRETCH, SHORT = 1 << 14, 256, 32
 #: Members of a block of a family, when two families are compared.
@@ -65,13 +67,16 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     null: how many of a task's sets hold shingles of each hash range, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, waiting = np.zeros(1 << COUNTER_BITS, dtype=np.int64), []
+        counters, waiting, n_waiting = np.zeros(1 << COUNTER_BITS, dtype=np.int32), [], 0
         id_type = None
 
         def count() -> None:
+            nonlocal n_waiting
             if waiting:
-                counters[:] += np.bincount((np.concatenate(waiting) >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters))
+                found, times = np.unique((np.concatenate(waiting) >> U64(64 - COUNTER_BITS)).astype(np.int32), return_counts=True)
+                counters[found] += times.astype(np.int32)
                 waiting.clear()
+                n_waiting = 0
 
         def out(ids: pa.Array, sizes, keys, texts, mins, slices, counts) -> pa.RecordBatch:
             arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string()), pa.array(mins, pa.list_(pa.int64())), pa.array(slices, pa.int32()), pa.array(counts, pa.binary())]
@@ -85,7 +90,8 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 none = [None] * (j - i)
                 yield out(ids.slice(i, j - i), [len(s) for s in sets], [key_of(s) for s in sets], [hashlib.md5(t).hexdigest() for t in texts], mins, none, none)
                 waiting += sets
-                if sum(len(s) for s in waiting) > COUNTED:
+                n_waiting += sum(len(s) for s in sets)
+                if n_waiting > COUNTED:
                     count()
         count()
         if counters.any():
@@ -165,7 +171,7 @@ def postings(docs: DataFrame, width: int, percent: int, counters: np.ndarray, n_
         held: list[list[np.ndarray]] = []
         known = np.zeros(0, dtype=U64)
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             # Tokens seen once so far wait; those of a second set, and all after them, go on.
             nonlocal held, known
             tokens, keys, sizes, rests = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -186,15 +192,17 @@ def postings(docs: DataFrame, width: int, percent: int, counters: np.ndarray, n_
             held = [[tokens[stay], keys[stay], sizes[stay], rests[stay]]]
             size = sizes[go].astype(np.int64)
             is_index = size - 1 - rests[go] <= size - least_overlap(percent, 2 * size)
-            return pa.RecordBatch.from_arrays([pa.array(tokens[go].view(np.int64)), binary16(keys[go]), pa.array(sizes[go]), pa.array(rests[go]), pa.array(is_index)], names=["token", "set_key", "size", "rest", "is_index"])
+            out = pa.RecordBatch.from_arrays([pa.array(tokens[go].view(np.int64)), binary16(keys[go]), pa.array(sizes[go]), pa.array(rests[go]), pa.array(is_index)], names=["token", "set_key", "size", "rest", "is_index"])
+            for at in range(0, max(1, out.num_rows), PORTION):
+                yield out.slice(at, PORTION)
 
         for batch in batches:
             for parcel in column(batch, "parcel").to_pylist():
                 held.append(columns(parcel))
                 if sum(len(x[0]) for x in held[1:]) > SORTED:
-                    yield out()
+                    yield from out()
         if held:
-            yield out()
+            yield from out()
 
     parcels = docs.mapInArrow(deal, "shard long, parcel binary").repartition(n_shards, "shard")
     return parcels.mapInArrow(meet, "token long, set_key binary, size int, rest int, is_index boolean")
@@ -266,6 +274,11 @@ class JaccardJoin(Join):
         self.ws, self.step = Workspace(docs.sparkSession, "jaccard"), 0
         self.docs, self.width, self.percent = docs, width, percent
 
+    def save(self, df: DataFrame) -> DataFrame:
+        # Texts and sets are kilobytes a row, and pairs of sets twice that.
+        with small_batches(df.sparkSession):
+            return super().save(df)
+
     def overlaps(self, pairs: DataFrame, shingles: DataFrame, with_difference: bool) -> DataFrame:
         """a, b, n_a, n_b, common of the pairs; and, if asked for, of those that are linked only, added (a without b) and
         removed (b without a), packed."""
@@ -375,7 +388,8 @@ class JaccardJoin(Join):
 
     def run(self) -> DataFrame:
         percent = self.percent
-        rows = self.ws.save(sketch(self.docs, self.width), "rows")
+        with small_batches(self.docs.sparkSession):
+            rows = self.ws.save(sketch(self.docs, self.width), "rows")
         found = rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "mins")
         self.sets = self.save(found.agg(F.min("doc_id").alias("rep_doc"), self.one_text()))
         members, links, shingles = self.families()

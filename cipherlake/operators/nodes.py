@@ -136,11 +136,20 @@ _COMMENT = r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))"
 _SHORT = r"\"(?:\\.|[^\"\\\n])*\"?"
 _REST = r"(?P<id>[^\W\d][\w$]*|\$[\w$]*)|(?P<number>\d[\w.]*)|(?P<punct>=>|[^\s\w])"
 _LEXERS = {
-    "javascript": re.compile(rf"{_COMMENT}|(?P<raw>`(?:\\[\s\S]|[^`\\])*`?)|(?P<str>{_SHORT}|'(?:\\.|[^'\\\n])*'?)|{_REST}"),
+    "javascript": re.compile(rf"{_COMMENT}|(?P<template>`)|(?P<str>{_SHORT}|'(?:\\.|[^'\\\n])*'?)|{_REST}"),
     "java": re.compile(rf"{_COMMENT}|(?P<raw>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'(?:\\.|[^'\\\n])*'?)|(?P<str>{_SHORT})|{_REST}"),
     "go": re.compile(rf"{_COMMENT}|(?P<raw>`[^`]*`?|'(?:\\.|[^'\\\n])*'?)|(?P<str>{_SHORT})|{_REST}"),
-    "csharp": re.compile(rf"{_COMMENT}|(?P<raw>\$?@\$?\"(?:\"\"|[^\"])*\"?|\$\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<str>{_SHORT})|{_REST}"),
+    "csharp": re.compile(rf"{_COMMENT}|(?P<template>\$@\"|@\$\"|\$\")|(?P<raw>@\"(?:\"\"|[^\"])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<str>{_SHORT})|{_REST}"),
 }
+#: Of texts with code in them, by how they begin: what they hold up to their end or the next code, and how code begins.
+_TEMPLATES = {
+    "`": (re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*"), "`", "${"),
+    '$"': (re.compile(r'(?:\\.|\{\{|\}\}|[^"\\{}\n])*'), '"', "{"),
+    '$@"': (re.compile(r'(?:""|\{\{|\}\}|[^"{}])*'), '"', "{"),
+    '@$"': (re.compile(r'(?:""|\{\{|\}\}|[^"{}])*'), '"', "{"),
+}
+_TEMPLATE_NODES = {"javascript": ("template_substitution", "template_string"), "csharp": ("interpolation", "interpolated_string_expression")}
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _NO_CALLEE = {"if", "for", "while", "switch", "catch", "return", "function", "func", "with", "using", "lock", "foreach", "synchronized", "await", "typeof", "throw", "else", "in", "of", "case", "fixed", "import"}
 _BEFORE_EXPRESSION = {"return", "await", "throw", "case", "in", "of", "typeof", "else", "new", "yield", "go", "defer", "do", "void", "delete", "not"}
@@ -152,12 +161,72 @@ _NAMES = {
 }
 
 
+Token = tuple[str, int, int, str]
+
+
+def tokens_of(text: str, language: str) -> tuple[list[Token], dict[int, tuple[int, int]]]:
+    """(tokens, templates): kind, start, end and word of each token but comments. Code within a template is tokens between
+    round brackets, and `templates` has the template's first and last token by such an opening bracket's.
+
+    JavaScript's regular expressions are told from divisions by what stands before them.
+    """
+    lexer = _LEXERS[language]
+    tokens: list[Token] = []
+    templates: dict[int, tuple[int, int]] = {}
+    #: Of each open template: how it begins, its first token, its code's opening brackets, and the braces open within.
+    inside: list[list] = []
+    at = 0
+
+    def piece(start: int, after: int) -> int:
+        """Goes on in the innermost template; gives the place after its end or after the beginning of code."""
+        body, close, code = _TEMPLATES[inside[-1][0]]
+        end = body.match(text, after).end()
+        if text.startswith(code, end):
+            tokens.append(("raw", start, end, text[start:end]))
+            inside[-1][2].append(len(tokens))
+            tokens.append(("punct", end, end + len(code), "("))
+            return end + len(code)
+        end += len(close) if text.startswith(close, end) else 0
+        tokens.append(("raw", start, end, text[start:end]))
+        _, first, openings, _ = inside.pop()
+        templates.update(dict.fromkeys(openings, (first, len(tokens) - 1)))
+        return max(end, after)
+
+    while m := lexer.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        word = m.group()
+        if kind == "comment":
+            continue
+        if kind == "template":
+            inside.append([word, len(tokens), [], 0])
+            at = piece(start, at)
+            continue
+        if word == "/" and language == "javascript" and (not tokens or tokens[-1][0] == "punct" and tokens[-1][3] not in ")]}" or tokens[-1][3] in _BEFORE_EXPRESSION):
+            if r := _REGEX.match(text, start):
+                at = r.end()
+                tokens.append(("raw", start, at, r.group()))
+                continue
+        if inside and word == "{":
+            inside[-1][3] += 1
+        elif inside and word == "}":
+            if not inside[-1][3]:
+                tokens.append(("punct", start, at, ")"))
+                at = piece(at, at)
+                continue
+            inside[-1][3] -= 1
+        tokens.append((kind, start, at, word))
+    while inside:  # a file that ends within a template
+        _, first, openings, _ = inside.pop()
+        templates.update(dict.fromkeys(openings, (first, len(tokens) - 1)))
+    return tokens, templates
+
+
 class Brackets:
     """Tokens, bracket pairs and calls of one text."""
 
     def __init__(self, text: str, language: str):
         self.text, self.language = text, language
-        self.tokens = [(m.lastgroup, m.start(), m.end(), m.group()) for m in _LEXERS[language].finditer(text) if m.lastgroup != "comment"]
+        self.tokens, self.templates = tokens_of(text, language)
         self.close: dict[int, int] = {}
         self.open: dict[int, int] = {}
         self.parent = [-1] * len(self.tokens)
@@ -281,6 +350,12 @@ class Brackets:
             end = self.close.get(home, len(self.tokens) - 1)
             if self.word(home) == "(":
                 call = self.calls.get(home)
+                if home in self.templates:
+                    substitution, template = _TEMPLATE_NODES[self.language]
+                    add(substitution, home, end)
+                    add(template, *self.templates[home])
+                    at = home
+                    continue
                 if call is None:
                     add("parenthesized_expression", home, end)
                     at = home

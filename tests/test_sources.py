@@ -154,6 +154,40 @@ def test_deep_and_long_code_is_linear(language):
         assert time.monotonic() - began < 20, text[:40]
 
 
+def strings(text, language):
+    return [x["text"] for x in nodes_of(text, language) if x["node_type"] in ("string", "string_literal")]
+
+
+def test_code_within_templates():
+    """Code in template literals and interpolated strings is code; nested ones too, and text around it is not."""
+    text = "log(`a 'x' ${c.createHash('md5', `in ${f('sha1')} 'y'`)} \\` 'z'`); g('rc4')"
+    assert strings(text, "javascript") == ["'md5'", "'sha1'", "'rc4'"]
+    first = next(x for x in nodes_of(text, "javascript") if x["text"] == "'md5'")
+    assert [a["type"] for a in first["ancestors"]] == ["arguments", "call_expression", "template_substitution", "template_string", "arguments", "call_expression"]
+    assert first["ancestors"][1]["marked"] and text[first["ancestors"][3]["start"]] == text[first["ancestors"][3]["stop"] - 1] == "`"
+    cs = 'var a = $"x {{no}} {MD5.Create("SHA1")} \\" y"; var b = $@"c:\\{F("DES")}""q"; G("RSA");'
+    assert strings(cs, "csharp") == ['"SHA1"', '"DES"', '"RSA"']
+    assert "MD5.Create" in {x["text"].split("(")[0] for x in nodes_of(cs, "csharp")}
+
+
+def test_regular_expressions_and_divisions():
+    assert strings("a.replace(/[\"'/]/g, 'md5'); b = x / 2 / y; c('sha1')", "javascript") == ["'md5'", "'sha1'"]
+    assert strings("return /'/.test(s) ? f('des') : (a) / 'rc4' / 2", "javascript") == ["'des'", "'rc4'"]
+
+
+@pytest.mark.parametrize(
+    "language,text,want",
+    [
+        ("javascript", "f(`${", []), ("javascript", "f(`${g('a'", ["'a'"]), ("javascript", "`${ {a: 'b'} }` + 'c'", ["'b'", "'c'"]), ("javascript", "f('a' `${x", ["'a'"]),
+        ("javascript", "if (x { f('md5'); } else ) g('sha1');", ["'md5'", "'sha1'"]), ("javascript", "f('unclosed\ng('next')", ["'unclosed", "'next'"]), ("javascript", "/* never closed f('a')", []),
+        ("csharp", '$"{', []), ("csharp", 'F($"{G("a"', ['"a"']), ("csharp", 'class A { void f( { H("x"); } } }} I("y");', ['"x"', '"y"']),
+        ("java", 'class A { void f( { x.init("AES"); }', ['"AES"']), ("java", '"""\n"no"\n', []), ("java", "f('\"', \"DES\"", ['"DES"']),
+    ],
+)
+def test_broken_files_give_their_intact_parts(language, text, want):
+    assert strings(text, language) == want
+
+
 def test_contexts_by_position():
     """Contexts are told apart by where marker words lie; columns count bytes."""
     text = "/* é */ lookup(['md5'], x.createHash('sha1'))"

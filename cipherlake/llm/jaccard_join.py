@@ -34,6 +34,8 @@ COUNTED, PARCEL, SHARD, SORTED = 1 << 18, 1 << 17, 1 << 19, 1 << 18
 PORTION = 1 << 15
 #: Blocks of an index list: in a cell, in a stretch that is skipped as one, and in lists taken row by row.
 LIST, STRETCH, SHORT = 1 << 14, 256, 32
+#: Blocks of a long list that all others of it are compared with first.
+PIVOTS = 8
 #: Members of a block of a family, when two families are compared.
 MEMBERS = 512
 
@@ -208,28 +210,32 @@ def postings(docs: DataFrame, width: int, percent: int, counters: np.ndarray, n_
     return parcels.mapInArrow(meet, "token long, set_key binary, size int, rest int, is_index boolean")
 
 
-def list_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """a, b: leaders whose blocks in an index list allow a link. blocks: token, lead, lo, hi (sizes), rest (largest), is_index.
+def list_pairs(blocks: DataFrame, percent: int, by_pivots: bool) -> DataFrame:
+    """a, b: leaders whose blocks in an index list allow a link and have different labels. blocks: token, lead, label,
+    score, lo, hi (sizes), rest (largest), is_index.
 
-    Lists of more than LIST blocks are cut into parts, and a cell takes two parts.
+    Lists of more than LIST blocks are cut into parts, and a cell takes two parts. `by_pivots`: of a cell with more than
+    SHORT blocks, only pairs with one of the PIVOTS with the highest score; otherwise only long lists are looked at.
     """
-    counts = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
+    counts = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (1 if by_pivots else SHORT))
+    counts = counts.select("token", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("lead"), F.col("parts")).cast("int")
     met = blocks.join(counts, "token").withColumn("part", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("token", F.least("part", "j"), F.greatest("part", "j"))
-    dealt = met.select(cell.alias("cell"), (F.col("part") < F.col("j")).alias("first"), (F.col("part") == F.col("j")).alias("inner"), "lead", "lo", "hi", "rest", "is_index")
+    dealt = met.select(cell.alias("cell"), (F.col("part") < F.col("j")).alias("first"), (F.col("part") == F.col("j")).alias("inner"), "lead", "label", "score", "lo", "hi", "rest", "is_index")
     dealt = dealt.repartition("cell").sortWithinPartitions("cell", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
             table = table.combine_chunks()
-            cell, lo, hi, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("cell", "lo", "hi", "rest"))
+            cell, score, lo, hi, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("cell", "score", "lo", "hi", "rest"))
             is_index, first, inner = (table.column(c).to_numpy(zero_copy_only=False) for c in ("is_index", "first", "inner"))
             keys, lead = np.unique(np.frombuffer(b"".join(table.column("lead").to_pylist()), dtype="V16"), return_inverse=True)
+            label = np.unique(np.frombuffer(b"".join(table.column("label").to_pylist()), dtype="V16"), return_inverse=True)[1]
             pairs: list[np.ndarray] = []
 
             def test(i: np.ndarray, j: np.ndarray) -> None:
-                good = (is_index[i] | is_index[j]) & (inner[i] | (first[i] != first[j])) & (lead[i] != lead[j])  # noqa: B023
+                good = (is_index[i] | is_index[j]) & (inner[i] | (first[i] != first[j])) & (label[i] != label[j])  # noqa: B023
                 good &= (100 * hi[j] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[j])  # noqa: B023
                 good &= 1 + np.minimum(rest[i], rest[j]) >= least_overlap(percent, lo[i] + lo[j])  # noqa: B023
                 x, y = lead[i[good]], lead[j[good]]  # noqa: B023
@@ -244,14 +250,21 @@ def list_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                     break
                 test(i, i + d)
             for s, e in zip(edges[:-1][sizes > SHORT].tolist(), edges[1:][sizes > SHORT].tolist(), strict=True):
+                if by_pivots:
+                    pivots = s + np.lexsort((lead[s:e], -score[s:e]))[:PIVOTS]
+                    test(np.repeat(pivots, e - s), np.tile(np.arange(s, e), len(pivots)))
+                    continue
                 # By position: within a list, stretches of like rest; a pair of stretches is skipped by its bounds.
                 order = s + np.argsort(-rest[s:e], kind="stable")
                 cuts = np.arange(0, e - s, STRETCH)
                 low, high = np.minimum.reduceat(lo[order], cuts), np.maximum.reduceat(hi[order], cuts)
                 top, any_index = rest[order[cuts]], np.logical_or.reduceat(is_index[order], cuts)
+                one, last = np.minimum.reduceat(label[order], cuts), np.maximum.reduceat(label[order], cuts)
                 for k in range(len(cuts)):
                     reach = (1 + np.minimum(top[k], top[k:]) >= least_overlap(percent, low[k] + low[k:])) & (any_index[k] | any_index[k:])
                     reach &= (100 * high[k:] >= percent * low[k]) & (100 * high[k] >= percent * low[k:])
+                    # Stretches of one and the same component have no pair to offer.
+                    reach &= ~((one[k] == last[k]) & (one[k:] == one[k]) & (last[k:] == one[k]))
                     mine = order[cuts[k] : cuts[k] + STRETCH]
                     for m in (np.flatnonzero(reach) + k).tolist():
                         other = order[cuts[m] : cuts[m] + STRETCH]
@@ -400,17 +413,28 @@ class JaccardJoin(Join):
         posted = self.save(postings(self.docs, self.width, percent, total_counters(rows), n_shards))
         led = posted.join(members.select("set_key", "lead"), "set_key", "left").withColumn("lead", F.coalesce("lead", "set_key"))
         blocks = led.groupBy("token", "lead").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("rest").alias("rest"), F.max("is_index").alias("is_index"))
-        met = self.save(list_pairs(self.save(blocks), percent))
-        met = self.labelled(self.labelled(met, "a", labels, "x"), "b", labels, "y").where("x != y")
-        met = self.save(met.select("a", "b"))
-        if not met.isEmpty():
+        blocks = self.save(blocks)
+        # Long lists first by pivots: the families that are in most of them, as a text that others were made from has no
+        # rare shingles of its own. What they leave in different components is compared thereafter.
+        long = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT).select("token")
+        scores = self.save(blocks.join(long, "token", "left_semi").groupBy("lead").agg(F.count(F.lit(1)).alias("score")))
+        blocks = self.save(blocks.join(scores, "lead", "left").fillna(0, ["score"]))
+        compared = None
+        for by_pivots in (True, False):
+            met = self.save(list_pairs(self.labelled(blocks, "lead", labels, "label"), percent, by_pivots))
+            if compared is not None:
+                met = met.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            met = self.save(met)
+            if met.isEmpty():
+                continue
             lacking = met.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(shingles.select("set_key"), "set_key", "left_anti")
             shingles = shingles.unionByName(self.shingles(lacking))
-            compared = self.overlaps(met, shingles, False)
-            is_link = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-            labels = self.merge(compared.where(is_link).select("a", "b"), labels)
+            found = self.overlaps(met, shingles, False).withColumn("is_link", 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
+            labels = self.merge(found.where("is_link").select("a", "b"), labels)
+            compared = found if compared is None else compared.unionByName(found)
+        if compared is not None:
             widest = self.save(members.groupBy("lead").agg(F.max("apart").alias("apart")))
-            near = compared.where(~is_link)
+            near = compared.where("NOT is_link").drop("is_link")
             for side in "ab":
                 near = near.join(widest.select(F.col("lead").alias(side), F.col("apart").alias(f"apart_{side}")), side, "left").fillna(0.0, [f"apart_{side}"])
             reach = F.lit(percent / 100 - 1e-9) - F.col("apart_a") - F.col("apart_b")
@@ -454,7 +478,8 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, text_col: str
     Index lists: a set is entered under its rarest shingles only, rarity by counters over all documents, so what many
     documents share (templates, licenses) hardly makes lists. Entries of one family are one block, put together before
     the shuffle, so a group of near copies of any size is one entry a list; within a list, blocks are skipped in stretches
-    by position and size; long lists are cut into cells. A family's members are linked to their leader and thus one
+    by position and size. Long lists are compared with a few pivots first; after that only blocks of different components
+    are, in cells of bounded size. A family's members are linked to their leader and thus one
     component: two families are compared through their leaders, and, if a link between others is possible, through
     members' differences, in blocks of bounded size that give out one row at most. All pairs of a group are never made.
 

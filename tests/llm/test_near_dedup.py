@@ -142,3 +142,27 @@ def test_tree_counts():
 def test_long_chain_is_one_component(spark):
     rows = [(k, " ".join(f"c{j}" for j in range(k, k + 40))) for k in range(60)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85)
+
+
+def test_full_sets_meet_only_where_a_link_is_likely(spark, monkeypatch):
+    """Texts of one template, alike at some 0.25: of a crowd, only planted near copies reach the comparison of full sets."""
+    met = []
+    inner = N.Join.block_links
+
+    def counted(self, left, right, shingles):
+        met.append((left.count(), right.count()))
+        plan = spark.createDataFrame([(b"k", 1)], "set_key binary, x int").hint("merge").join(shingles, "set_key")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        return inner(self, left, right, shingles)
+
+    monkeypatch.setattr(N.Join, "block_links", counted)
+    monkeypatch.setattr(N, "NODE_COST", 10.0**9)
+    rows = []
+    for k in range(300):
+        words = [f"t{j}" for j in range(100)] + [f"p{k}_{j}" for j in range(150)]
+        rows.append((k, " ".join(words)))
+        if k % 30 == 0:
+            rows.append((1000 + k, " ".join([*words, "edited"])))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8)
+    assert met[0][1] > 250 and len(met) > 1 and all(a + b <= 60 for a, b in met[1:]), met
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("shingles_")]

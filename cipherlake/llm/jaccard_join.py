@@ -36,6 +36,8 @@ PORTION = 1 << 15
 LIST, STRETCH, SHORT = 1 << 14, 256, 32
 #: Blocks of a long list that all others of it are compared with first.
 PIVOTS = 8
+#: Bits of a set's parities, a power of two.
+PARITIES = 512
 #: Members of a block of a family, when two families are compared.
 MEMBERS = 512
 
@@ -64,8 +66,14 @@ def key_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """For each of PARITIES bins whether it holds an odd number of the tokens, packed: two sets differ in at least as many
+    tokens as their parities do in bits."""
+    return np.packbits((np.bincount((mix64(tokens) & U64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds. Of documents: doc_id, n_shingles, set_key, text_key, mins. Of counters, where `slice` is not
+    """Rows of two kinds. Of documents: doc_id, n_shingles, set_key, text_key, mins, parities. Of counters, where `slice` is not
     null: how many of a task's sets hold shingles of each hash range, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +88,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 waiting.clear()
                 n_waiting = 0
 
-        def out(ids: pa.Array, sizes, keys, texts, mins, slices, counts) -> pa.RecordBatch:
-            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string()), pa.array(mins, pa.list_(pa.int64())), pa.array(slices, pa.int32()), pa.array(counts, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "text_key", "mins", "slice", "counts"])
+        def out(ids: pa.Array, sizes, keys, texts, mins, bits, slices, counts) -> pa.RecordBatch:
+            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string()), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(slices, pa.int32()), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "text_key", "mins", "parities", "slice", "counts"])
 
         for batch in batches:
             ids = column(batch, "doc_id")
@@ -90,7 +98,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             for i, j, sets, texts in sets_of(batch, width):
                 mins = [[int(mix64(s ^ c).min().view(np.int64)) for c in _SEEDS] if len(s) else None for s in sets]
                 none = [None] * (j - i)
-                yield out(ids.slice(i, j - i), [len(s) for s in sets], [key_of(s) for s in sets], [hashlib.md5(t).hexdigest() for t in texts], mins, none, none)
+                yield out(ids.slice(i, j - i), [len(s) for s in sets], [key_of(s) for s in sets], [hashlib.md5(t).hexdigest() for t in texts], mins, [parities(s) if len(s) else None for s in sets], none, none)
                 waiting += sets
                 n_waiting += sum(len(s) for s in sets)
                 if n_waiting > COUNTED:
@@ -101,9 +109,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             parts = counters.reshape(n, -1)
             packed = [np.append(np.uint8(p.itemsize), p.view(np.uint8)).tobytes() for p in (row.astype(np.min_scalar_type(row.max())) for row in parts)]
             none = [None] * n
-            yield out(pa.nulls(n, id_type), none, none, none, none, list(range(n)), packed)
+            yield out(pa.nulls(n, id_type), none, none, none, none, none, list(range(n)), packed)
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, text_key string, mins array<long>, slice int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, text_key string, mins array<long>, parities binary, slice int, counts binary")
 
 
 def total_counters(rows: DataFrame) -> np.ndarray:
@@ -212,17 +220,18 @@ def postings(docs: DataFrame, width: int, percent: int, counters: np.ndarray, n_
 
 def list_pairs(blocks: DataFrame, percent: int, by_pivots: bool) -> DataFrame:
     """a, b: leaders whose blocks in an index list allow a link and have different labels. blocks: token, lead, label,
-    score, lo, hi (sizes), rest (largest), is_index.
+    score, lo, hi (sizes), rest (largest), is_index; in lists of more than SHORT blocks also n (the leader's size), apart (its
+    members' distance) and parities of the leader: pairs that cannot lie within the members' reach are not made there.
 
     Lists of more than LIST blocks are cut into parts, and a cell takes two parts. `by_pivots`: of a cell with more than
     SHORT blocks, only pairs with one of the PIVOTS with the highest score; otherwise only long lists are looked at.
     """
     counts = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (1 if by_pivots else SHORT))
-    counts = counts.select("token", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
+    counts = counts.select("token", F.ceil(F.col("n") / LIST).cast("int").alias("parts"), F.col("n").alias("in_list"))
     own = F.pmod(F.xxhash64("lead"), F.col("parts")).cast("int")
     met = blocks.join(counts, "token").withColumn("part", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("token", F.least("part", "j"), F.greatest("part", "j"))
-    dealt = met.select(cell.alias("cell"), (F.col("part") < F.col("j")).alias("first"), (F.col("part") == F.col("j")).alias("inner"), "lead", "label", "score", "lo", "hi", "rest", "is_index")
+    dealt = met.select(cell.alias("cell"), (F.col("part") < F.col("j")).alias("first"), (F.col("part") == F.col("j")).alias("inner"), "lead", "label", "score", "lo", "hi", "rest", "is_index", *[F.when(F.col("in_list") > SHORT, F.col(c)).alias(c) for c in ("n", "apart", "parities")])
     dealt = dealt.repartition("cell").sortWithinPartitions("cell", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +241,20 @@ def list_pairs(blocks: DataFrame, percent: int, by_pivots: bool) -> DataFrame:
             is_index, first, inner = (table.column(c).to_numpy(zero_copy_only=False) for c in ("is_index", "first", "inner"))
             keys, lead = np.unique(np.frombuffer(b"".join(table.column("lead").to_pylist()), dtype="V16"), return_inverse=True)
             label = np.unique(np.frombuffer(b"".join(table.column("label").to_pylist()), dtype="V16"), return_inverse=True)[1]
+            n, apart = (table.column(c).fill_null(0).to_numpy() for c in ("n", "apart"))
+            known = table.column("parities").is_valid().to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(x or bytes(PARITIES // 8) for x in table.column("parities").to_pylist()), dtype=U64).reshape(len(cell), -1)
             pairs: list[np.ndarray] = []
 
             def test(i: np.ndarray, j: np.ndarray) -> None:
                 good = (is_index[i] | is_index[j]) & (inner[i] | (first[i] != first[j])) & (label[i] != label[j])  # noqa: B023
                 good &= (100 * hi[j] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[j])  # noqa: B023
                 good &= 1 + np.minimum(rest[i], rest[j]) >= least_overlap(percent, lo[i] + lo[j])  # noqa: B023
-                x, y = lead[i[good]], lead[j[good]]  # noqa: B023
+                i, j = i[good], j[good]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)  # noqa: B023
+                reach = 1 - percent / 100 + apart[i] + apart[j] + 1e-9  # noqa: B023
+                near = ~(known[i] & known[j]) | (2 * differ <= reach * (n[i] + n[j] + differ))  # noqa: B023
+                x, y = lead[i[near]], lead[j[near]]  # noqa: B023
                 pairs.append(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)))  # noqa: B023
 
             edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
@@ -403,7 +419,7 @@ class JaccardJoin(Join):
         percent = self.percent
         with small_batches(self.docs.sparkSession):
             rows = self.ws.save(sketch(self.docs, self.width), "rows")
-        found = rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "mins")
+        found = rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "mins", "parities")
         self.sets = self.save(found.agg(F.min("doc_id").alias("rep_doc"), self.one_text()))
         members, links, shingles = self.families()
         labels = self.merge(links, None)
@@ -418,6 +434,9 @@ class JaccardJoin(Join):
         # rare shingles of its own. What they leave in different components is compared thereafter.
         long = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT).select("token")
         scores = self.save(blocks.join(long, "token", "left_semi").groupBy("lead").agg(F.count(F.lit(1)).alias("score")))
+        widest = self.save(members.groupBy("lead").agg(F.max("apart").alias("apart")))
+        own = self.sets.select(F.col("set_key").alias("lead"), F.col("n_shingles").alias("n"), "parities")
+        scores = self.save(scores.join(own, "lead").join(widest, "lead", "left").fillna(0.0, ["apart"]))
         blocks = self.save(blocks.join(scores, "lead", "left").fillna(0, ["score"]))
         compared = None
         for by_pivots in (True, False):
@@ -433,7 +452,6 @@ class JaccardJoin(Join):
             labels = self.merge(found.where("is_link").select("a", "b"), labels)
             compared = found if compared is None else compared.unionByName(found)
         if compared is not None:
-            widest = self.save(members.groupBy("lead").agg(F.max("apart").alias("apart")))
             near = compared.where("NOT is_link").drop("is_link")
             for side in "ab":
                 near = near.join(widest.select(F.col("lead").alias(side), F.col("apart").alias(f"apart_{side}")), side, "left").fillna(0.0, [f"apart_{side}"])

@@ -94,3 +94,29 @@ def test_signed_product():
     value = lambda d: {**{t: 1 for t in d[0].tolist()}, **{t: -1 for t in d[1].tolist()}}
     want = [[sum(v * value(r).get(t, 0) for t, v in value(x).items()) for r in right] for x in left]
     assert J.signed_product(left, right).tolist() == want
+
+
+def test_lists_make_no_pairs_out_of_reach(spark, monkeypatch):
+    """Copies of one text, near to it but not to one another: their lists are long, and hardly make a pair of copies."""
+    made = []
+    inner = J.JaccardJoin.overlaps
+
+    def counted(self, pairs, shingles, with_difference):
+        if not with_difference:
+            made.append(pairs.count())
+        return inner(self, pairs, shingles, with_difference)
+
+    monkeypatch.setattr(J.JaccardJoin, "overlaps", counted)
+    rng = random.Random(4)
+    rows = [(k, " ".join([f"b{j}" for j in range(60)] + [f"o{k}_{rng.randrange(10**9)}" for _ in range(40)])) for k in range(120)]
+    rows.append((500, rows[7][1] + " end"))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=1)
+    assert sum(made) <= 120, made
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 20, 300, 3000):
+        a, b = (np.unique(rng.integers(0, 4 * n, n).astype(U64)) for _ in range(2))
+        differ = sum(int(x).bit_count() for x in np.frombuffer(J.parities(a), np.uint8) ^ np.frombuffer(J.parities(b), np.uint8))
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0

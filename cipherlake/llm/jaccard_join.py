@@ -303,11 +303,6 @@ class JaccardJoin(Join):
         self.ws, self.step = Workspace(docs.sparkSession, "jaccard"), 0
         self.docs, self.width, self.percent = docs, width, percent
 
-    def save(self, df: DataFrame) -> DataFrame:
-        # Texts and sets are kilobytes a row, and pairs of sets twice that.
-        with small_batches(df.sparkSession):
-            return super().save(df)
-
     def overlaps(self, pairs: DataFrame, shingles: DataFrame, with_difference: bool) -> DataFrame:
         """a, b, n_a, n_b, common of the pairs; and, if asked for, of those that are linked only, added (a without b) and
         removed (b without a), packed."""

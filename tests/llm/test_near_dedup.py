@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -166,3 +167,42 @@ def test_full_sets_meet_only_where_a_link_is_likely(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=3, percent=85, leaf=8)
     assert met[0][1] > 250 and len(met) > 1 and all(a + b <= 60 for a, b in met[1:]), met
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("shingles_")]
+
+
+def test_a_full_cell_takes_little_memory():
+    """Blocks of short sets, nearly all of them linked: the comparison holds no matrix of all pairs, and gives out a forest."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(1, 2**63, 100).astype(np.uint64)
+
+    def copies(n):
+        out = [np.where(rng.random(100) < 0.05, rng.integers(1, 2**63, 100).astype(np.uint64), base) for _ in range(n)]
+        return [np.unique(s) for s in out]
+
+    left, right = copies(N.LEFT_TOKENS // 100), copies(N.RIGHT_TOKENS // 100)
+    tracemalloc.start()
+    kept = N.forest(N.links_in_cell(left, right, 80, N.least_agreement(0.8, 1e-7)), len(left), len(right))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20, peak
+    assert len(left) <= len(kept) < len(left) + len(right)
+
+
+def test_forest_keeps_components(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(N, "AREA", 64)
+    monkeypatch.setattr(N, "MATRIX", 128)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(50)]
+    for few in (0, 10**6):
+        monkeypatch.setattr(N, "FEW_PAIRS", few)
+        every = N.similar_in_cell(sets[:20], sets[20:], 30, 0)
+        assert set(every) == set(N.similar(sets[:20], sets[20:], 30)) and len(every) > 20
+        kept = N.forest(N.links_in_cell(sets[:20], sets[20:], 30, 0), 20, 30)
+
+        def components(pairs):
+            label = list(range(50))
+            for i, j in pairs:
+                a, b = label[i], label[20 + j]
+                label = [a if x == b else x for x in label]
+            return [[x == y for y in label] for x in label]
+
+        assert set(kept) <= set(every) and len(kept) < 50 and components(kept) == components(every)

@@ -66,14 +66,25 @@ def key_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-def parities(tokens: np.ndarray) -> bytes:
-    """For each of PARITIES bins whether it holds an odd number of the tokens, packed: two sets differ in at least as many
-    tokens as their parities do in bits."""
-    return np.packbits((np.bincount((mix64(tokens) & U64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+def parities(tokens: np.ndarray, bits: int = PARITIES) -> bytes:
+    """For each of so many bins (a power of two) whether it holds an odd number of the tokens, packed: two sets differ in at
+    least as many tokens as their parities do in bits."""
+    return np.packbits((np.bincount((mix64(tokens) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_parities(tokens: np.ndarray) -> bytes:
+    """Parities of at least two bits a token: so many that sets which are not similar nearly always show it."""
+    return parities(tokens, max(PARITIES, 1 << (2 * len(tokens) - 1).bit_length()))
+
+
+def fewest_differences(x: bytes, y: bytes) -> int:
+    """In how many tokens at least two sets differ, by their parities; the longer ones are folded."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in sorted((x, y), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds. Of documents: doc_id, n_shingles, set_key, text_key, mins, parities. Of counters, where `slice` is not
+    """Rows of two kinds. Of documents: doc_id, n_shingles, set_key, text_key, mins, parities, wide. Of counters, where `slice` is not
     null: how many of a task's sets hold shingles of each hash range, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +99,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 waiting.clear()
                 n_waiting = 0
 
-        def out(ids: pa.Array, sizes, keys, texts, mins, bits, slices, counts) -> pa.RecordBatch:
-            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string()), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(slices, pa.int32()), pa.array(counts, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "text_key", "mins", "parities", "slice", "counts"])
+        def out(ids: pa.Array, sizes, keys, texts, mins, bits, wide, slices, counts) -> pa.RecordBatch:
+            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string()), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(slices, pa.int32()), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "text_key", "mins", "parities", "wide", "slice", "counts"])
 
         for batch in batches:
             ids = column(batch, "doc_id")
@@ -98,7 +109,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             for i, j, sets, texts in sets_of(batch, width):
                 mins = [[int(mix64(s ^ c).min().view(np.int64)) for c in _SEEDS] if len(s) else None for s in sets]
                 none = [None] * (j - i)
-                yield out(ids.slice(i, j - i), [len(s) for s in sets], [key_of(s) for s in sets], [hashlib.md5(t).hexdigest() for t in texts], mins, [parities(s) if len(s) else None for s in sets], none, none)
+                yield out(ids.slice(i, j - i), [len(s) for s in sets], [key_of(s) for s in sets], [hashlib.md5(t).hexdigest() for t in texts], mins, [parities(s) if len(s) else None for s in sets], [wide_parities(s) if len(s) else None for s in sets], none, none)
                 waiting += sets
                 n_waiting += sum(len(s) for s in sets)
                 if n_waiting > COUNTED:
@@ -109,9 +120,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             parts = counters.reshape(n, -1)
             packed = [np.append(np.uint8(p.itemsize), p.view(np.uint8)).tobytes() for p in (row.astype(np.min_scalar_type(row.max())) for row in parts)]
             none = [None] * n
-            yield out(pa.nulls(n, id_type), none, none, none, none, none, list(range(n)), packed)
+            yield out(pa.nulls(n, id_type), none, none, none, none, none, none, list(range(n)), packed)
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, text_key string, mins array<long>, parities binary, slice int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, text_key string, mins array<long>, parities binary, wide binary, slice int, counts binary")
 
 
 def total_counters(rows: DataFrame) -> np.ndarray:
@@ -303,6 +314,28 @@ class JaccardJoin(Join):
         self.ws, self.step = Workspace(docs.sparkSession, "jaccard"), 0
         self.docs, self.width, self.percent = docs, width, percent
 
+    def within_reach(self, pairs: DataFrame, widest: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) whose wide parities allow a link between them, or between members of their families, which are
+        `apart` from them by at most what `widest` (lead, apart) says. Only these few bits a token are joined with pairs."""
+        percent = self.percent
+        for side in "ab":
+            own = self.sets.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}"))
+            if widest is not None:
+                own = own.join(widest.select(F.col("lead").alias(side), F.col("apart").alias(f"apart_{side}")), side, "left").fillna(0.0, [f"apart_{side}"])
+            else:
+                own = own.withColumn(f"apart_{side}", F.lit(0.0))
+            pairs = pairs.join(own, side)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (column(batch, c).to_pylist() for c in ("wide_a", "wide_b"))
+                differ = np.array([fewest_differences(*z) for z in zip(x, y, strict=True)], dtype=np.int64)
+                n, apart = (column(batch, f"{c}_a").to_numpy() + column(batch, f"{c}_b").to_numpy() for c in ("n", "apart"))
+                good = 2 * differ <= (1 - percent / 100 + apart + 1e-9) * (n + differ)
+                yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(good)))
+
+        return self.save(pairs.mapInArrow(run, "a binary, b binary"))
+
     def overlaps(self, pairs: DataFrame, shingles: DataFrame, with_difference: bool) -> DataFrame:
         """a, b, n_a, n_b, common of the pairs; and, if asked for, of those that are linked only, added (a without b) and
         removed (b without a), packed."""
@@ -343,7 +376,7 @@ class JaccardJoin(Join):
         smallest = self.save(smallest.select("k", "m", F.col("s.set_key").alias("b"), F.col("s.n_shingles").alias("n_b")))
         met = entries.join(smallest, ["k", "m"]).where(F.col("set_key") != F.col("b"))
         met = met.where(100 * F.least("n_shingles", "n_b") >= self.percent * F.greatest("n_shingles", "n_b"))
-        pairs = self.save(met.select(F.col("set_key").alias("a"), "b").distinct())
+        pairs = self.within_reach(met.select(F.col("set_key").alias("a"), "b").distinct())
         shingles = self.shingles(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
         linked = self.overlaps(pairs, shingles, True)
         leaders = linked.select(F.col("b").alias("set_key")).distinct().join(linked.select(F.col("a").alias("set_key")).distinct(), "set_key", "left_anti")
@@ -414,7 +447,7 @@ class JaccardJoin(Join):
         percent = self.percent
         with small_batches(self.docs.sparkSession):
             rows = self.ws.save(sketch(self.docs, self.width), "rows")
-        found = rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "mins", "parities")
+        found = rows.where("set_key IS NOT NULL").groupBy("set_key", "n_shingles", "mins", "parities", "wide")
         self.sets = self.save(found.agg(F.min("doc_id").alias("rep_doc"), self.one_text()))
         members, links, shingles = self.families()
         labels = self.merge(links, None)
@@ -438,7 +471,7 @@ class JaccardJoin(Join):
             met = self.save(list_pairs(self.labelled(blocks, "lead", labels, "label"), percent, by_pivots))
             if compared is not None:
                 met = met.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-            met = self.save(met)
+            met = self.within_reach(self.save(met), widest)
             if met.isEmpty():
                 continue
             lacking = met.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(shingles.select("set_key"), "set_key", "left_anti")

@@ -120,3 +120,41 @@ def test_parities_bound_the_difference():
         a, b = (np.unique(rng.integers(0, 4 * n, n).astype(U64)) for _ in range(2))
         differ = sum(int(x).bit_count() for x in np.frombuffer(J.parities(a), np.uint8) ^ np.frombuffer(J.parities(b), np.uint8))
         assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_wide_parities_tell_unlike_sets(spark, monkeypatch):
+    """Texts that share rare shingles, yet are far from similar: their full sets are not fetched, however long they are."""
+    met = []
+    inner = J.JaccardJoin.overlaps
+
+    def counted(self, pairs, shingles, with_difference):
+        met.append(pairs.count())
+        return inner(self, pairs, shingles, with_difference)
+
+    monkeypatch.setattr(J.JaccardJoin, "overlaps", counted)
+    rows = [(k, " ".join([f"s{k // 2}_{j}" for j in range(1200)] + [f"o{k}_{j}" for j in range(800)])) for k in range(20)]
+    rows.append((100, rows[3][1] + " end"))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, width=1)
+    assert 1 <= sum(met) <= 2, met
+
+
+def test_wide_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 1), (20, 700), (3000, 300), (3000, 2900)):
+        a, b = (np.unique(rng.integers(0, 4 * n, k).astype(U64)) for k in (n, m))
+        differ = J.fewest_differences(J.wide_parities(a), J.wide_parities(b))
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_only_wanted_texts_are_shuffled(spark):
+    """Texts go on by a bitmap of the wanted digests: all that are wanted, and hardly another."""
+    import hashlib
+
+    from cipherlake.llm import near_dedup as N
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(3000)] + [(None, "text 7"), (5, "")], "doc_id long, text string")
+    wanted = ["", *(f"text {k}" for k in range(0, 3000, 100))]
+    keys = spark.createDataFrame([(hashlib.md5(t.encode()).hexdigest(),) for t in wanted], "rep_text string")
+    found = {r.text for r in N.with_marked_texts(docs, N.marks(keys, len(wanted))).collect()}
+    assert set(wanted) <= found and len(found) < len(wanted) + 10
+    assert N.with_marked_texts(docs, N.marks(keys.limit(0), 0)).count() == 0

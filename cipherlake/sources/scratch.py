@@ -23,6 +23,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_compact(df: DataFrame, path: str) -> None:
+    """Writes the frame with zstd; its shuffles' files go at once (from Spark 4.1 on), not when the driver collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The frame, written and read again: later steps see the same rows in the same places, and lineage is cut."""
     path = scratch_path(df.sparkSession, name)

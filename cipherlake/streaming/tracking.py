@@ -102,7 +102,7 @@ class FindingTracker(StatefulProcessor):
             self.files.clear()
             return
         packed = json.dumps([[path, latest, list(found.values())] for path, (latest, found) in known.items()], separators=(",", ":"))
-        self.files.update((zlib.compress(packed.encode(), 1),))
+        self.files.update((zlib.compress(packed.encode()),))
         self.handle.registerTimer(self._expiry(min(latest for latest, _ in known.values())))
 
     @staticmethod
